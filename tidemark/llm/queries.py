@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_rules, url_filter
+import public_tokenizers
+
+from . import bpe, exact_dedup, line_rules, packing, token_store, url_filter
+from .common import fresh_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _word_bpe() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
@@ -20,6 +32,16 @@ def op4_line_rules(spark, sf_dir):
     return line_rules.line_rules(read(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark, sf_dir):
+    path = fresh_path(spark, "store")
+    token_store.write_store(read(spark, sf_dir, "documents"), path, _word_bpe(), end_id=1)
+    return token_store.verify_store(spark, path)
+
+
+def op8_packing(spark, sf_dir):
+    return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"), _word_bpe(), end_id=0, capacity=2048))
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
@@ -77,7 +99,7 @@ SELECT page_id, host, path, rule, glob_hit, CASE {kind} WHEN glob_hit IS NOT NUL
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
