@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, line_rules, packing, token_store, url_filter
+from . import bpe, exact_dedup, line_rules, near_dedup, packing, token_store, url_filter
 from .common import fresh_path
 
 
@@ -42,6 +42,10 @@ def op8_packing(spark, sf_dir):
     return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"), _word_bpe(), end_id=0, capacity=2048))
 
 
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(read(spark, sf_dir, "documents"), size=4, similarity="0.8")
+
+
 def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
