@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, line_rules, near_dedup, packing, token_store, url_filter
+from . import bpe, exact_dedup, line_rules, near_dedup, packing, suffix_dedup, token_store, url_filter
 from .common import fresh_path
 
 
@@ -28,6 +28,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removal_digest(suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=100))
+
+
 def op4_line_rules(spark, sf_dir):
     return line_rules.line_rules(read(spark, sf_dir, "documents"))
 
