@@ -213,3 +213,9 @@ def _rare_lists(hot: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * level.numerator / level.denominator) + 1
     lists = ranked.select("id", "n", F.filter(F.slice("s", F.lit(1), prefix.cast("int")), lambda x: x["m"] > 1).alias("s")).select("id", "n", F.size("s").alias("w"), F.explode("s.v").alias("v"))
     return cut(lists.select("v", "id", "n", "w"), "rare")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: str = "0.8") -> DataFrame:
+    """docs without all but one document (the one of smallest id) of each group of near copies. Columns as they were."""
+    gone = near_groups(docs, id_col, text_col, size, similarity).where(~F.col("kept")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, line_rules, near_dedup, packing, suffix_dedup, token_store, url_filter
+from . import bpe, exact_dedup, langid, line_rules, near_dedup, ngram_lm, packing, suffix_dedup, token_store, url_filter
 from .common import fresh_path
 
 
@@ -36,12 +36,21 @@ def op4_line_rules(spark, sf_dir):
     return line_rules.line_rules(read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op6_token_store(spark, sf_dir):
     path = fresh_path(spark, "store")
     token_store.write_store(read(spark, sf_dir, "documents"), path, _word_bpe(), end_id=1)
     return token_store.verify_store(spark, path)
 
 
+def op7_lm_score(spark, sf_dir):
+    return ngram_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"), _word_bpe(), end_id=0, capacity=2048))
 

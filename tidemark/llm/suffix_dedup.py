@@ -279,11 +279,12 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
-    """docs' id, _th (text hash), _text and spans (packed, sorted, merged (lo, hi) byte ranges to remove; null if none)."""
+def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, carry: list[str] | None = None) -> DataFrame:
+    """docs' id, th (text hash), text, spans (packed (lo, hi) byte ranges to remove, unmerged; null if none) and rest (struct of the columns in carry)."""
     w, n_buckets = length - GRAM + 1, 4 * max(1, shuffles(docs.sparkSession))
     spark_n = max(1, shuffles(docs.sparkSession))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    more_cols = ["rest"] if carry else []
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, _ in _groups(batches, BATCH):
@@ -308,10 +309,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_batches([_emit(tab, rec["doc"].astype(np.int64), out)])
 
     packed_schema = "id long, th long, v binary"
-    sent = base.mapInArrow(send_anchors, "bucket int, docs binary, recs binary")
+    sent = base.select("id", "th", "text").mapInArrow(send_anchors, "bucket int, docs binary, recs binary")
     again = sent.groupBy("bucket").applyInArrow(find_again, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("found"))
     texts = base.repartition(spark_n, "id", "th")
-    joined = texts.join(again, (F.coalesce(texts["id"], F.lit(_NULL)) == again["id"]) & (texts["th"] == again["th"]), "left").select(texts["id"], texts["th"], texts["text"], "found")
+    joined = texts.join(again, (F.coalesce(texts["id"], F.lit(_NULL)) == again["id"]) & (texts["th"] == again["th"]), "left").select(texts["id"], texts["th"], texts["text"], "found", *[texts[c] for c in more_cols])  # both branches read the same columns, so that the texts are shuffled once
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, more in _groups(batches, BATCH):
@@ -441,7 +442,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_batches(out or [_emit(np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, _SPAN))])
 
     spans = joined.mapInArrow(send_contexts, "bucket int, kind int, docs binary, recs binary").groupBy("bucket").applyInArrow(resolve, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("spans"))
-    return texts.join(spans, (F.coalesce(texts["id"], F.lit(_NULL)) == spans["id"]) & (texts["th"] == spans["th"]), "left").select(texts["id"], texts["th"], texts["text"], "spans")
+    return texts.join(spans, (F.coalesce(texts["id"], F.lit(_NULL)) == spans["id"]) & (texts["th"] == spans["th"]), "left").select(texts["id"], texts["th"], texts["text"], "spans", *[texts[c] for c in more_cols])
 
 
 def gram_hashes_at(view: np.ndarray, p: np.ndarray, w: int) -> np.ndarray:
@@ -480,9 +481,36 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     return repeated_spans(docs, length, id_col, text_col, many).select(F.col("id").cast(kind).alias("id"), "text", "spans").mapInArrow(finish, f"`{id_col}` {kind}, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
 
 
+def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+    """docs with each text's repeated bytes removed; characters go only as a whole. Columns and rows as they were; null texts stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, raw, v in zip(b.column(2).to_pylist(), texts_of(b, "text"), b.column(3).to_pylist(), strict=True):
+                if t is None or not v:
+                    out.append(t)
+                    continue
+                at, parts = 0, []
+                for lo, hi in _merge_spans(np.frombuffer(b"".join(v), _SPAN)).tolist():
+                    while lo < hi and raw[lo] & 0xC0 == 0x80:
+                        lo += 1
+                    while hi < len(raw) and hi > lo and raw[hi] & 0xC0 == 0x80:
+                        hi -= 1
+                    parts.append(raw[at:lo])
+                    at = hi
+                out.append(b"".join([*parts, raw[at:]]).decode())
+            rest = b.column(4)
+            cols = dict(zip([f.name for f in rest.type], rest.flatten(), strict=True)) | {text_col: pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([cols[c] for c in docs_columns], names=docs_columns)
+
+    docs_columns = docs.columns
+    return repeated_spans(docs, length, id_col, text_col, many, [c for c in docs_columns if c != text_col]).mapInArrow(run, docs.schema)
+
+
 def removal_digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of what remove_repeats returns."""
     return kept.select(id_col, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-__all__ = ["blind_trie_order", "deep_shallow", "first_and_last", "multikey_quicksort", "remove_repeats", "removal_digest", "repeated_spans"]
+__all__ = ["blind_trie_order", "deep_shallow", "first_and_last", "cut_repeats", "multikey_quicksort", "remove_repeats", "removal_digest", "repeated_spans"]
