@@ -6,7 +6,7 @@
    another way, without sketches: by its rarest shingles (of n, the n - ceil(0.8 n) + 1 rarest: two sets that are similar enough must share one of these).
 3. A pair stays a candidate while its sizes allow the similarity and the estimate from the bottom k of the union is not far below it; then the full sets decide.
    Each class is first tried with its most similar candidate; pairs inside one component need no more work.
-4. In long lists of step 2 no pairs are listed: a pivot at a time is tried against the members outside its component, then leaves the list. A
+4. In long lists of step 2 no pairs are listed: pivots (one at first, then eight times as many in each round) are tried against the members outside their component, then leave the list. A
    group of near copies falls into one component in the first rounds. Rounds go on until every list is inside one component or used up.
 
 Chance enters in step 2 and 3 only: for k = 64 a link at exactly 0.8 is missed with a probability of about 1e-8.
@@ -118,19 +118,19 @@ def verified(pairs: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, comp (smallest id reachable) of every id in links: alternating large-star and small-star until nothing moves."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """id, comp (smallest id reachable) of every id in links but the smallest themselves: large-star and small-star by turns until nothing moves."""
+    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = cut(small, "small")
-        marks = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
-        edges = after
-        if marks[0] == marks[1]:
+        edges = cut(small, "edges")
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+        before = mark
 
 
 def _with_comp(df: DataFrame, comps: DataFrame | None, key: str, name: str) -> DataFrame:
@@ -139,24 +139,37 @@ def _with_comp(df: DataFrame, comps: DataFrame | None, key: str, name: str) -> D
     return df.join(comps.select(F.col("id").alias(key), F.col("comp").alias("_comp")), key, "left").withColumn(name, F.coalesce("_comp", key)).drop("_comp")
 
 
-def _pivot_rounds(lists: DataFrame, sets: DataFrame, links: list[DataFrame], comps: DataFrame | None, level: Fraction) -> DataFrame | None:
+def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links, which are given between components (a, b)."""
+    step = components(links)
+    if comps is None:
+        return step
+    moved = _with_comp(comps.select("id", F.col("comp").alias("c")), step, "c", "comp").select("id", "comp")
+    return cut(moved.union(step.join(comps.select("id"), "id", "left_anti")), "comps")
+
+
+def _pivot_rounds(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, level: Fraction) -> DataFrame | None:
     """Resolve long lists (v, id, n, w): see step 4 above."""
+    tried, pivots = None, 1
     while True:
         now = _with_comp(lists, comps, "id", "comp")
-        alive = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
-        now = cut(now.join(alive, "v", "left_semi"), "lists")
+        alive = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top")).where("lo <> hi").select("v", "m", (-F.col("top.i")).alias("top"))
+        now = cut(now.join(alive, "v"), "lists")
         if now.isEmpty():
             return comps
-        # the member with most values in lists leads
-        lead = now.groupBy("v").agg(F.max(F.struct("w", (-F.col("id")).alias("m"), "n", "comp")).alias("p"))
-        lead = lead.select("v", (-F.col("p.m")).alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
-        pairs = now.join(lead, "v").where((F.col("comp") != F.col("ca")) & _size_ok("n", "na", level)).select("a", F.col("id").alias("b")).distinct()
-        links.append(cut(verified(pairs, sets, level), "links"))
-        lists = cut(now.join(lead.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").select("v", "id", "n", "w"), "rest")
-        all_links = links[0]
-        for more in links[1:]:
-            all_links = all_links.union(more)
-        comps = components(all_links)
+        # the member with most values in lists leads first; after that about `pivots` members by hash, and all of a list that is no longer than that
+        chosen = F.col("id") == F.col("top") if pivots == 1 else F.pmod(F.xxhash64("id", F.lit(pivots)), F.ceil(F.col("m") / pivots)) == 0
+        lead = now.where(chosen | (F.col("id") == F.col("top"))).select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        pairs = now.join(lead, "v").where((F.col("comp") != F.col("ca")) & (F.col("id") != F.col("a")) & _size_ok("n", "na", level)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "tried")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _with_comp(_with_comp(cut(verified(pairs, sets, level), "links"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        if not found.isEmpty():
+            comps = _merged(comps, found)
+        lists = now.join(lead.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").select("v", "id", "n", "w")
+        pivots *= 8
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: str = "0.8", k: int = SKETCH, short: int = SHORT) -> DataFrame:
@@ -184,13 +197,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut(full_sets(docs.where(F.col(id_col).isNotNull()), need, id_col, text_col, size), "sets")
     release(spark)
     first = cand.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    links = [cut(verified(first, sets, level), "links")]
-    comps = components(links[0])
-    rest = _with_comp(_with_comp(cand.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b").join(first, ["a", "b"], "left_anti")
-    links.append(cut(verified(rest, sets, level), "links"))
-    comps = components(links[0].union(links[1]))
+    comps = components(cut(verified(first, sets, level), "links"))
+    rest = _with_comp(_with_comp(cand.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").join(first, ["a", "b"], "left_anti")
+    found = cut(verified(rest, sets, level), "links")
+    if not found.isEmpty():
+        comps = _merged(comps, _with_comp(_with_comp(found, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if not hot.isEmpty():
-        comps = _pivot_rounds(_rare_lists(hot, sets, level), sets, links, comps, level)
+        comps = _pivot_rounds(_rare_lists(hot, sets, level), sets, comps, level)
     named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component_id"), "copies")
     out = skew_join(full.select("id", "n", "hi", "lo"), cut(named, "named"), ["hi", "lo"], "copies", F.col("id")).select("id", "n", "component_id")
     out = out.union(rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
