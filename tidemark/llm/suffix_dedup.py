@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +205,8 @@ def first_and_last(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 # ------------------------------------------------------------------------------------------------------------- distributed flow
 
-_ANCHOR = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("n", "<u4")])
+#: Anchors travel by columns (48 bits of hash, document, place), compressed; false matches of the shorter hash only cost a context.
+_ANCHOR = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 _PART = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("nl", "u1"), ("nr", "u1")])
 _STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 _FOUND = np.dtype([("pos", "<u4"), ("many", "u1")])
@@ -241,12 +243,43 @@ def _by_bucket(bucket: np.ndarray, n: int):
 def _docs_blob(keys: list[tuple[int, int]], used: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The documents that records refer to, as (id, text hash) pairs, and the records' numbers among them."""
     own, number = np.unique(used, return_inverse=True)
-    return np.array([keys[i] for i in own.tolist()], np.int64).reshape(-1, 2).tobytes(), number.astype(np.uint32)
+    table = np.array([keys[i] for i in own.tolist()], np.int64).reshape(-1, 2)
+    return _squeeze(table[:, 0].tobytes() + table[:, 1].astype("<i4").tobytes()), number.astype(np.uint32)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _spread(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _columns(rec: np.ndarray) -> bytes:
+    """Anchors by columns: the hash bytes that vary, documents, and places as differences."""
+    h = rec["h"].copy().view(np.uint8).reshape(-1, 8)[:, :6]
+    step = np.diff(rec["pos"].astype(np.int64), prepend=0).astype("<i4")
+    planes = [np.ascontiguousarray(rec["doc"].copy().view(np.uint8).reshape(-1, 4).T), np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T)]
+    return len(rec).to_bytes(8, "little") + h.tobytes() + _squeeze(planes[0].tobytes() + planes[1].tobytes())
+
+
+def _records(raw: bytes) -> bytes:
+    n = int.from_bytes(raw[:8], "little")
+    rec = np.zeros(n, _ANCHOR)
+    rec["h"] = np.pad(np.frombuffer(raw, np.uint8, 6 * n, 8).reshape(n, 6), ((0, 0), (0, 2))).view("<u8")[:, 0]
+    planes = np.frombuffer(_spread(raw[8 + 6 * n :]), np.uint8).reshape(2, 4, n)
+    rec["doc"] = np.ascontiguousarray(planes[0].T).view("<u4")[:, 0]
+    rec["pos"] = np.cumsum(np.ascontiguousarray(planes[1].T).view("<i4")[:, 0].astype(np.int64))
+    return rec.tobytes()
 
 
 def _gather(rows: list[tuple[bytes, bytes]], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """Records of packed rows with their documents' numbers in one common table of (id, text hash)."""
-    tables = [np.frombuffer(d, np.int64).reshape(-1, 2) for d, _ in rows]
+    tables = []
+    for d, _ in rows:
+        raw = _spread(d)
+        n = len(raw) // 12
+        tables.append(np.stack([np.frombuffer(raw, np.int64, n), np.frombuffer(raw, "<i4", n, 8 * n).astype(np.int64)], 1))
     table, number = np.unique(np.concatenate(tables), axis=0, return_inverse=True) if tables else (np.empty((0, 2), np.int64), np.empty(0, int))
     number = number.reshape(-1)
     parts, base = [], 0
@@ -281,9 +314,8 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, carry: list[str] | None = None) -> DataFrame:
     """docs' id, th (text hash), text, spans (packed (lo, hi) byte ranges to remove, unmerged; null if none) and rest (struct of the columns in carry)."""
-    w, n_buckets = length - GRAM + 1, 4 * max(1, shuffles(docs.sparkSession))
-    spark_n = max(1, shuffles(docs.sparkSession))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    w, n_buckets = length - GRAM + 1, 2 * max(1, shuffles(docs.sparkSession))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("th"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     more_cols = ["rest"] if carry else []
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,15 +324,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             p, h = anchors(raw, at, length)
             doc = np.searchsorted(at, p, side="right") - 1
             rec = np.empty(p.size, _ANCHOR)
-            rec["h"], rec["pos"], rec["n"] = h, p - at[doc], 1
+            rec["h"], rec["pos"] = h >> np.uint64(16), p - at[doc]
             for k, pick in _by_bucket((h % np.uint64(n_buckets)).astype(np.int64), n_buckets):
                 blob, number = _docs_blob(keys, doc[pick])
                 part = rec[pick]
                 part["doc"] = number
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.array([np.sort(part, order=["h", "doc"]).tobytes()], pa.binary())], names=["bucket", "docs", "recs"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary()), pa.array([_columns(part)], pa.binary())], names=["bucket", "docs", "recs"])
 
     def find_again(table: pa.Table) -> pa.Table:
-        tab, rec = _gather(list(zip(table.column("docs").to_pylist(), table.column("recs").to_pylist(), strict=True)), _ANCHOR)
+        tab, rec = _gather([(d, _records(r)) for d, r in zip(table.column("docs").to_pylist(), table.column("recs").to_pylist(), strict=True)], _ANCHOR)
         _, number, count = np.unique(rec["h"], return_inverse=True, return_counts=True)
         n = count[number]
         rec, n = rec[n > 1], n[n > 1]
@@ -311,8 +343,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     packed_schema = "id long, th long, v binary"
     sent = base.select("id", "th", "text").mapInArrow(send_anchors, "bucket int, docs binary, recs binary")
     again = sent.groupBy("bucket").applyInArrow(find_again, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("found"))
-    texts = base.repartition(spark_n, "id", "th")
-    joined = texts.join(again, (F.coalesce(texts["id"], F.lit(_NULL)) == again["id"]) & (texts["th"] == again["th"]), "left").select(texts["id"], texts["th"], texts["text"], "found", *[texts[c] for c in more_cols])  # both branches read the same columns, so that the texts are shuffled once
+    texts = base  # both joins below ask for the same exchange of it, which runs once
+    joined = texts.join(again, ["id", "th"], "left").select("id", "th", "text", "found", *more_cols)  # both branches read the same columns, so that the texts are shuffled once
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts, more in _groups(batches, BATCH):
@@ -359,7 +391,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                     blob, number = _docs_blob(keys, d[pick])
                     part = rec[pick]
                     part["doc"] = number
-                    yield _row(k, 0, blob, part.tobytes() + body[pick].tobytes())
+                    yield _row(k, 0, blob, _squeeze(part.tobytes() + body[pick].tobytes()))
                 if hot.any():
                     yield from _send_strings(keys, ids, d[hot], rec[hot], body[hot], spans)
             if spans:
@@ -399,14 +431,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             blob, number = _docs_blob(keys, dd[pick])
             part = np.empty(pick.size, _STRING)
             part["h1"], part["h2"], part["doc"], part["pos"] = a[pick], b[pick], number, pp[pick]
-            yield _row(k, 1, blob, part.tobytes())
+            yield _row(k, 1, blob, _squeeze(part.tobytes()))
 
     def resolve(table: pa.Table) -> pa.Table:
         kinds, docs_, recs = (table.column(c).to_pylist() for c in ("kind", "docs", "recs"))
         out = []
         for d, r in ((d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 2):
             out.append(_emit(np.frombuffer(d, np.int64).reshape(1, 2), np.zeros(len(r) // _SPAN.itemsize, np.int64), np.frombuffer(r, _SPAN)))
-        rows = [(d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 1]
+        rows = [(d, _spread(r)) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 1]
         if rows:
             tab, rec = _gather(rows, _STRING)
             place = tab[rec["doc"].astype(np.int64), 0]
@@ -422,6 +454,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         rows = []
         bodies = []
         for d, r in ((d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 0):
+            r = _spread(r)
             n = len(r) // (_PART.itemsize + width)
             rows.append((d, r[: n * _PART.itemsize]))
             bodies.append(np.frombuffer(r, np.uint8, offset=n * _PART.itemsize).reshape(n, width))
@@ -442,7 +475,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_batches(out or [_emit(np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, _SPAN))])
 
     spans = joined.mapInArrow(send_contexts, "bucket int, kind int, docs binary, recs binary").groupBy("bucket").applyInArrow(resolve, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("spans"))
-    return texts.join(spans, (F.coalesce(texts["id"], F.lit(_NULL)) == spans["id"]) & (texts["th"] == spans["th"]), "left").select(texts["id"], texts["th"], texts["text"], "spans", *[texts[c] for c in more_cols])
+    return texts.join(spans, ["id", "th"], "left").select("id", "th", "text", "spans", *more_cols)
 
 
 def gram_hashes_at(view: np.ndarray, p: np.ndarray, w: int) -> np.ndarray:
@@ -459,7 +492,7 @@ def gram_hashes_at(view: np.ndarray, p: np.ndarray, w: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """One row per document: id, kept (the remaining bytes), spans (removed runs as (lo, hi) structs), n_bytes.
 
-    Corpus order is (id, start); rows with equal ids are one document in it, so that equal starts of theirs do not count as earlier. Null ids come first.
+    Corpus order is (id, start); rows with equal ids are one document in it, so that equal starts of theirs do not count as earlier. Null ids come first (as the smallest 64-bit integer).
     Null texts are empty. length must be over GRAM. Other columns are not read. The remaining bytes may end inside a character.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -478,7 +511,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 size.append(len(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(size, pa.int64())], names=[id_col, "kept", "spans", "n_bytes"])
 
-    return repeated_spans(docs, length, id_col, text_col, many).select(F.col("id").cast(kind).alias("id"), "text", "spans").mapInArrow(finish, f"`{id_col}` {kind}, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
+    return repeated_spans(docs, length, id_col, text_col, many).select(F.when(F.col("id") != _NULL, F.col("id")).cast(kind).alias("id"), "text", "spans").mapInArrow(finish, f"`{id_col}` {kind}, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
