@@ -22,30 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, fresh_path, mix64, shuffles, skew_join, texts_of
-from .tokenization import WordEncoder, encoder
+from .tokenization import WordEncoder, encoder, forget
 
 #: Ids that the rolling hash sees, average and largest chunk.
 WINDOW, AVERAGE, LONGEST = 8, 256, 2048
 _SALT = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, WINDOW + 1)], np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: after an id where the hash of the last WINDOW ids is 0 modulo AVERAGE, and after LONGEST ids at the latest."""
-    n = ids.size
-    if n == 0:
-        return []
-    x, h = mix64(ids.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64)
-    for i in range(min(WINDOW, n)):
-        h[i:] += x[: n - i] * _SALT[i]
-    ends = (np.flatnonzero(mix64(h) % np.uint64(AVERAGE) == 0) + 1).tolist()
-    out, last = [], 0
-    for e in [*ends, n]:
-        while e - last > LONGEST:
-            last += LONGEST
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
+def cut_points(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of every stream, counted in all ids: after an id where the hash of its stream's last WINDOW ids is 0 modulo AVERAGE, and after
+    LONGEST ids at the latest. first: where each stream begins, with the end as last."""
+    place = np.arange(ids.size) - np.repeat(first[:-1], np.diff(first))
+    x, h = mix64(ids.astype(np.uint64) + np.uint64(1)), np.zeros(ids.size, np.uint64)
+    for i in range(min(WINDOW, ids.size)):
+        h[i:] += np.where(place[i:] >= i, x[: ids.size - i] * _SALT[i], np.uint64(0))
+    ends = np.flatnonzero(mix64(h) % np.uint64(AVERAGE) == 0) + 1
+    edge = np.searchsorted(ends, first, side="right")
+    out = []
+    for k, (last, stop) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        own = []
+        for e in [*ends[edge[k] : edge[k + 1]].tolist(), stop]:
+            while e - last > LONGEST:
+                last += LONGEST
+                own.append(last)
+            if e > last:
+                own.append(e)
+                last = e
+        out.append(own)
     return out
 
 
@@ -116,22 +119,28 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(WordEncoder, shared.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids_of, own, chunks, seen = b.column(0).to_pylist(), [], [], set()
-            for t in texts_of(b, text_col):
-                ids = np.frombuffer(enc.encode(t) + end, "<u4")
-                raw, last, hashes = ids.astype(dtype), 0, []
-                for e in cut_points(ids):
-                    part = raw[last:e].tobytes()
-                    h = chunk_hash(part)
-                    hashes.append(h)
-                    if h not in seen:
-                        seen.add(h)
-                        chunks.append((h, e - last, part))
-                    last = e
-                own.append((ids.size, hashes))
-                if len(own) == len(ids_of) or len(chunks) >= 16384:
-                    yield _rows(ids_of[: len(own)], own, chunks)
-                    ids_of, own, chunks, seen = ids_of[len(own) :], [], [], set()
+            names, texts, lo = b.column(0).to_pylist(), texts_of(b, text_col), 0
+            while lo < len(texts):
+                hi, size, streams = lo, 0, []
+                while hi < len(texts) and size < 8 << 20:
+                    streams.append(enc.encode(texts[hi]) + end)
+                    size += len(streams[-1])
+                    hi += 1
+                first = np.cumsum([0, *(len(x) // 4 for x in streams)])
+                ids = np.frombuffer(b"".join(streams), "<u4")
+                raw, own, chunks = ids.astype(dtype).tobytes(), [], {}
+                wide_ = np.dtype(dtype).itemsize
+                for k, ends in enumerate(cut_points(ids, first)):
+                    last, hashes = int(first[k]), []
+                    for e in ends:
+                        part = raw[wide_ * last : wide_ * e]
+                        h = chunk_hash(part)
+                        hashes.append(h)
+                        chunks[h] = (h, e - last, part)
+                        last = e
+                    own.append((int(first[k + 1] - first[k]), hashes))
+                yield _rows(b.schema.field(0).type, names[lo:hi], own, list(chunks.values()))
+                lo = hi
 
     both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, hashes array<binary>, hash binary, n int, ids binary")
     staged = fresh_path(spark, "chunks")
@@ -145,6 +154,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         shard, at, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             n, hashes = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
@@ -158,6 +168,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     totals = per_shard.groupBy("shard").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("place", "root"))).alias("r"))
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             roots = [merkle_root([x["root"] for x in r]) for r in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(roots, pa.binary())], names=["shard", "documents", "tokens", "root"])
@@ -165,11 +176,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     totals.mapInArrow(seal, "shard int, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
 
 
-def _rows(ids: list, own: list, chunks: list) -> pa.RecordBatch:
+def _rows(kind: pa.DataType, ids: list, own: list, chunks: list) -> pa.RecordBatch:
     none = [None] * len(chunks)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([*ids, *none], pa.int64()), pa.array([*(n for n, _ in own), *none], pa.int64()), pa.array([*(h for _, h in own), *none], pa.list_(pa.binary())),
+            pa.array([*ids, *none], kind), pa.array([*(n for n, _ in own), *none], pa.int64()), pa.array([*(h for _, h in own), *none], pa.list_(pa.binary())),
             pa.array([*([None] * len(own)), *(c[0] for c in chunks)], pa.binary()), pa.array([*([None] * len(own)), *(c[1] for c in chunks)], pa.int32()), pa.array([*([None] * len(own)), *(c[2] for c in chunks)], pa.binary()),
         ],
         names=["doc_id", "n_tokens", "hashes", "hash", "n", "ids"],
@@ -195,6 +206,7 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     dtype = "<u4" if wide else "<u2"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             parts = b.column(1).to_pylist()
             good = [chunk_hash(p) == h for h, p in zip(b.column(0).to_pylist(), parts, strict=True)]
@@ -211,6 +223,7 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             rows = b.column(3).to_pylist()
             good = [all(x["good"] for x in c) for c in rows]

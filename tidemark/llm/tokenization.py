@@ -18,7 +18,7 @@ import numpy as np
 from .common import ASCII_LOWER
 
 #: Chunks held per worker; the table is emptied when full.
-CACHE = 1_000_000
+CACHE = 700_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = " \\t\\n\\r\\x0b\\x0c"
 _PLAIN = re.compile(f"[{_BLANK}]*[!-~À-ÖØ-öø-ÿ]*\\Z")
@@ -153,6 +153,11 @@ def encoder(kind: type[ChunkEncoder], tokenizer_json: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Free this worker's encoder; for functions that run after the encoding is done, in the same workers."""
+    _ENCODERS.clear()
+
+
 def id_bytes(tokenizer_json: str) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary, by the byte table in reverse."""
     back = {c: b for b, c in enumerate(byte_chars())}
