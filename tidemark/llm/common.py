@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() wrote and no later job reads."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop shuffle files and checkpoints that nothing refers to any more."""
     import gc
@@ -73,7 +82,7 @@ def skew_join(facts: DataFrame, groups: DataFrame, keys: list[str], weight: str,
 
     groups[weight] is the number of facts of its key. Keys with 1/HOT_KEYS of all facts or more are at most
     HOT_KEYS rows, so those are broadcast whatever the size of the data; the rest are joined by shuffling, where no
-    key can fill a task. Facts that met a hot key shuffle under a key of their own (from `unique`).
+    key can fill a task. Facts that met a hot key shuffle under a salt of their own (from `unique`).
     groups should be materialised: it is read three times.
     """
     if total is None:
@@ -81,14 +90,11 @@ def skew_join(facts: DataFrame, groups: DataFrame, keys: list[str], weight: str,
     rest = [c for c in groups.columns if c not in keys]
     is_hot = F.col(weight) * HOT_KEYS >= F.lit(total)
     hot = groups.where(is_hot).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(c).alias(f"_h_{c}") for c in rest])
-    cold = groups.where(~is_hot).select(F.concat(F.lit("k"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])).alias("_key"), *[F.col(c).alias(f"_c_{c}") for c in rest])
-    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    met = facts.join(F.broadcast(hot), cond, "left")
-    met = met.withColumn("_key", F.when(F.col(f"_h_{weight}").isNull(), F.concat(F.lit("k"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))).otherwise(F.concat(F.lit("u"), unique.cast("string"))))
-    out = met.join(cold, "_key", "left")
+    cold = groups.where(~is_hot).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(0).cast("long").alias("_c_salt"), *[F.col(c).alias(f"_c_{c}") for c in rest])
+    same = lambda side: reduce(and_, [F.col(k).eqNullSafe(F.col(f"{side}{k}")) for k in keys])
+    met = facts.join(F.broadcast(hot), same("_h_"), "left")
+    met = met.withColumn("_salt", F.when(F.col(f"_h_{weight}").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(unique)))
+    out = met.join(cold, same("_c_") & (F.col("_salt") == F.col("_c_salt")), "left")
     return out.select(*[F.col(c) for c in facts.columns], *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in rest])
 
 

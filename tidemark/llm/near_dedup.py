@@ -9,22 +9,29 @@
 4. In long lists of step 2 no pairs are listed: pivots (one at first, then eight times as many in each round) are tried against the members outside their component, then leave the list. A
    group of near copies falls into one component in the first rounds. Rounds go on until every list is inside one component or used up.
 
-Chance enters in step 2 and 3 only: for k = 64 a link at exactly 0.8 is missed with a probability of about 1e-8.
+   A list has each value's place in its set's order by rarity: pairs whose first common value comes too late, or whose signatures are too far apart, are left out.
+
+Chance enters in the estimates and signatures only: for k = 64 a link at exactly 0.8 is missed with a probability of about 1e-8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, release, skew_join, texts_of, word_hashes
+from .common import cut, discard, mix64, release, skew_join, texts_of, word_hashes
 
 SKETCH, SHORT, HOT, ESTIMATE = 64, 16, 0.45, 0.45
+#: A signature has a bit of the smallest hash in each of 256 ranges. At a similarity of 0.8 a bit differs with a probability of 0.1 at most, so over APART of
+#: them with one of 1e-8.
+_SIGNS, APART = ["s0", "s1", "s2", "s3"], 59
 _STEP = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 
 
@@ -47,6 +54,14 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def signature(values: np.ndarray) -> list[int]:
+    """256 bits of a sorted set of 64-bit hashes, as four signed words."""
+    bins, at = np.unique(values >> np.uint64(56), return_index=True)
+    bits = np.zeros(256, np.uint8)
+    bits[bins.astype(np.int64)] = (values[at] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -74,7 +89,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b, text_col), size)], pa.binary())], names=["id", "shingles"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(ids, "id", "left_semi")
-    return found.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
+    # one text an id, by the join's own partitions
+    return found.groupBy("id").agg(F.max(text_col).alias(text_col)).mapInArrow(run, "id long, shingles binary")
 
 
 def _size_ok(a: str, b: str, level: Fraction):
@@ -120,6 +136,7 @@ def verified(pairs: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id, comp (smallest id reachable) of every id in links but the smallest themselves: large-star and small-star by turns until nothing moves."""
     edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    last = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -128,6 +145,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = cut(small, "edges")
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if last is not None:
+            discard(last)
+        last = edges
         if mark == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
         before = mark
@@ -149,18 +169,21 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _pivot_rounds(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, level: Fraction) -> DataFrame | None:
-    """Resolve long lists (v, id, n, w): see step 4 above."""
+    """Resolve long lists (v, id, n, at, w and signature): see step 4 above."""
     tried, pivots = None, 1
+    # what two sets share from their first common value on has to be enough, and their signatures near enough
+    fits = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata")) * (level.numerator + level.denominator) >= (F.col("n") + F.col("na")) * level.numerator
+    alike = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}a"))) for c in _SIGNS]) <= APART
     while True:
         now = _with_comp(lists, comps, "id", "comp")
         alive = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top")).where("lo <> hi").select("v", "m", (-F.col("top.i")).alias("top"))
-        now = cut(now.join(alive, "v"), "lists")
+        before, now = lists, cut(now.join(alive, "v"), "lists")
         if now.isEmpty():
             return comps
         # the member with most values in lists leads first; after that about `pivots` members by hash, and all of a list that is no longer than that
         chosen = F.col("id") == F.col("top") if pivots == 1 else F.pmod(F.xxhash64("id", F.lit(pivots)), F.ceil(F.col("m") / pivots)) == 0
-        lead = now.where(chosen | (F.col("id") == F.col("top"))).select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        pairs = now.join(lead, "v").where((F.col("comp") != F.col("ca")) & (F.col("id") != F.col("a")) & _size_ok("n", "na", level)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        lead = now.where(chosen | (F.col("id") == F.col("top"))).select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}a") for c in _SIGNS])
+        pairs = now.join(lead, "v").where((F.col("comp") != F.col("ca")) & (F.col("id") != F.col("a")) & _size_ok("n", "na", level) & fits & alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "tried")
@@ -168,7 +191,7 @@ def _pivot_rounds(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, le
         found = _with_comp(_with_comp(cut(verified(pairs, sets, level), "links"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         if not found.isEmpty():
             comps = _merged(comps, found)
-        lists = now.join(lead.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").select("v", "id", "n", "w")
+        lists = now.join(lead.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").select(*before.columns)
         pivots *= 8
 
 
@@ -185,13 +208,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = cut(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = full.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"], "left_semi").groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
     reps = cut(reps, "reps")
-    inverted = reps.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    slim = cut(rows.select("id", "n", "hi", "lo"), "sizes")
+    discard(rows)
+    inverted = reps.select("id", "n", F.explode("sketch").alias("v"))
     sizes = cut(inverted.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    member = cut(skew_join(inverted, sizes, ["v"], "m", F.concat_ws(".", "id", "v"), inverted.count()).where("m > 1"), "member")
+    member = cut(skew_join(inverted, sizes, ["v"], "m", F.concat_ws(".", "id", "v"), reps.agg(F.sum(F.size("sketch"))).first()[0] or 0).where("m > 1"), "member")
+    release(spark)
     near = member.where(F.col("m") <= short).select("v", "id", "n")
     pairs = near.alias("p").join(near.alias("q"), "v").where("p.id < q.id").where(_size_ok("p.n", "q.n", level)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     cand = cut(estimated(pairs, reps, k, level), "candidates")
-    hot = cut(member.where(F.col("m") > short).groupBy("id", "n").agg(F.count(F.lit(1)).alias("w"), F.max("kept").alias("kept")).where(F.col("w") >= HOT * F.col("kept")).select("id", "n"), "hot")
+    hot = cut(member.where(F.col("m") > short).groupBy("id", "n").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= HOT * F.least("n", F.lit(k))).select("id", "n"), "hot")
+    discard(reps, sizes, member)
+    release(spark)
     # repeated ids: the sets of all rows of an id are told apart by their hash, and their classes linked by the id itself
     need = cand.select(F.col("a").alias("id")).union(cand.select(F.col("b").alias("id"))).union(hot.select("id")).distinct()
     sets = cut(full_sets(docs.where(F.col(id_col).isNotNull()), need, id_col, text_col, size), "sets")
@@ -205,8 +233,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not hot.isEmpty():
         comps = _pivot_rounds(_rare_lists(hot, sets, level), sets, comps, level)
     named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component_id"), "copies")
-    out = skew_join(full.select("id", "n", "hi", "lo"), cut(named, "named"), ["hi", "lo"], "copies", F.col("id")).select("id", "n", "component_id")
-    out = out.union(rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
+    out = skew_join(slim.where("id is not null and n > 0"), cut(named, "named"), ["hi", "lo"], "copies", F.col("id")).select("id", "n", "component_id")
+    out = out.union(slim.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -219,13 +247,23 @@ def _rare_lists(hot: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
                 v = np.frombuffer(s.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(v.size, d)), pa.array(np.full(v.size, n)), pa.array(v)], names=["id", "n", "v"])
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.array([signature(np.frombuffer(s.as_buffer(), np.uint64)) for s in b.column(1)], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))], names=["id", *_SIGNS])
+
     values = cut(hot.join(sets, "id").select("id", "n", "shingles").mapInArrow(explode, "id long, n long, v long"), "values")
     often = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "often")
     with_m = skew_join(values, often, ["v"], "m", F.concat_ws(".", "id", "v"))
     ranked = with_m.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("s"))  # one set a row
     prefix = F.col("n") - F.ceil(F.col("n") * level.numerator / level.denominator) + 1
-    lists = ranked.select("id", "n", F.filter(F.slice("s", F.lit(1), prefix.cast("int")), lambda x: x["m"] > 1).alias("s")).select("id", "n", F.size("s").alias("w"), F.explode("s.v").alias("v"))
-    return cut(lists.select("v", "id", "n", "w"), "rare")
+    numbered = F.transform(F.slice("s", F.lit(1), prefix.cast("int")), lambda x, i: F.struct(x["m"].alias("m"), x["v"].alias("v"), i.cast("long").alias("at")))
+    lists = ranked.select("id", "n", F.filter(numbered, lambda x: x["m"] > 1).alias("s")).select("id", "n", F.size("s").alias("w"), F.explode("s").alias("e")).select("e.v", "id", "n", "e.at", "w")
+    signs = hot.join(sets, "id").select("id", "shingles").mapInArrow(sign, "id long, " + ", ".join(f"{c} long" for c in _SIGNS))
+    out = cut(lists.join(signs, "id").select("v", "id", "n", "at", "w", *_SIGNS), "rare")
+    discard(values, often)
+    release(hot.sparkSession)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: str = "0.8") -> DataFrame:
