@@ -24,19 +24,23 @@ from pyspark.sql import types as T
 from .common import cut, fresh_path, mix64, shuffles, skew_join, texts_of
 from .tokenization import WordEncoder, encoder, forget
 
-#: Ids that the rolling hash sees, average and largest chunk.
+#: Ids that the rolling hash sees, average and largest chunk; the first two are powers of two.
 WINDOW, AVERAGE, LONGEST = 8, 256, 2048
-_SALT = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, WINDOW + 1)], np.uint64)
 
 
 def cut_points(ids: np.ndarray, first: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of every stream, counted in all ids: after an id where the hash of its stream's last WINDOW ids is 0 modulo AVERAGE, and after
-    LONGEST ids at the latest. first: where each stream begins, with the end as last."""
-    place = np.arange(ids.size) - np.repeat(first[:-1], np.diff(first))
-    x, h = mix64(ids.astype(np.uint64) + np.uint64(1)), np.zeros(ids.size, np.uint64)
-    for i in range(min(WINDOW, ids.size)):
-        h[i:] += np.where(place[i:] >= i, x[: ids.size - i] * _SALT[i], np.uint64(0))
-    ends = np.flatnonzero(mix64(h) % np.uint64(AVERAGE) == 0) + 1
+    LONGEST ids at the latest. No cut is within a stream's first WINDOW - 1 ids. first: where each stream begins, with the end as last."""
+    h = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    size = 1
+    while size < WINDOW:  # h of 2 * size ids from those of size ids
+        older = h[:-size] * np.uint32(pow(0xC2B2AE3D, size, 1 << 32))
+        h[size:] += older
+        size *= 2
+    ends = np.flatnonzero(h * np.uint32(0x27D4EB2F) >> np.uint32(33 - AVERAGE.bit_length()) == 0) + 1
+    ends = ends[ends - first[np.searchsorted(first, ends, side="left") - 1] >= WINDOW]
     edge = np.searchsorted(ends, first, side="right")
     out = []
     for k, (last, stop) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -122,7 +126,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
             names, texts, lo = b.column(0).to_pylist(), texts_of(b, text_col), 0
             while lo < len(texts):
                 hi, size, streams = lo, 0, []
-                while hi < len(texts) and size < 8 << 20:
+                while hi < len(texts) and size < 2 << 20:
                     streams.append(enc.encode(texts[hi]) + end)
                     size += len(streams[-1])
                     hi += 1
@@ -213,9 +217,9 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
             ids = [np.frombuffer(p, dtype).astype("<u4") for p in parts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.size for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(good)], names=["hash", "n", "crc", "good"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(digest, "hash binary, n long, crc long, good boolean").select(F.hex("hash").alias("hash"), "n", "crc", "good")
+    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(digest, "hash binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
-    uses = recipes.select("shard", "place", F.posexplode("hashes").alias("k", "h")).select("shard", "place", "k", F.hex("h").alias("hash"))
+    uses = recipes.select("shard", "place", F.posexplode("hashes").alias("k", "hash"))
     counted = cut(uses.groupBy("hash").agg(F.count(F.lit(1)).alias("uses")).join(chunks, "hash", "left"))
     met = skew_join(uses, counted, ["hash"], "uses", F.concat_ws(".", "shard", "place", "k"))
     docs = met.groupBy("shard", "place").agg(F.sort_array(F.collect_list(F.struct("k", "hash", "n", "crc", "good"))).alias("c"))
@@ -225,12 +229,16 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
-            rows = b.column(3).to_pylist()
-            good = [all(x["good"] for x in c) for c in rows]
-            good = [g and sum(x["n"] for x in c) == n and merkle_root([bytes.fromhex(x["hash"]) for x in c]) == root for g, c, n, root in zip(good, rows, b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            parts = [x for c in rows for x in c]
-            first = np.cumsum([0, *(len(c) for c in rows)])[:-1]
-            crcs = crc_of_parts(np.array([x["crc"] or 0 for x in parts]), 4 * np.array([x["n"] or 0 for x in parts]), first).astype(np.int64) if rows else []
+            if not b.num_rows:
+                continue
+            parts, size = b.column(3).flatten(), b.column(3).value_lengths().to_numpy()  # a document has its end id's chunk at least
+            c = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
+            first = np.cumsum(size) - size
+            n, crc = (c[k].fill_null(0).to_numpy() for k in ("n", "crc"))
+            good = np.logical_and.reduceat(c["good"].fill_null(False).to_numpy(zero_copy_only=False), first) & (np.add.reduceat(n, first) == b.column(2).to_numpy())
+            leaves = c["hash"].to_pylist()
+            good = [bool(g) and merkle_root(leaves[lo : lo + k]) == root for g, lo, k, root in zip(good, first.tolist(), size.tolist(), b.column(4).to_pylist(), strict=True)]
+            crcs = crc_of_parts(crc, 4 * n, first).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64()), pa.array(good)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return docs.select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "c", "root").mapInArrow(join, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")

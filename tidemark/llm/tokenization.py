@@ -12,13 +12,14 @@ import base64
 import json
 import re
 import struct
+from operator import itemgetter
 
 import numpy as np
 
 from .common import ASCII_LOWER
 
-#: Chunks held per worker; the table is emptied when full.
-CACHE = 700_000
+#: Chunks held per worker, in two tables: when the newer one has half of them, it takes the older one's place.
+CACHE = 500_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = " \\t\\n\\r\\x0b\\x0c"
 _PLAIN = re.compile(f"[{_BLANK}]*[!-~À-ÖØ-öø-ÿ]*\\Z")
@@ -83,6 +84,7 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str | bytes, bytes] = {}
         self.full = Tokenizer.from_str(tokenizer_json)
         self.full.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         self.tokenize = self.full.model.tokenize
@@ -90,6 +92,16 @@ class ChunkEncoder(dict):
         char = byte_chars()
         self.shown = {b: char[b] for b in range(256)}
 
+    def __missing__(self, chunk: str | bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -109,16 +121,13 @@ class WordEncoder(ChunkEncoder):
 
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
+    def fresh(self, word: bytes) -> bytes:
         text = word.decode()
-        ids = self.pieces(self.PIECE.findall(text.lower())) if _PLAIN.match(text) else self.whole(text)
-        self[word] = ids
-        return ids
+        return self.pieces(self.PIECE.findall(text.lower())) if _PLAIN.match(text) else self.whole(text)
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join([self[w] for w in text.translate(ASCII_LOWER).split()])
+        words = text.translate(ASCII_LOWER).split()
+        return b"".join(itemgetter(*words)(self)) if len(words) > 1 else b"".join([self[w] for w in words])
 
 
 class ByteEncoder(ChunkEncoder):
@@ -127,12 +136,8 @@ class ByteEncoder(ChunkEncoder):
     CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
     PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.pieces(self.PIECE.findall(chunk)) if _PLAIN.match(chunk) else self.whole(chunk)
-        self[chunk] = ids
-        return ids
+    def fresh(self, chunk: str) -> bytes:
+        return self.pieces(self.PIECE.findall(chunk)) if _PLAIN.match(chunk) else self.whole(chunk)
 
     def encode(self, text: bytes) -> bytes:
         t = text.decode()
