@@ -390,3 +390,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import studies  # noqa: E402,F401  its queries join the registry above
