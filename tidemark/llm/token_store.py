@@ -214,8 +214,11 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
         for b in batches:
             parts = b.column(1).to_pylist()
             good = [chunk_hash(p) == h for h, p in zip(b.column(0).to_pylist(), parts, strict=True)]
-            ids = [np.frombuffer(p, dtype).astype("<u4") for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.size for i in ids], pa.int64()), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), pa.array(good)], names=["hash", "n", "crc", "good"])
+            every, n = np.frombuffer(b"".join(parts), dtype).astype("<u4"), np.array([len(p) for p in parts], np.int64) // np.dtype(dtype).itemsize
+            ends = 4 * np.cumsum(n)
+            view = memoryview(every).cast("B")
+            crc = [zlib.crc32(view[lo:hi]) for lo, hi in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(crc, pa.int64()), pa.array(good)], names=["hash", "n", "crc", "good"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(digest, "hash binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")

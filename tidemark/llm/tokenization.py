@@ -20,6 +20,8 @@ from .common import ASCII_LOWER
 
 #: Chunks held per worker, in two tables: when the newer one has half of them, it takes the older one's place.
 CACHE = 500_000
+#: What one piece of a word pipeline may hold together: printable ASCII but letters and digits.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = " \\t\\n\\r\\x0b\\x0c"
 _PLAIN = re.compile(f"[{_BLANK}]*[!-~À-ÖØ-öø-ÿ]*\\Z")
@@ -122,6 +124,12 @@ class WordEncoder(ChunkEncoder):
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def fresh(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one piece
+            ids = [t.id for t in self.tokenize(word.decode())]
+            return self.pack[len(ids)](*ids) if len(ids) < 16 else np.array(ids, "<u4").tobytes()
+        stem = word.rstrip(PUNCTUATION)
+        if stem.isalpha():  # two pieces, which the table may have
+            return self[stem] + self[word[len(stem) :]]
         text = word.decode()
         return self.pieces(self.PIECE.findall(text.lower())) if _PLAIN.match(text) else self.whole(text)
 
