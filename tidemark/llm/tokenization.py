@@ -19,7 +19,7 @@ import numpy as np
 from .common import ASCII_LOWER
 
 #: Chunks held per worker, in two tables: when the newer one has half of them, it takes the older one's place.
-CACHE = 500_000
+CACHE = 800_000
 #: What one piece of a word pipeline may hold together: printable ASCII but letters and digits.
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -95,9 +95,7 @@ class ChunkEncoder(dict):
         self.shown = {b: char[b] for b in range(256)}
 
     def __missing__(self, chunk: str | bytes) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.fresh(chunk)
+        ids = self.older.get(chunk) or self.fresh(chunk)
         if len(self) >= CACHE // 2:
             self.older = dict(self)
             self.clear()
