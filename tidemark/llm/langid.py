@@ -137,7 +137,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     text = F.col(text_col)
     rows = docs.where(text.isNotNull() & (text != "") & F.col(lang_col).isNotNull() & (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 != 2))
     place = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
-    got = rows.select(F.xxhash64(id_col).alias("o"), F.col(lang_col).alias("lang"), F.array(*[F.substring(text, place(k), F.lit(WINDOW)) for k in range(SLICES)]).alias("x")).orderBy("o", "lang").limit(sample).collect()
+    seen = rows.select(F.xxhash64(id_col).alias("o"), F.col(lang_col).alias("lang"), F.array(*[F.substring(text, place(k), F.lit(WINDOW)) for k in range(SLICES)]).alias("x"))
+    share = 4 * sample / max(docs.count(), 1)  # of the hashes: what tasks send for the final choice does not grow with their number
+    while True:
+        got = seen.where(F.col("o") <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy("o", "lang").limit(sample).collect()
+        if len(got) == sample or share >= 1:
+            break
+        share *= 8  # few labels: look further
     classes = sorted({r.lang for r in got})
     x = np.zeros((len(got) * SLICES, WINDOW), np.uint8)
     y = np.zeros(len(x), np.int64)
