@@ -148,6 +148,44 @@ def test_lm(docs):
     assert len(rows) == len(ROWS) and ngram_lm.score(empty(docs)).count() == 0
 
 
+def test_lm_keeps_what_is_seen_twice(spark):
+    """At the production settings, with so many tokens that a share of 2e-6 is more than three: scores by brute force."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    learned, tested = [d for d in range(60) if not held(d)], [d for d in range(60) if held(d)]
+    rows = [(d, "a b c d " * 25_000) for d in learned[:20]]
+    rows += [(learned[20], "x y z q"), (learned[21], "X y z a"), (learned[22], "y z y z b"), (tested[0], "x y z"), (tested[1], "u x y z"), (tested[2], "z a b"), (tested[3], "")]
+    grams = [Counter() for _ in range(3)]
+    toks = {d: ["<s>", *t.lower().split(), "</s>"] for d, t in rows}
+    for d, w in toks.items():
+        if not held(d):
+            for k in range(3):
+                grams[k].update(tuple(w[i - k : i + 1]) for i in range(max(1, k), len(w)))
+    n, v = sum(grams[0].values()), len(grams[0])
+    assert 2e-6 * n > 3
+    sums, kept = [Counter(), Counter()], [Counter(), Counter()]
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            sums[k - 1][g[:-1]] += c
+            kept[k - 1][g[:-1]] += (c - 0.75) * (c > 1)
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g] + 1) / (n + v + 1)
+        context, k = g[:-1], len(g) - 2
+        below = p(g[1:])
+        if not sums[k][context]:
+            return below
+        c = grams[k + 1][g]
+        return (c - 0.75) * (c > 1) / sums[k][context] + max(1e-9, 1 - kept[k][context] / sums[k][context]) * below
+
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d in got:
+        if d not in learned[:20]:
+            w = toks[d]
+            assert got[d].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w))), abs=5e-4 * len(w))
+    assert got[tested[0]].score > got[tested[0]].base_score + 2
+
+
 def test_packing(docs):
     ids, texts = full_ids(), dict(ROWS)
     rows = packing.pack(packing.token_pieces(docs, WORD_JSON, 0, 256), 256).collect()

@@ -1,41 +1,38 @@
-"""LM scoring by an n-gram model held as an Elias-Fano trie.
-
-Counting covers every training text: words are 64-bit hashes, counted per batch, packed by bucket and merged where their bucket lives.
-- Words with a share of FREQUENT or more of all tokens (at most 1/FREQUENT) get ids. Bigrams and trigrams with a share of KEPT or more
-  (at most 1/KEPT each) enter the trie; as a kept n-gram's parts are at least as frequent, each order is counted only where the order below is kept.
-- The trie: level 2 has the successors of each word, level 3 those of each bigram, written as ranks among the successors of the
-  bigram's second word. Pointers and successors are monotone Elias-Fano sequences in one file that workers map into memory; a look-up is a successor search within the context's
-  range. Probabilities (absolute discounting, interpolated) and back-off weights are quantised logarithms.
-- Words below FREQUENT (no bound on their number) stay in the distributed table of counts. Their occurrences go to their bucket, packed, and
-  one sum per document comes back.
+"""LM scoring by an n-gram model held as Elias-Fano tries, one for each range of hashes.
+
+Counting covers every training text. Nothing of the model is gathered in one place or depends on the corpus' size: a word, bigram or trigram seen LEAST times
+or more takes part. Texts are dealt in batches, and each order takes one round of requests and replies between the batches and the model's buckets:
+- A batch sends its distinct keys with their counts in training texts to the keys' buckets. A bucket sums the counts and replies to each batch in the order of
+  its keys. Words are 64-bit hashes; frequent enough words and bigrams get ids (32 bits), so that a bigram is the ids of its two words, and a trigram the ids
+  of a bigram and a word, which are exact. As an n-gram's parts are at least as frequent, the next order is asked for only where the order below is kept.
+- A bucket holds whole contexts. Its level of the trie has the successors of each context, contexts in order, as one monotone Elias-Fano sequence, and the
+  contexts as another; a look-up is a successor search. Gains (absolute discounting, interpolated) and back-off weights are quantised logarithms.
+- Words seen less often have their counts only. What follows a context and isn't kept is counted as one more successor, so a context's total is exact.
 """
 
 from __future__ import annotations
 
-import json
-import mmap
-import os
-import tempfile
-import uuid
+import time
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, shuffles, texts_of, word_hashes
+from .common import cut, mix64, release, shuffles, texts_of, word_hashes
 
-FREQUENT, KEPT, DISCOUNT = 5e-7, 2e-6, 0.75
-BATCH = 16 << 20
+LEAST, DISCOUNT = 2, 0.75
+BATCH = 8 << 20
 END = np.uint64(0x5CA1AB1E0DDBA11)
-#: Step of a quantised log10; the range is 65,535 steps below 0.
+#: Step of a quantised log10; the range is 65,535 steps below 0, the last of which stands for no gain at all.
 STEP = 1 / 4096
-_COUNT = np.dtype([("h", "<u8"), ("n", "<i8")])
-_USE = np.dtype([("h", "<u8"), ("doc", "<u4"), ("n", "<u4")])
-_REPLY = np.dtype([("doc", "<u4"), ("n", "<u4"), ("s", "<f8")])
+#: Ids: the start of a text, and words or bigrams without one.
+START, NONE = 0, 0xFFFFFFFF
+_SHIFT, _LOW = np.uint64(32), np.uint64(NONE)
+#: Replies of each round: ids and counts; ids, gains and back-off weights; nothing is asked beyond trigrams.
+_KINDS = {1: ("<u4", "<i8"), 2: ("<u4", "<u2", "<u2"), 3: ("<u2", "<u2")}
 
 
 class EliasFano:
@@ -114,127 +111,41 @@ class EliasFano:
             lo, hi = np.where(less, mid + 1, lo), np.where(busy & ~less, mid, hi)
         return np.where(beyond, self.n, lo)
 
-    def arrays(self) -> list[np.ndarray]:
-        return [self.low, self.high, self.zeros]
+
+_POWER = 10.0 ** (-STEP * np.arange(65536))
 
 
 def _quantise(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / STEP), 0, 65535).astype(np.uint16)
 
 
-class Trie:
-    """words: sorted hashes, counts: theirs; level 2 and 3 as the module says."""
-
-    def __init__(self, head: dict, a: list[np.ndarray]):
-        self.total, self.distinct, self.documents = head["total"], head["distinct"], head["documents"]
-        self.words, self.counts = a[0], a[1]
-        self.p2, self.s2, self.p3, self.s3 = (EliasFano(n, b, *a[2 + 3 * i : 5 + 3 * i]) for i, (n, b) in enumerate(head["ef"]))
-        self.prob2, self.back1, self.prob3, self.back2, self.base2, self.base3 = a[14:20]
-        self.uni = np.log10((self.counts + 1) / (self.total + self.distinct + 1))
+class Level:
+    """One order of the trie in one bucket: successors of contexts as (context << 32 | word) in order, with gains, and the contexts, with what they leave to the order below."""
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """The words' ids; -1 for words without."""
-        if not self.words.size:
-            return np.full(h.size, -1)
-        i = np.minimum(np.searchsorted(self.words, h), self.words.size - 1)
-        return np.where(self.words[i] == h, i, -1)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: float):
+        """keys: all in the bucket, sorted; those of at least `least` are kept, but for NONE."""
+        context, of = np.unique(keys >> _SHIFT, return_inverse=True)
+        total = np.bincount(of, counts, context.size)
+        keep = (counts >= least) & (keys & _LOW != _LOW)
+        gain = np.maximum(counts[keep] - DISCOUNT, 0) / total[of[keep]]
+        used = np.bincount(of[keep], gain, context.size)
+        self.keys, self.gain = EliasFano.build(keys[keep]), np.minimum(_quantise(np.log10(gain)), 65534)
+        self.contexts, self.left = EliasFano.build(context[used > 0]), _quantise(np.log10(np.clip(1 - used[used > 0], 1e-9, 1)))
 
     @staticmethod
-    def _find(pointers: EliasFano, values: EliasFano, base: np.ndarray, context: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Place of x among the context's successors, or -1."""
-        if values.n == 0 or context.size == 0:
-            return np.full(context.size, -1)
-        want = base[context].astype(np.uint64) + x.astype(np.uint64)
-        at = values.successor(want)
-        lo, hi = pointers.get(context).astype(np.int64), pointers.get(context + 1).astype(np.int64)
-        ok = (at >= lo) & (at < hi)
-        ok[ok] = values.get(at[ok]) == want[ok]
+    def _find(values: EliasFano, x: np.ndarray) -> np.ndarray:
+        """Place of each x, or -1."""
+        at = values.successor(x)
+        ok = at < values.n
+        ok[ok] = values.get(at[ok]) == x[ok]
         return np.where(ok, at, -1)
 
-    def bigram(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.full(u.size, -1)
-        ok = np.flatnonzero((u >= 0) & (v >= 0))
-        out[ok] = self._find(self.p2, self.s2, self.base2, u[ok], v[ok])
-        return out
-
-    def trigram(self, uv: np.ndarray, v: np.ndarray, vw: np.ndarray) -> np.ndarray:
-        """uv, vw: bigrams' places (or -1); the third word is its rank among v's successors."""
-        out = np.full(uv.size, -1)
-        ok = np.flatnonzero((uv >= 0) & (vw >= 0))
-        out[ok] = self._find(self.p3, self.s3, self.base3, uv[ok], vw[ok] - self.p2.get(v[ok]).astype(np.int64))
-        return out
-
-    def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the two before it; of a word without id only what its contexts add to its unigram."""
-        n = ids.size
-        prev = np.append(-1, ids[:-1]) if n else ids
-        prev[first] = self.words.size  # the start of a text is a context of its own
-        uv = self.bigram(prev, ids)
-        back = -STEP * np.where(prev >= 0, self.back1[np.maximum(prev, 0)], 0)
-        p = np.where(uv >= 0, -STEP * self.prob2[np.maximum(uv, 0)] if self.prob2.size else 0, back + np.where(ids >= 0, self.uni[np.maximum(ids, 0)] if self.uni.size else 0, 0))
-        before = np.append(-1, uv[:-1]) if n else uv
-        before[first] = -1
-        t = self.trigram(before, prev, uv)
-        has = before >= 0
-        p = np.where(t >= 0, -STEP * self.prob3[np.maximum(t, 0)] if self.prob3.size else 0, p - STEP * np.where(has, self.back2[np.maximum(before, 0)] if self.back2.size else 0, 0))
-        return p
-
-    @staticmethod
-    def build(words, counts, total, distinct, documents, bi, bi_n, tri, tri_n) -> bytes:
-        """bi: (u, v) id pairs in order, tri: (place of uv, w) in order; u may be len(words), the start of a text."""
-        n_ctx = words.size + 1
-        uni = (counts + 1) / (total + distinct + 1)
-        context = np.append(counts, documents).astype(float)
-        p2 = np.concatenate([[0], np.cumsum(np.bincount(bi[:, 0], minlength=n_ctx))]) if len(bi) else np.zeros(n_ctx + 1, np.int64)
-        gain = np.maximum(bi_n - DISCOUNT, 0) / np.maximum(context[bi[:, 0]], 1)
-        left1 = np.clip(1 - np.bincount(bi[:, 0], gain, n_ctx), 1e-9, 1)
-        prob2 = gain + left1[bi[:, 0]] * uni[bi[:, 1]]
-        rank = np.arange(len(bi)) - p2[bi[:, 0]]
-        # the place of (v, w) for every kept (u, v, w)
-        key = bi[:, 0] * n_ctx + bi[:, 1]
-        vw = np.searchsorted(key, bi[tri[:, 0], 1] * n_ctx + tri[:, 1]) if len(tri) else np.empty(0, np.int64)
-        p3 = np.concatenate([[0], np.cumsum(np.bincount(tri[:, 0], minlength=len(bi)))]) if len(tri) else np.zeros(len(bi) + 1, np.int64)
-        gain = np.maximum(tri_n - DISCOUNT, 0) / np.maximum(bi_n[tri[:, 0]], 1) if len(tri) else np.empty(0)
-        left2 = np.clip(1 - np.bincount(tri[:, 0], gain, len(bi)), 1e-9, 1) if len(bi) else np.empty(0)
-        prob3 = gain + left2[tri[:, 0]] * prob2[vw] if len(tri) else np.empty(0)
-
-        def monotone(ptr, child, width):
-            base = np.arange(len(ptr) - 1, dtype=np.int64) * width
-            return EliasFano.build(np.repeat(base, np.diff(ptr)) + child), base
-
-        s2, base2 = monotone(p2, bi[:, 1], n_ctx)
-        s3, base3 = monotone(p3, rank[vw] if len(tri) else np.empty(0, np.int64), int(np.diff(p2).max(initial=0)) + 1)
-        efs = [EliasFano.build(p2), s2, EliasFano.build(p3), s3]
-        arrays = [words, counts.astype(np.int64), *(a for e in efs for a in e.arrays()), _quantise(np.log10(prob2)), _quantise(np.log10(left1)), _quantise(np.log10(prob3)), _quantise(np.log10(left2)), base2, base3]
-        head = {"total": int(total), "distinct": int(distinct), "documents": int(documents), "ef": [(e.n, e.bits) for e in efs], "arrays": []}
-        body, at = [], 0
-        for a in arrays:
-            raw = np.ascontiguousarray(a).tobytes()
-            raw += b"\0" * (-len(raw) % 8)
-            head["arrays"].append((at, a.size, a.dtype.str))
-            body.append(raw)
-            at += len(raw)
-        top = json.dumps(head).encode()
-        top += b" " * (-(len(top) + 8) % 8)
-        return len(top).to_bytes(8, "little") + top + b"".join(body)
-
-    @classmethod
-    def map(cls, path: str) -> Trie:
-        with open(path, "rb") as f:
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        size = int.from_bytes(m[:8], "little")
-        head = json.loads(m[8 : 8 + size])
-        return cls(head, [np.frombuffer(m, np.dtype(d), n, 8 + size + at) for at, n, d in head["arrays"]])
-
-
-_TRIES: dict[str, Trie] = {}
-
-
-def _trie(name: str) -> Trie:
-    if name not in _TRIES:
-        _TRIES.clear()
-        _TRIES[name] = Trie.map(SparkFiles.get(name))
-    return _TRIES[name]
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (-1 without), gains and back-off weights of sorted keys."""
+        context, of = np.unique(keys >> _SHIFT, return_inverse=True)
+        at, c = self._find(self.keys, keys), self._find(self.contexts, context)
+        left = np.where(c >= 0, self.left[c] if self.left.size else 0, 0)
+        return at, np.where(at >= 0, self.gain[at] if self.gain.size else 0, 65535), left[of]
 
 
 def held_out(ids: list) -> np.ndarray:
@@ -263,177 +174,209 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, first, np.repeat(np.arange(len(texts)), np.diff(at) + 1)
 
 
-def _packed_counts(key: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    own, n = np.unique(key, return_counts=True)
-    rec = np.empty(own.size, _COUNT)
-    rec["h"], rec["n"] = own, n
-    bucket = (own % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    rows = [(k, rec[order[edge[k] : edge[k + 1]]].tobytes()) for k in range(n_buckets) if edge[k] < edge[k + 1]]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "recs"])
+_CODEC, _TEXT_CODEC = pa.Codec("zstd", 1), pa.Codec("zstd", 3)
 
 
-def _merged(rows: list[bytes]) -> np.ndarray:
-    rec = np.frombuffer(b"".join(rows), _COUNT)
-    own, number = np.unique(rec["h"], return_inverse=True)
-    out = np.empty(own.size, _COUNT)
-    out["h"], out["n"] = own, np.bincount(number, rec["n"], own.size).astype(np.int64) if own.size else 0
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length as byte planes, compressed: high bytes of small numbers vanish."""
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(c.size, -1).T).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(_CODEC.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = raw.size // sum(widths), [], 0
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).reshape(n))
+        at += n * w
     return out
 
 
-def _count(train: DataFrame, keys, n_buckets: int, least: float = 0) -> DataFrame:
-    """bucket, recs (sorted keys and counts, packed), total, distinct: counts of keys(texts) over all rows of train, those under `least` left out."""
+def _pack_request(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, the upper halves as differences."""
+    upper = (keys >> _SHIFT).astype("<u4")
+    return _pack(np.diff(upper, prepend=np.uint32(0)), keys.astype("<u4"), counts)
 
-    def send(batches):
-        for _, texts in _gathered(batches):
-            yield from _packed_counts(keys(texts), n_buckets)
 
-    def merge(table: pa.Table) -> pa.Table:
-        rec = _merged(table.column("recs").to_pylist())
-        total, distinct = int(rec["n"].sum()), rec.size
-        if least:
-            rec = rec[rec["n"] >= least]
-        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "recs": pa.array([rec.tobytes()], pa.binary()), "total": pa.array([total], pa.int64()), "distinct": pa.array([distinct], pa.int64())})
+def _unpack_request(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    upper, lower, counts = _unpack(packed, "<u4", "<u4", "<u4")
+    return np.cumsum(upper, dtype=np.uint64) << _SHIFT | lower, counts
 
-    return train.mapInArrow(send, "bucket int, recs binary").groupBy("bucket").applyInArrow(merge, "bucket int, recs binary, total long, distinct long")
 
+def _pack_texts(texts: list[bytes]) -> bytes:
+    lengths, body = _pack(np.array([len(t) for t in texts], "<u4")), b"".join(texts)
+    return len(lengths).to_bytes(8, "little") + lengths + len(body).to_bytes(8, "little") + _TEXT_CODEC.compress(body, asbytes=True)
 
-def _all_of(df: DataFrame, least: float = 0) -> np.ndarray:
-    """All packed counts of at least `least`; their number is bounded by 1/share, see the module."""
 
-    def pick(batches):
-        for b in batches:
-            kept = [r[r["n"] >= least].tobytes() for r in (np.frombuffer(x, _COUNT) for x in b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], names=["recs"])
+def _unpack_texts(packed: bytes) -> list[bytes]:
+    at = 8 + int.from_bytes(packed[:8], "little")
+    edge = np.cumsum(np.append(0, _unpack(packed[8:at], "<u4")[0].astype(np.int64))).tolist()
+    body = _TEXT_CODEC.decompress(packed[at + 8 :], int.from_bytes(packed[at : at + 8], "little"), asbytes=True)
+    return [body[lo:hi] for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+
 
-    rows = df.select("recs").mapInArrow(pick, "recs binary").collect()
-    return np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in rows), _COUNT), order="h")
+class _Dealt:
+    """Distinct keys by bucket, how often each stands in training texts, and the way back."""
 
+    def __init__(self, keys: np.ndarray, train: np.ndarray, n_buckets: int, by: np.uint64):
+        own, self.number = np.unique(keys, return_inverse=True)
+        bucket = (mix64(own >> by) % np.uint64(n_buckets)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        self.turn, self.keys = turn, own[turn]
+        self.counts = np.bincount(self.number, train, own.size).astype("<u4")[turn]
+        self.edge = np.searchsorted(bucket[turn], np.arange(n_buckets + 1))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: float = FREQUENT, kept: float = KEPT) -> DataFrame:
+    def requests(self, batch: str) -> pa.Table:
+        parts = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(self.edge[:-1], self.edge[1:], strict=True)) if lo < hi]
+        recs = [_pack_request(self.keys[lo:hi], self.counts[lo:hi]) for _, lo, hi in parts]
+        return pa.table({"bucket": pa.array([p[0] for p in parts], pa.int32()), "batch": pa.array([batch] * len(parts), pa.string()), "recs": pa.array(recs, pa.binary())})
+
+    def replies(self, by_bucket: dict[int, bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """The replies' columns, one value for each key that was given."""
+        parts = [_unpack(by_bucket[k], *kinds) for k in sorted(by_bucket)]
+        out = []
+        for i, kind in enumerate(kinds):
+            column = np.empty(self.keys.size, kind)
+            column[self.turn] = np.concatenate([p[i] for p in parts]) if parts else np.empty(0, kind)
+            out.append(column[self.number])
+        return out
+
+
+def _answers(level: int, n_buckets: int, least: float):
+    """A bucket's replies to all batches."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket, recs = table.column("bucket")[0].as_py(), table.column("recs").to_pylist()
+        asked = [_unpack_request(x) for x in recs]
+        edge = np.cumsum([0, *(k.size for k, _ in asked)])
+        own, number = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+        n = np.bincount(number, np.concatenate([c for _, c in asked]), own.size).astype(np.int64)
+        del recs, asked
+        if level == 1:
+            place = np.where(n >= least, np.cumsum(n >= least) - 1, -1)
+        else:
+            place, gain, left = Level(own, n, least).find(own)
+        if place.max(initial=-1) * n_buckets + bucket + 1 >= NONE:
+            raise OverflowError("more than 2**32 ids")
+        ids = np.where(place >= 0, place * n_buckets + bucket + 1, NONE).astype("<u4")
+        columns = (ids, n) if level == 1 else (ids, gain, left) if level == 2 else (gain, left)
+        columns = [c.astype(k) for c, k in zip(columns, _KINDS[level], strict=True)]
+        out = [_pack(*(c[number[lo:hi]] for c in columns)) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+        first = lambda x: pa.array([int(x), *[0] * (len(out) - 1)], pa.int64())
+        kind = pa.array([level] * len(out), pa.int32())
+        return pa.table({"batch": table.column("batch"), "level": kind, "bucket": table.column("bucket").cast(pa.int32()), "recs": pa.array(out, pa.binary()), "total": first(n.sum()), "distinct": first((n > 0).sum())})
+
+    return answer
+
+
+class _Batch:
+    """A batch's tokens and what the rounds so far have replied."""
+
+    def __init__(self, ids: list, texts: list[bytes], replies: dict[int, dict[int, bytes]], n_buckets: int, least: float, done: int):
+        self.h, first, self.doc = tokens(texts)
+        train = (~held_out(ids))[self.doc].astype(float)
+        self.asked = _Dealt(self.h, train, n_buckets, np.uint64(0))
+        if not done:
+            return
+        ids, self.n = self.asked.replies(replies[1], _KINDS[1])
+        word = np.where(self.n >= least, ids, NONE).astype(np.uint64)
+        self.gain, self.left, context = [], [], self._before(word, first, START)
+        for level in (2, 3):
+            ok = np.flatnonzero(context != _LOW)
+            self.asked = _Dealt(context[ok] << _SHIFT | word[ok], train[ok], n_buckets, _SHIFT)
+            if level > done:
+                return
+            *ids, g, b = self.asked.replies(replies.get(level, {}), _KINDS[level])
+            gain, left, gram = np.zeros(word.size), np.ones(word.size), np.full(word.size, _LOW)
+            gain[ok], left[ok] = np.where(g < 65535, _POWER[g], 0), _POWER[b]
+            if ids:
+                gram[ok] = ids[0]
+            self.gain.append(gain)
+            self.left.append(left)
+            # a trigram whose end isn't a kept bigram isn't kept itself
+            context, word = self._before(gram, first, NONE), np.where(gram != _LOW, word, _LOW)
+
+    @staticmethod
+    def _before(x: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+        out = np.append(np.uint64(start), x[:-1]) if x.size else x
+        out[first] = start
+        return out
+
+
+def _settle(spark) -> None:
+    """Release the round's shuffle files before the next one writes its own: the driver's Python lets go of its references a little later than it collects them."""
+    for _ in range(3):
+        release(spark)
+        time.sleep(0.4)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: float = 0, kept: float = 0) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score: add-one unigrams; score: the trie's log10 probability of the whole text, its end included. Null and empty texts are their end alone.
     Texts whose crc32 of the id is 2 modulo 7 are not learned from (a null id counts as an empty one). With no training text at all every token has
-    the same probability, 1. Repeated rows are scored alike. Other columns are not read.
+    the same probability, 1. Repeated rows are scored alike. Other columns are not read. Where given, words (n-grams) with a share of all tokens below
+    frequent (kept) take no part in n-grams, however often they are seen.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, b_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     n_buckets = max(1, shuffles(spark))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = base.where(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 7 != 2)
-    vocab = cut(_count(train, lambda t: tokens(t)[0], n_buckets), "vocab")
-    total, distinct = (int(x or 0) for x in vocab.agg(F.sum("total"), F.sum("distinct")).first())
-    table = _all_of(vocab, max(1, frequent * total))
-    words, counts = table["h"].copy(), table["n"].copy()
-    documents = int(counts[np.searchsorted(words, END)]) if total else 0
-    shared = spark.sparkContext.broadcast(words)  # at most 1/frequent words
-    n_ctx = words.size + 1
-
-    def word_ids(texts: list[bytes]):
-        h, first, _ = tokens(texts)
-        own = shared.value
-        i = np.minimum(np.searchsorted(own, h), max(own.size - 1, 0))
-        ids = np.where(own[i] == h, i, -1) if own.size else np.full(h.size, -1)
-        prev = np.append(-1, ids[:-1]) if h.size else ids
-        prev[first] = own.size
-        return ids, prev, first
-
-    def bigram_keys(texts):
-        ids, prev, _ = word_ids(texts)
-        ok = (ids >= 0) & (prev >= 0)
-        return (prev[ok] * n_ctx + ids[ok]).astype(np.uint64)
-
-    least = max(2, kept * total)
-    pairs = _all_of(_count(train, bigram_keys, n_buckets, least))
-    release(spark)
-    shared_pairs = spark.sparkContext.broadcast(pairs["h"].copy())  # at most 1/kept
-
-    def trigram_keys(texts):
-        ids, prev, first = word_ids(texts)
-        own = shared_pairs.value
-        if not own.size:
-            return np.empty(0, np.uint64)
-        key = np.where((ids >= 0) & (prev >= 0), prev * n_ctx + ids, 0).astype(np.uint64)
-        i = np.minimum(np.searchsorted(own, key), own.size - 1)
-        place = np.where((own[i] == key) & (ids >= 0) & (prev >= 0), i, -1)
-        before = np.append(-1, place[:-1]) if place.size else place
-        before[first] = -1
-        ok = (before >= 0) & (place >= 0)
-        return (before[ok] * n_ctx + ids[ok]).astype(np.uint64)
-
-    triples = _all_of(_count(train, trigram_keys, n_buckets, least))
-    split = lambda k: np.stack([(k // np.uint64(n_ctx)).astype(np.int64), (k % np.uint64(n_ctx)).astype(np.int64)], 1)
-    blob = Trie.build(words, counts, total, distinct, documents, split(pairs["h"]), pairs["n"], split(triples["h"]), triples["n"])
-    name = f"trie-{uuid.uuid4().hex}"
-    local = os.path.join(tempfile.mkdtemp(), name)  # Spark ships it to every executor, also to those that join later
-    with open(local, "wb") as f:
-        f.write(blob)
-    spark.sparkContext.addFile(local)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie, part, number = _trie(name), TaskContext.get().partitionId(), 0
-        for ids, texts in _gathered(batches):
-            h, first, doc = tokens(texts)
-            w = trie.ids(h)
-            p = trie.scores(w, first)
-            known = w >= 0
-            uni = np.where(known, trie.uni[np.maximum(w, 0)] if trie.uni.size else 0, 0)
-            n = np.bincount(doc, minlength=len(ids))
-            own = np.array([n, np.bincount(doc, known, len(ids)), np.bincount(doc, uni, len(ids)), np.bincount(doc, p, len(ids))], float)
-            key = f"{part}.{number}"
-            number += 1
-            out = [(None, key, own.tobytes(), ids)]
-            rare = np.flatnonzero(~known)
-            order = rare[np.lexsort((doc[rare], h[rare]))]
-            hr, dr = h[order], doc[order]
-            head = np.flatnonzero(np.append(True, (hr[1:] != hr[:-1]) | (dr[1:] != dr[:-1]))[: hr.size])
-            rec = np.empty(head.size, _USE)
-            rec["h"], rec["doc"], rec["n"] = hr[head], dr[head], np.diff(np.append(head, hr.size))
-            bucket = (rec["h"] % np.uint64(n_buckets)).astype(np.int64)
-            turn = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[turn], np.arange(n_buckets + 1))
-            out += [(k, key, rec[turn[edge[k] : edge[k + 1]]].tobytes(), None) for k in range(n_buckets) if edge[k] < edge[k + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.list_(b_type))], names=["bucket", "batch", "recs", "ids"])
+        part = TaskContext.get().partitionId()
+        for number, (ids, texts) in enumerate(_gathered(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}.{number}"]), pa.array([ids], pa.list_(b_type)), pa.array([_pack_texts(texts)], pa.binary())], names=["batch", "ids", "texts"])
+
+    own = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(gather, f"batch string, ids array<{kind}>, texts binary"), "batches")
+    replies: list[DataFrame] = []
+    asks, says = "bucket int, batch string, recs binary", "batch string, level int, bucket int, recs binary, total long, distinct long"
+
+    def rows() -> DataFrame:
+        """Batches and the replies to them."""
+        both = own.select("batch", "ids", "texts", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("recs"))
+        for r in replies:
+            both = both.union(r.select("batch", F.lit(None).cast(f"array<{kind}>"), F.lit(None).cast("binary"), "level", "bucket", "recs"))
+        return both.groupBy("batch")
+
+    def batch_of(table: pa.Table, least: float, done: int) -> tuple[list, _Batch]:
+        found: dict[int, dict[int, bytes]] = {}
+        for k, bucket, recs in zip(*(table.column(c).to_pylist() for c in ("level", "bucket", "recs")), strict=True):
+            if k is None:
+                continue
+            found.setdefault(k, {})[bucket] = recs
+        at = table.column("level").to_pylist().index(None)
+        ids = table.column("ids")[at].as_py()
+        texts = _unpack_texts(table.column("texts")[at].as_py())
+        return ids, _Batch(ids, texts, found, n_buckets, least, done)
+
+    def first_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, ids, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield from _Batch(ids, _unpack_texts(texts), {}, n_buckets, LEAST, 0).asked.requests(name).to_batches()
+
+    replies.append(cut(own.mapInArrow(first_requests, asks).groupBy("bucket").applyInArrow(_answers(1, n_buckets, LEAST), says), "words"))
+    total, distinct = (int(x or 0) for x in replies[0].agg(F.sum("total"), F.sum("distinct")).first())
+    least_word, least = max(LEAST, frequent * total), max(LEAST, kept * total)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    def requests(done: int):
+        return lambda table: batch_of(table, least_word, done)[1].asked.requests(table.column("batch")[0].as_py())
 
-    b_type = to_arrow_type(docs.schema[id_col].dataType)
-    sent = cut(base.mapInArrow(send, f"bucket int, batch string, recs binary, ids array<{kind}>"), "uses")
-    norm = np.log10(total + distinct + 1)
-
-    def look_up(uses: pa.Table, found: pa.Table) -> pa.Table:
-        table = np.frombuffer(b"".join(found.column("recs").to_pylist()), _COUNT)
-        rows = []
-        for recs in uses.column("recs").to_pylist():
-            r = np.frombuffer(recs, _USE)
-            c = np.zeros(r.size)
-            if table.size:
-                i = np.minimum(np.searchsorted(table["h"], r["h"]), table.size - 1)
-                c = np.where(table["h"][i] == r["h"], table["n"][i], 0)
-            own, number = np.unique(r["doc"], return_inverse=True)
-            rep = np.empty(own.size, _REPLY)
-            rep["doc"], rep["n"], rep["s"] = own, np.bincount(number, r["n"] * (c > 0)), np.bincount(number, r["n"] * (np.log10(c + 1) - norm))
-            rows.append(rep.tobytes())
-        return pa.table({"batch": uses.column("batch"), "recs": pa.array(rows, pa.binary()), "ids": pa.nulls(len(rows), pa.list_(b_type))})
-
-    replies = sent.where("bucket is not null").groupBy("bucket").cogroup(vocab.select("bucket", "recs").groupBy("bucket")).applyInArrow(look_up, f"batch string, recs binary, ids array<{kind}>")
+    for level in (2, 3):
+        _settle(spark)
+        replies.append(cut(rows().applyInArrow(requests(level - 1), asks).groupBy("bucket").applyInArrow(_answers(level, n_buckets, least), says), f"order{level}"))
+    _settle(spark)
 
     def finish(table: pa.Table) -> pa.Table:
-        ids, own, rest = [], np.empty((4, 0)), []
-        for r, d in zip(table.column("recs").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            if d is None:
-                rest.append(r)
-            else:
-                ids, own = d, np.frombuffer(r, float).reshape(4, -1).copy()
-        rec = np.frombuffer(b"".join(rest), _REPLY)
-        rec = rec[np.argsort(rec["doc"], kind="stable")]
-        s = np.bincount(rec["doc"], rec["s"], len(ids))
-        own[1] += np.bincount(rec["doc"], rec["n"], len(ids))
+        ids, b = batch_of(table, least_word, 3)
+        uni = (b.n + 1) / (total + distinct + 1)
+        p = b.gain[1] + b.left[1] * (b.gain[0] + b.left[0] * uni)
+        add = lambda x=None: np.bincount(b.doc, x, len(ids))
         n = len(ids)
-        return pa.table({id_col: pa.array(ids, b_type), "held_out": pa.array(held_out(ids)), "n_tokens": pa.array(own[0].astype(np.int64)), "n_known": pa.array(own[1].astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(own[2] + s), "score": pa.array(own[3] + s)})
+        return pa.table({id_col: pa.array(ids, b_type), "held_out": pa.array(held_out(ids)), "n_tokens": pa.array(add().astype(np.int64)), "n_known": pa.array(add(b.n > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(add(np.log10(uni))), "score": pa.array(add(np.log10(np.minimum(p, 1))))})
 
-    return sent.where("bucket is null").select("batch", "recs", "ids").union(replies).groupBy("batch").applyInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows().applyInArrow(finish, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
