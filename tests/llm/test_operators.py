@@ -201,6 +201,29 @@ def test_packing(docs):
     assert packing.pack(packing.token_pieces(empty(docs), WORD_JSON, 0, 256), 256).count() == 0
 
 
+def test_packing_finds_exact_fillings():
+    count = np.zeros(2049, np.int64)
+    count[1100] = count[548] = count[400] = 30
+    count[549:749] = 1
+    assert packing.fillings_around(1100, count, 2048) == (1100, 548, 400)
+    count[549:749] = 0
+    assert packing.solve(count, 2048) == [((1100, 548, 400), 30)]
+    for _ in range(60):
+        count = np.zeros(41, np.int64)
+        for n in R.choices(range(1, 41), k=12):
+            count[n] += R.randint(1, 3)
+        top, sums = int(np.flatnonzero(count)[-1]), {0}
+        own = count.copy()
+        own[top] -= 1
+        for n in np.flatnonzero(own).tolist():
+            sums = {s + k * n for s in sums for k in range(int(own[n]) + 1) if s + k * n <= 40 - top}
+        filling = packing.fillings_around(top, count, 40)
+        assert sum(filling) == top + max(sums) and all(k <= count[n] for n, k in Counter(filling).items())
+        solved = packing.solve(count, 40)
+        assert sum((Counter({n: k * times for n, k in Counter(f).items()}) for f, times in solved), Counter()) == Counter({n: int(k) for n, k in enumerate(count) if k})
+        assert sum(times for _, times in solved) >= packing.least_sequences(count, 40)
+
+
 def test_near(spark):
     r = random.Random(5)
     ws = [f"w{i}" for i in range(3000)]

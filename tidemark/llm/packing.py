@@ -1,7 +1,8 @@
 """Best-fit packing by bin completion: documents, cut only where longer than a sequence, into as few sequences as possible.
 
 How many pieces have each length is all that packing depends on, and there are at most `capacity` lengths; so the search runs over that table, whose size does
-not grow with the data, and gives fillings (a multiset of lengths) with multiplicities. Pieces then take places by their rank among the pieces of their length.
+not grow with the data, and gives fillings (a multiset of lengths) with multiplicities. Each filling wastes as little as any that holds the longest piece left;
+fillings once chosen are not taken back, so the number of sequences is not proven to be the least (`least_sequences` is the bound to hold it against). Pieces then take places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -17,58 +18,46 @@ from pyspark.sql import functions as F
 from .common import cut, texts_of
 from .tokenization import WordEncoder, encoder
 
-#: Nodes that the search for one filling may visit.
-NODES = 4000
-
-
-def fillings_around(largest: int, count: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[int, ...]:
+def reachable(lengths: np.ndarray, count: np.ndarray, room: int) -> list[int]:
+    """Bitsets for k = 0..len(lengths): bit s is set where pieces of lengths[k:] (descending) sum to exactly s, for s up to room."""
+    mask = (1 << (room + 1)) - 1
+    sums = [1] * (len(lengths) + 1)
+    for k in range(len(lengths) - 1, -1, -1):
+        n, left, step, bits = int(lengths[k]), int(count[lengths[k]]), 1, sums[k + 1]
+        left = min(left, room // n)
+        while left > 0:  # multiplicities in binary: 1, 2, 4, ... and the rest
+            take = min(step, left)
+            bits |= (bits << (take * n)) & mask
+            left, step = left - take, 2 * step
+        sums[k] = bits
+    return sums
+
+
+def fillings_around(largest: int, count: np.ndarray, capacity: int) -> tuple[int, ...]:
     """The least wasteful filling of a sequence that holds a piece of the largest length; among equal ones, that of the longest pieces.
 
-    Branch and bound over the lengths in descending order. The best-fit filling is the first incumbent. A branch is left when even filling the rest
-    exactly can't beat the incumbent, or when its filling is dominated: a longer piece that still fits could stand for the one chosen at no other cost.
+    What pieces can sum to is a table of bitsets, so the least waste is known beforehand and no branch that misses it is entered: at every length the most
+    pieces of it are taken that leave a rest which shorter pieces fill exactly. That is exact and takes one step a length, without search or recursion.
     """
-    lengths = np.flatnonzero(count)[::-1]
-    rest = capacity - largest
     own = count.copy()
     own[largest] -= 1
-    best: list = [capacity + 1, ()]
-    visits = 0
-
-    def largest_fit(limit: int) -> int:
-        """Longest available length of at most limit, or 0."""
-        k = int(np.searchsorted(-lengths, -limit))
-        while k < len(lengths) and own[lengths[k]] <= 0:
-            k += 1
-        return int(lengths[k]) if k < len(lengths) else 0
-
-    def search(room: int, limit: int, chosen: list[int]) -> None:
-        nonlocal visits
-        visits += 1
-        fit = largest_fit(min(room, limit))
-        if fit == 0:
-            if room < best[0]:
-                best[:] = [room, tuple(chosen)]
-            return
-        tried = 0
-        while fit and best[0] > 0 and visits < nodes:
-            own[fit] -= 1
-            chosen.append(fit)
-            search(room - fit, fit, chosen)
-            chosen.pop()
-            own[fit] += 1
-            tried += 1
-            # Shorter pieces than this one: only worth it where they could fill what this one cannot, so two together must fit
-            nxt = largest_fit(fit - 1)
-            if nxt == 0 or tried > 64:
-                break
-            fit = nxt
-        return
-
-    search(rest, rest, [])
-    return (largest, *best[1])
-
-
-def solve(count: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    room = capacity - largest
+    lengths = np.flatnonzero(own[: room + 1])[::-1]
+    sums = reachable(lengths, own, room)
+    goal = sums[0].bit_length() - 1  # the largest sum within the room
+    chosen = [largest]
+    for k, n in enumerate(lengths.tolist()):
+        if goal == 0:
+            break
+        times = min(int(own[n]), goal // n)
+        while not sums[k + 1] >> (goal - times * n) & 1:
+            times -= 1
+        chosen += [n] * times
+        goal -= times * n
+    return tuple(chosen)
+
+
+def solve(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(filling, how often) for all pieces; count[n]: pieces of length n, 1..capacity."""
     count = count.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
@@ -78,7 +67,7 @@ def solve(count: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tu
             top -= 1
         if top == 0:
             return out
-        filling = fillings_around(top, count, capacity, nodes)
+        filling = fillings_around(top, count, capacity)
         need: dict[int, int] = {}
         for n in filling:
             need[n] = need.get(n, 0) + 1
@@ -88,6 +77,11 @@ def solve(count: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tu
         out.append((filling, times))
 
 
+def least_sequences(count: np.ndarray, capacity: int) -> int:
+    """No packing has fewer sequences: all tokens, or the pieces of more than half a sequence."""
+    return max(-(-int((count * np.arange(len(count))).sum()) // capacity), int(count[capacity // 2 + 1 :].sum()))
+
+
 def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, from_rank, to_rank, first sequence, offset): the pieces of a length by rank, run by run."""
     used: dict[int, int] = {}
@@ -127,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: in
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (with a length column, 1..capacity) with sequence_id and offset. No sequence holds more than capacity, none has a gap.
 
     Rows are ranked within their length by counts per (length, part of the table), so that no length, however common, is sorted in one task.
@@ -142,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = NODES) -> DataFra
     table = np.zeros(capacity + 1, np.int64)
     for n, k in per_part.groupBy("length").agg(F.sum("_n")).collect():  # at most `capacity` rows
         table[n] = k
-    runs = spark.createDataFrame(places(solve(table, capacity, nodes)), "_len long, _from long, _to long, _seq long, offset long")
+    runs = spark.createDataFrame(places(solve(table, capacity)), "_len long, _from long, _to long, _seq long, offset long")
     ranked = local.join(before, ["length", "_part"]).withColumn("_r", F.col("_before") + F.col("_rank"))
     # runs: a table over lengths, its size bounded by the capacity and the search, not by the data
     met = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_len")) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_to")))
