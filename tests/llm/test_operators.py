@@ -201,6 +201,12 @@ def test_packing(docs):
     assert packing.pack(packing.token_pieces(empty(docs), WORD_JSON, 0, 256), 256).count() == 0
 
 
+def test_packing_of_thousands_of_empty_texts(spark):
+    empties = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    rows = packing.pack(packing.token_pieces(empties, WORD_JSON, 0, 2048), 2048).collect()
+    assert len(rows) == 5000 and {(r.sequence_id, r.offset) for r in rows} == {(i // 2048, i % 2048) for i in range(5000)}
+
+
 def test_packing_finds_exact_fillings():
     count = np.zeros(2049, np.int64)
     count[1100] = count[548] = count[400] = 30
