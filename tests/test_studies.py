@@ -99,6 +99,23 @@ def test_penalty_search_and_events(spark):
             assert x.reason != "calendar_safety" or x.days_since_last >= 720
 
 
+def test_dated_penalty_search(spark):
+    r = np.random.default_rng(7)
+    days = pd.bdate_range("2010-01-04", "2014-03-31")
+    bear = np.repeat(np.arange(20) % 2, 60)[: len(days)]
+    bear = np.append(bear, np.zeros(len(days) - len(bear), int))
+    er = np.where(bear, -0.01, 0.01) + r.normal(0, 0.002, len(days))
+    df = spark.createDataFrame(pd.DataFrame({"asset": "a", "dt": [x.date() for x in days], "er": er, "f1": er * 100}))
+    q = forecast.dated_penalty_search(df, ["f1"], [0.0, 5.0, 1e6], train_years=2, validation_years=1).toPandas().sort_values("rebalance")
+    firsts = pd.Series(days, index=days).groupby([days.year, days.month]).first()
+    assert list(pd.to_datetime(q.rebalance)) == [firsts[y, m] for y in range(2010, 2015) for m in (1, 7) if (y, m) in firsts.index]
+    assert q.candidates.iloc[0] == 0 and q.penalty.iloc[0] == 0.0 and (q.candidates.iloc[2:] == 3).all()
+    late = q[pd.to_datetime(q.rebalance) >= "2012-07-01"]
+    assert (late.penalty < 1e6).all() and (late.sharpe > 3).all()
+    assert forecast.timing_sharpe(np.array([0, 0, 1, 0, 0]), np.array([9, 0.01, 0.03, 9, 0.02]), 0.001) == pytest.approx(np.mean(n := [-0.001, 0.009, 0.03, -0.001, 0.019]) / np.std(n, ddof=1) * 252**0.5)
+    assert "fct_dated_penalty_search" in plans.QUERIES
+
+
 def test_backtest_loop(spark):
     r = np.random.default_rng(4)
     n, k = 30, 3

@@ -118,6 +118,72 @@ def penalty_search(df: DataFrame, features: list[str], penalties: list[float], s
     return scored.withColumn("k", k).where("k = 1").select(key, "penalty", "sharpe")
 
 
+def timing_sharpe(state: np.ndarray, r: np.ndarray, cost: float = 5e-4) -> float:
+    """Sharpe ratio of holding the asset the day after a bullish forecast (0); the first two days count as changes, as in the reference."""
+    if len(state) < 5:
+        return float("nan")
+    before = np.append(np.nan, state[:-1])
+    net = np.where(before == 0, r, 0.0) - (before != np.append(np.nan, before[:-1])) * cost
+    sd = net.std(ddof=1)
+    return float(net.mean() / sd * np.sqrt(252)) if sd >= 1e-10 else 0.0
+
+
+def dated_penalty_search(df: DataFrame, features: list[str], penalties: list[float], months: tuple[int, ...] = (1, 7), train_years: int = 11, validation_years: int = 5, least: int = 252, key: str = "asset", order: str = "dt", value: str = "er") -> DataFrame:
+    """(key, rebalance, penalty, sharpe, candidates): at the first day of each of `months`, the penalty of the best validation Sharpe ratio; of equal ones the first.
+
+    The validation window is the years before that day. In it, at its first day of each of `months`, a jump model is fitted on the years before and boosted stumps
+    on its labels of the next day; they forecast the days up to the next such day. Days without a forecast keep the last one, or are bearish. Without any
+    finite ratio the first penalty stays, with a null sharpe. candidates: how many penalties have a ratio. One task per group and penalty, which fits each start once.
+    """
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("penalty")) for i, p in enumerate(penalties)])).alias("g")
+    kind, okind = (df.schema[c].dataType.simpleString() for c in (key, order))
+    rows = df.select(key, order, value, *features).dropna().select("*", grid).select(key, order, value, *features, "g.i", "g.penalty")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, r, penalty = pdf[features].to_numpy(float), pdf[value].to_numpy(float), float(pdf["penalty"].iloc[0])
+        day = pd.DatetimeIndex(pdf[order])
+        back = lambda at, years: int(day.searchsorted(at - pd.DateOffset(years=years)))
+
+        def starts(lo: int, hi: int) -> list[int]:
+            month = day[lo:hi].year * 12 + day[lo:hi].month
+            return [lo + i for i in range(hi - lo) if day[lo + i].month in months and (i == 0 or month[i] != month[i - 1])]
+
+        models: dict[int, tuple | None] = {}
+
+        def model(at: int):
+            if at not in models:
+                lo, models[at] = back(day[at], train_years), None
+                if at - lo >= least:
+                    labels, _ = jump_model.fit(x[lo:at], 2, penalty)
+                    mean = [r[lo:at][labels == k].mean() if (labels == k).any() else -np.inf for k in range(2)]
+                    target = (labels != int(np.argmax(mean)))[1:].astype(float)
+                    models[at] = (target[0],) if target.min() == target.max() else (None, stumps(x[lo : at - 1], target))
+            return models[at]
+
+        def forecast(at: int, end: int) -> np.ndarray:
+            m = model(at)
+            if m is None:
+                return np.full(end - at, np.nan)
+            return np.full(end - at, m[0]) if m[0] is not None else (stump_probability(m[1], x[at:end]) >= 0.5).astype(float)
+
+        out = []
+        for at in starts(0, len(day)):
+            lo = back(day[at], validation_years)
+            edge = starts(lo, at)
+            state = np.full(at - lo, np.nan)
+            for a, b in zip(edge, [*edge[1:], at], strict=False):
+                state[a - lo : b - lo] = forecast(a, b)
+            out.append((day[at], timing_sharpe(pd.Series(state).ffill().fillna(1.0).to_numpy(), r[lo:at])))
+        result = pd.DataFrame(out, columns=["rebalance", "sharpe"])
+        return result.assign(**{key: pdf[key].iloc[0], "i": pdf["i"].iloc[0], "penalty": penalty})[[key, "rebalance", "i", "penalty", "sharpe"]]
+
+    scored = rows.groupBy(key, "i").applyInPandas(one, f"{key} {kind}, rebalance {okind}, i int, penalty double, sharpe double").withColumn("sharpe", F.nanvl("sharpe", F.lit(None).cast("double")))
+    w = Window.partitionBy(key, "rebalance")
+    best = scored.withColumn("candidates", F.count("sharpe").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc_nulls_last("sharpe"), "i")))
+    return best.where("k = 1").select(key, "rebalance", "penalty", "sharpe", "candidates")
+
+
 def refit_events(df: DataFrame, features: list[str], evaluate: str, theta_ari: float, theta_run: float, window: int = 756, least: int = 252, penalty: float = 50.0, safety_days: int = 720, key: str = "asset", order: str = "t", day: str = "dt") -> DataFrame:
     """(key, day, reason, ari_now, run_now, days_since_last): evaluation days (rows where `evaluate` is true) on which a new fit is accepted.
 

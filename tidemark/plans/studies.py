@@ -480,6 +480,12 @@ def fct_penalty_search(spark, d):
     return forecast.penalty_search(features(spark, d), ["f1", "f2"], [0.0, 1.0, 3.0, 10.0, 30.0, 100.0])
 
 
+@query()
+def fct_dated_penalty_search(spark, d):
+    """The reference's search: 31 penalties for each asset and half-yearly rebalance date, by the classifier's forecasts over the five years before."""
+    return forecast.dated_penalty_search(features(spark, d), ["f1", "f2"], [0.0, *np.logspace(-1, 2, 30).tolist()])
+
+
 # ------------------------------------------------------------------------------------------------------------------------- backtests
 
 
