@@ -256,6 +256,11 @@ def test_near(spark):
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(d, len(s), top(d)) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_shingles_of_a_single_short_text(n):
+    assert [s.size for s in near_dedup.shingle_sets([b"a b c d e"[: max(0, 2 * n - 1)]], 5)] == [min(n, 1)]
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://A.Example.NET/en/1?x#y", "https://ads.example.com/de/1", "http://x.org/fr/ads/1", "http://foo.com/a/ads/b", "http://example.com", "http://h/p?utm_source=a&utm_campaign=b", "http://foo.com/file.exe"]
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}

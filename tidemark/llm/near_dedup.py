@@ -41,7 +41,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     n = words.size
     h = np.zeros(max(0, n - size + 1), np.uint64)
     for i in range(size):
-        h += mix64(words[i : n - size + 1 + i] * _STEP[i])
+        h += mix64(words[i : i + h.size] * _STEP[i])
     h = mix64(h)
     out = []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
