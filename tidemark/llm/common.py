@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +25,12 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set here only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, one of this machine's own serves a local master; elsewhere that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(found)
     return found
@@ -105,6 +111,35 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if t is None else t for t in col.cast(kind).to_pylist()]
 
 
+def text_runs(batch: pa.RecordBatch, name: str, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """texts_of the batch in runs of about `most` bytes, each with its first row: what works on a run needs memory for a run, not for a batch."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(size, dtype=np.int64), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, texts_of(batch.slice(lo, hi - lo), name)
+        lo = hi
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as later stages use the same Python workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, which trims the worker's memory when it is through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes in one array, and each text's start in it (with the end as last)."""
     at = np.zeros(len(texts) + 1, np.int64)
@@ -133,15 +168,23 @@ _POWERS: dict[int, np.ndarray] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Bytes hashed at a time; each takes some 50 bytes of memory.
+SLICE = 1 << 18
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if _POWERS.get(0, np.empty(0)).size < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, np.uint64(base))
-            step[0] = 1
-            _POWERS[k] = np.multiply.accumulate(step)
-    return _POWERS[0], _POWERS[1]
+    """Powers of an odd base and of its inverse modulo 2**64; kept from call to call but for words longer than a slice."""
+    if n <= 2 * SLICE and _POWERS:
+        return _POWERS[0], _POWERS[1]
+    size, out = max(n, 2 * SLICE), []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        step = np.full(size, np.uint64(base))
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    if n <= 2 * SLICE:
+        _POWERS[0], _POWERS[1] = out
+    return out[0], out[1]
 
 
 _TABLE = random_table(20240601)
@@ -149,26 +192,33 @@ _TABLE = random_table(20240601)
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, and each text's first word (with the end as last)."""
-    words, counts = [], []
-    for part in _slices(texts, 1 << 22):
+    words, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for of, part in _slices(texts):
         w, c = _word_hashes(part, lower)
         words.append(w)
-        counts.append(c)
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.concatenate(counts) if counts else [], out=at[1:])
-    return (np.concatenate(words) if words else np.empty(0, np.uint64)), at
-
-
-def _slices(texts: list[bytes], most: int):
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > most:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t) + 1
+        np.add.at(counts, of, c)
+    return np.concatenate(words), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts in slices of about SLICE bytes, with each part's text; long texts are cut at a blank."""
+    of: list[int] = []
+    part: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        lo = 0
+        while lo < len(t):
+            cut_at = _BLANK.search(t, lo + SLICE) if len(t) - lo > SLICE else None
+            hi = cut_at.end() if cut_at else len(t)
+            if part and size + hi - lo > SLICE:
+                yield of, part
+                of, part, size = [], [], 0
+            of.append(i)
+            part.append(t[lo:hi])
+            size += hi - lo + 1
+            lo = hi
     if part:
-        yield part
+        yield of, part
 
 
 def _word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, mix64, release, skew_join, texts_of, word_hashes
+from .common import cut, discard, lean, mix64, release, skew_join, text_runs, word_hashes
 
 SKETCH, SHORT, HOT, ESTIMATE = 64, 16, 0.45, 0.45
+#: Members of a long list that are dealt to one task.
+SPREAD = 1024
 #: A signature has a bit of the smallest hash in each of 256 ranges. At a similarity of 0.8 a bit differs with a probability of 0.1 at most, so over APART of
 #: them with one of 1e-8.
 _SIGNS, APART = ["s0", "s1", "s2", "s3"], 59
@@ -67,30 +69,32 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """id, n, hi, lo (128-bit hash of the set), sketch."""
+    """id, th (hash of the text), n, hi, lo (128-bit hash of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(texts_of(b, text_col), size)
-            hi = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum() for s in sets], np.uint64)
-            lo = np.array([mix64(s + np.uint64(0x14057B7EF767814F)).sum() for s in sets], np.uint64)
-            low = [s[:k] for s in sets]
-            values = pa.ListArray.from_arrays(np.cumsum([0, *map(len, low)]).astype(np.int32), _signed(np.concatenate(low) if low else np.empty(0, np.uint64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.size for s in sets], pa.int64()), _signed(hi), _signed(lo), values], names=["id", "n", "hi", "lo", "sketch"])
+            for at, texts in text_runs(b, text_col):
+                sets = shingle_sets(texts, size)
+                hi = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum() for s in sets], np.uint64)
+                lo = np.array([mix64(s + np.uint64(0x14057B7EF767814F)).sum() for s in sets], np.uint64)
+                low = [s[:k] for s in sets]
+                values = pa.ListArray.from_arrays(np.cumsum([0, *map(len, low)]).astype(np.int32), _signed(np.concatenate(low)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array([s.size for s in sets], pa.int64()), _signed(hi), _signed(lo), values], names=["id", "th", "n", "hi", "lo", "sketch"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, n long, hi long, lo long, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col).alias("_th"), F.col(text_col)).mapInArrow(lean(run), "id long, th long, n long, hi long, lo long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes as bytes) of the documents in ids."""
+def full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, shingles (sorted 64-bit hashes as bytes) of the classes (id, rep, th), from the text that each one's representative has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b, text_col), size)], pa.binary())], names=["id", "shingles"])
+            for at, texts in text_runs(b, text_col):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], names=["id", "shingles"])
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col)).join(ids, "id", "left_semi")
-    # one text an id, by the join's own partitions
-    return found.groupBy("id").agg(F.max(text_col).alias(text_col)).mapInArrow(run, "id long, shingles binary")
+    found = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text_col).alias("th"), F.col(text_col)).join(classes, ["rep", "th"])
+    # repeated rows count once, by the join's own partitions
+    return found.groupBy("rep", "th", "id").agg(F.max(text_col).alias(text_col)).select("id", text_col).mapInArrow(lean(run), "id long, shingles binary")
 
 
 def _size_ok(a: str, b: str, level: Fraction):
@@ -114,7 +118,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int, level: Fraction) -> Dat
                 est[i] = np.isin(union, np.intersect1d(x, y, True), True).mean()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["a", "b", "est"])
 
-    return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, est double").where(F.col("est") >= ESTIMATE)
+    return two.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long, est double").where(F.col("est") >= ESTIMATE)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
@@ -130,7 +134,7 @@ def verified(pairs: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
                 keep.append(both * level.denominator >= (p.size + q.size - both) * level.numerator)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,21 +173,25 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _pivot_rounds(lists: DataFrame, sets: DataFrame, comps: DataFrame | None, level: Fraction) -> DataFrame | None:
-    """Resolve long lists (v, id, n, at, w and signature): see step 4 above."""
+    """Resolve long lists (v, id, n, at, w, size and signature): see step 4 above. A list's members are dealt over tasks in parts of about SPREAD of them."""
     tried, pivots = None, 1
+    parts = F.ceil(F.col("size") / SPREAD)
+    lists = lists.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    every_part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
     # what two sets share from their first common value on has to be enough, and their signatures near enough
     fits = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata")) * (level.numerator + level.denominator) >= (F.col("n") + F.col("na")) * level.numerator
     alike = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}a"))) for c in _SIGNS]) <= APART
     while True:
         now = _with_comp(lists, comps, "id", "comp")
-        alive = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top")).where("lo <> hi").select("v", "m", (-F.col("top.i")).alias("top"))
-        before, now = lists, cut(now.join(alive, "v"), "lists")
+        alive = now.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top"), F.max("size").alias("size")).where("lo <> hi")
+        alive = alive.select("v", "m", (-F.col("top.i")).alias("top"), every_part)
+        before, now = lists, cut(now.join(alive, ["v", "part"]), "lists")
         if now.isEmpty():
             return comps
         # the member with most values in lists leads first; after that about `pivots` members by hash, and all of a list that is no longer than that
         chosen = F.col("id") == F.col("top") if pivots == 1 else F.pmod(F.xxhash64("id", F.lit(pivots)), F.ceil(F.col("m") / pivots)) == 0
-        lead = now.where(chosen | (F.col("id") == F.col("top"))).select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}a") for c in _SIGNS])
-        pairs = now.join(lead, "v").where((F.col("comp") != F.col("ca")) & (F.col("id") != F.col("a")) & _size_ok("n", "na", level) & fits & alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        lead = now.where(chosen | (F.col("id") == F.col("top"))).select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("comp").alias("ca"), *[F.col(c).alias(f"{c}a") for c in _SIGNS], "size")
+        pairs = now.drop("size").join(lead.select("*", every_part).drop("size"), ["v", "part"]).where((F.col("comp") != F.col("ca")) & (F.col("id") != F.col("a")) & _size_ok("n", "na", level) & fits & alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "tried")
@@ -199,16 +207,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept (the id is the component's).
 
     Words are runs of anything but ASCII blanks, A-Z lower-cased. A text without words, or null, has an empty set and is linked with nothing. Rows with
-    a null id are linked with nothing and have a null component. Rows that repeat an id share a component with every row of that id. Ids must be integers.
-    Other columns are not read; an empty table gives no rows.
+    a null id are linked with nothing and have a null component. Rows that repeat an id are one document in the links: they share a component, and what any
+    of their texts is linked with belongs to it. Ids must be integers. Other columns, whatever their names, are not read; an empty table gives no rows.
     """
     spark, level = docs.sparkSession, Fraction(similarity)
-    rows = cut(sketch_table(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, size, k), "sketches")
-    full = rows.where("id is not null and n > 0")
-    classes = cut(full.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = full.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"], "left_semi").groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
-    reps = cut(reps, "reps")
-    slim = cut(rows.select("id", "n", "hi", "lo"), "sizes")
+    rows = cut(sketch_table(docs, id_col, text_col, size, k), "sketches")
+    # a class: the rows of one set; its number is what links and components are about, since an id may stand in several classes
+    sets_of = rows.where("id is not null and n > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = cut(sets_of.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", F.col("rep.id").alias("rep"), F.col("rep.th").alias("th"), "copies", "n", "sketch"), "reps")
+    classes = cut(reps.drop("sketch", "n"), "classes")
+    slim = cut(skew_join(rows.select(F.col("id").alias("doc"), "n", "hi", "lo"), classes.select("hi", "lo", "id", "copies"), ["hi", "lo"], "copies", F.col("doc")).select("doc", "n", "id"), "sizes")
     discard(rows)
     inverted = reps.select("id", "n", F.explode("sketch").alias("v"))
     sizes = cut(inverted.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
@@ -220,26 +228,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = cut(member.where(F.col("m") > short).groupBy("id", "n").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= HOT * F.least("n", F.lit(k))).select("id", "n"), "hot")
     discard(reps, sizes, member)
     release(spark)
-    # repeated ids: the sets of all rows of an id are told apart by their hash, and their classes linked by the id itself
     need = cand.select(F.col("a").alias("id")).union(cand.select(F.col("b").alias("id"))).union(hot.select("id")).distinct()
-    sets = cut(full_sets(docs.where(F.col(id_col).isNotNull()), need, id_col, text_col, size), "sets")
+    sets = cut(full_sets(docs, classes.select("id", "rep", "th").join(need, "id"), id_col, text_col, size), "sets")
     release(spark)
     first = cand.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-    comps = components(cut(verified(first, sets, level), "links"))
+    comps = components(cut(verified(first, sets, level).union(_same_document(slim)), "links"))
     rest = _with_comp(_with_comp(cand.select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").join(first, ["a", "b"], "left_anti")
     found = cut(verified(rest, sets, level), "links")
     if not found.isEmpty():
         comps = _merged(comps, _with_comp(_with_comp(found, comps, "a", "ca"), comps, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if not hot.isEmpty():
         comps = _pivot_rounds(_rare_lists(hot, sets, level), sets, comps, level)
-    named = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component_id"), "copies")
-    out = skew_join(slim.where("id is not null and n > 0"), cut(named, "named"), ["hi", "lo"], "copies", F.col("id")).select("id", "n", "component_id")
-    out = out.union(slim.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # a component's name is the smallest document id of its classes
+    linked = comps.union(comps.select(F.col("comp").alias("id"), "comp").distinct()).join(classes.select("id", "rep"), "id")
+    names = cut(linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")), "names")
+    of_class = skew_join(linked.select("id", "comp"), names, ["comp"], "m", F.col("id")).select("id", "component_id")
+    named = cut(classes.join(of_class, "id", "left").select("id", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "named")
+    out = skew_join(slim.where("doc is not null and id is not null"), named, ["id"], "copies", F.col("doc")).select("doc", "n", "component_id")
+    out = out.union(slim.where("doc is null or id is null").select("doc", "n", F.col("doc").alias("component_id")))
+    return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(docs.schema[id_col].dataType).alias("component_id"), F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _same_document(slim: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one document id: each one's first class with every other."""
+    known = slim.where("doc is not null and id is not null").select("doc", "id")
+    first = cut(known.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("m")).where("a < z").select("doc", "a", "m"), "twice")
+    return skew_join(known, first, ["doc"], "m", F.col("id")).where("a < id").select("a", F.col("id").alias("b")).distinct()
 
 
 def _rare_lists(hot: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
-    """Lists (v, id, n, w) by each hot class's rarest shingles; w: how many of its values stand in lists of two or more."""
+    """Lists (v, id, n, at, w, size, signature) by each hot class's rarest shingles; w: how many of its values stand in lists of two or more; size: sets with the value."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,15 +270,15 @@ def _rare_lists(hot: DataFrame, sets: DataFrame, level: Fraction) -> DataFrame:
             words = np.array([signature(np.frombuffer(s.as_buffer(), np.uint64)) for s in b.column(1)], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))], names=["id", *_SIGNS])
 
-    values = cut(hot.join(sets, "id").select("id", "n", "shingles").mapInArrow(explode, "id long, n long, v long"), "values")
+    values = cut(hot.join(sets, "id").select("id", "n", "shingles").mapInArrow(lean(explode), "id long, n long, v long"), "values")
     often = cut(values.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "often")
     with_m = skew_join(values, often, ["v"], "m", F.concat_ws(".", "id", "v"))
     ranked = with_m.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("m", "v"))).alias("s"))  # one set a row
     prefix = F.col("n") - F.ceil(F.col("n") * level.numerator / level.denominator) + 1
     numbered = F.transform(F.slice("s", F.lit(1), prefix.cast("int")), lambda x, i: F.struct(x["m"].alias("m"), x["v"].alias("v"), i.cast("long").alias("at")))
-    lists = ranked.select("id", "n", F.filter(numbered, lambda x: x["m"] > 1).alias("s")).select("id", "n", F.size("s").alias("w"), F.explode("s").alias("e")).select("e.v", "id", "n", "e.at", "w")
+    lists = ranked.select("id", "n", F.filter(numbered, lambda x: x["m"] > 1).alias("s")).select("id", "n", F.size("s").alias("w"), F.explode("s").alias("e")).select("e.v", "id", "n", "e.at", "w", F.col("e.m").alias("size"))
     signs = hot.join(sets, "id").select("id", "shingles").mapInArrow(sign, "id long, " + ", ".join(f"{c} long" for c in _SIGNS))
-    out = cut(lists.join(signs, "id").select("v", "id", "n", "at", "w", *_SIGNS), "rare")
+    out = cut(lists.join(signs, "id").select("v", "id", "n", "at", "w", "size", *_SIGNS), "rare")
     discard(values, often)
     release(hot.sparkSession)
     return out
