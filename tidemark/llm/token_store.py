@@ -4,7 +4,8 @@ Files (Parquet, in one folder that all machines share):
 - chunks/:   hash (16 bytes), n, ids (little-endian, 2 or 4 bytes an id). One row per distinct chunk.
 - recipes/:  shard, place, doc_id, start_in_shard, n_tokens, root (Merkle root of the chunk hashes), hashes. Rows in ascending doc_id
              order: shards are ranges of doc_id, each one file sorted by it.
-- manifest/: shard, documents, tokens, start, root (Merkle root of the documents' roots). One row per shard.
+- manifest/: shard, documents, tokens, root (Merkle root of the documents' leaves: id, tokens, root). One row per shard. Reading recomputes the roots from the
+  recipes, so a recipe that is lost, added, moved or changed shows in its whole shard.
 
 Cutting depends on the ids alone (a hash of the last ids under a mask), so a passage that documents share gives the same chunks wherever it stands.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_path, mix64, shuffles, skew_join, texts_of
+from .common import cut, fresh_path, lean, shuffles, skew_join, text_runs
 from .tokenization import WordEncoder, encoder, forget
 
 #: Ids that the rolling hash sees, average and largest chunk; the first two are powers of two.
@@ -113,7 +114,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     """Encode every text, append end_id, and write the store to path.
 
     Null and empty texts are the end id alone. Null ids come first. Rows with equal ids keep their own recipes, in any order. Other columns are
-    not read. wide: 4 bytes an id; else ids must be under 65,536.
+    not read. wide: 4 bytes an id; else ids must be under 65,536, and a larger one is an error. An empty table gives a store without documents.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
@@ -123,15 +124,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(WordEncoder, shared.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            names, texts, lo = b.column(0).to_pylist(), texts_of(b, text_col), 0
-            while lo < len(texts):
-                hi, size, streams = lo, 0, []
-                while hi < len(texts) and size < 2 << 20:
-                    streams.append(enc.encode(texts[hi]) + end)
-                    size += len(streams[-1])
-                    hi += 1
+            names = b.column(0).to_pylist()
+            for lo, texts in text_runs(b, text_col, 2 << 20):
+                streams = [enc.encode(t) + end for t in texts]
                 first = np.cumsum([0, *(len(x) // 4 for x in streams)])
                 ids = np.frombuffer(b"".join(streams), "<u4")
+                if not wide and int(ids.max()) > 0xFFFF:
+                    raise ValueError("an id of 65,536 or more: write a wide store")
                 raw, own, chunks = ids.astype(dtype).tobytes(), [], {}
                 wide_ = np.dtype(dtype).itemsize
                 for k, ends in enumerate(cut_points(ids, first)):
@@ -143,12 +142,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
                         chunks[h] = (h, e - last, part)
                         last = e
                     own.append((int(first[k + 1] - first[k]), hashes))
-                yield _rows(b.schema.field(0).type, names[lo:hi], own, list(chunks.values()))
-                lo = hi
+                yield _rows(b.schema.field(0).type, names[lo : lo + len(texts)], own, list(chunks.values()))
 
-    both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, hashes array<binary>, hash binary, n int, ids binary")
+    both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, hashes array<binary>, hash binary, n int, ids binary")
     staged = fresh_path(spark, "chunks")
-    both.withColumn("part", F.when(F.col("hash").isNull(), "recipe").otherwise("chunk")).write.partitionBy("part").option("compression", "zstd").parquet(staged)
+    both.withColumn("part", F.when(F.col("hash").isNull(), "recipe").otherwise("chunk")).write.partitionBy("part").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(staged)
     schema = T.StructType([*both.schema.fields, T.StructField("part", T.StringType())])
     back = spark.read.schema(schema).parquet(staged)
     found = back.where("part = 'chunk'").select("hash", "n", "ids")
@@ -167,17 +165,31 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
             at, start = at + len(n), start + int(n.sum())
 
     recipes.mapInArrow(place, f"shard int, place long, doc_id {kind}, start_in_shard long, n_tokens long, root binary, hashes array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    per_shard = spark.read.parquet(f"{path}/recipes").select("shard", "place", "n_tokens", "root")
-    # a shard's roots meet in one task: 16 bytes a document, of the documents of one shard
-    totals = per_shard.groupBy("shard").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("place", "root"))).alias("r"))
+    _sealed(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
-    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for b in batches:
-            roots = [merkle_root([x["root"] for x in r]) for r in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(roots, pa.binary())], names=["shard", "documents", "tokens", "root"])
 
-    totals.mapInArrow(seal, "shard int, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
+#: Leaves under one node of a shard's tree that one row holds; a power of two, so that nodes of such blocks are nodes of the whole tree.
+BLOCK = 4096
+
+
+def _sealed(recipes: DataFrame) -> DataFrame:
+    """shard, documents, tokens, root of the recipes as they are. A block's leaves meet in one row, then a shard's blocks: 16 bytes for BLOCK documents."""
+
+    def roots(leaf):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
+            for b in batches:
+                tops = [merkle_root([leaf(x) for x in r]) for r in b.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(tops, pa.binary())], names=["shard", "block", "documents", "tokens", "root"])
+
+        return run
+
+    schema = "shard int, block long, documents long, tokens long, root binary"
+    leaf = F.struct("place", F.concat_ws("|", "place", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), "n_tokens").alias("what"), "root")
+    blocks = recipes.groupBy("shard", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(leaf)).alias("r"))
+    tops = blocks.mapInArrow(roots(lambda x: hashlib.blake2b(x["what"].encode() + b"|" + x["root"], digest_size=16).digest()), schema)
+    shards = tops.groupBy("shard").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("block", "root"))).alias("r"))
+    return shards.select("shard", F.lit(0).cast("long").alias("block"), "documents", "tokens", "r").mapInArrow(roots(lambda x: x["root"]), schema).drop("block")
 
 
 def _rows(kind: pa.DataType, ids: list, own: list, chunks: list) -> pa.RecordBatch:
@@ -192,20 +204,22 @@ def _rows(kind: pa.DataType, ids: list, own: list, chunks: list) -> pa.RecordBat
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, shard_start: ids of all shards before it. One row a shard."""
-    shards = spark.read.parquet(f"{path}/manifest").select("shard", "tokens").collect()
+    """shard, shard_start (ids of all shards before it), sealed (the recipes read back give the manifest's root and counts). One row a shard; shards that only one side has are an error."""
+    found = {r[0]: tuple(r) for r in _sealed(spark.read.parquet(f"{path}/recipes")).collect()}
     at, rows = 0, []
-    for r in sorted(shards):
-        rows.append((r[0], at))
-        at += r[1]
-    return spark.createDataFrame(rows, "shard int, shard_start long")
+    for r in sorted(spark.read.parquet(f"{path}/manifest").select("shard", "documents", "tokens", "root").collect()):
+        rows.append((r[0], at, found.pop(r[0], None) == tuple(r)))
+        at += r[2]
+    if found:
+        raise ValueError(f"recipes of shards that the manifest lacks: {sorted(found)}")
+    return spark.createDataFrame(rows, "shard int, shard_start long, sealed boolean")
 
 
 def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """Read the files back: doc_id, start, n_tokens, ids_crc32 (of 4-byte ids), verified.
 
-    Every stored chunk is read once; its content must give its hash, and a document's chunk hashes its root. A document's CRC is
-    joined from those of its chunks, so no ids travel. Chunks that many documents share are joined without skew.
+    verified: every chunk's content gives its hash, the document's chunk hashes its root, and its shard's recipes the root in the manifest. Every stored chunk
+    is read once. A document's CRC is joined from those of its chunks, so no ids travel. Chunks that many documents share are joined without skew.
     """
     dtype = "<u4" if wide else "<u2"
 
@@ -220,13 +234,13 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
             crc = [zlib.crc32(view[lo:hi]) for lo, hi in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(crc, pa.int64()), pa.array(good)], names=["hash", "n", "crc", "good"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(digest, "hash binary, n long, crc long, good boolean")
+    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(lean(digest), "hash binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     uses = recipes.select("shard", "place", F.posexplode("hashes").alias("k", "hash"))
     counted = cut(uses.groupBy("hash").agg(F.count(F.lit(1)).alias("uses")).join(chunks, "hash", "left"))
     met = skew_join(uses, counted, ["hash"], "uses", F.concat_ws(".", "shard", "place", "k"))
     docs = met.groupBy("shard", "place").agg(F.sort_array(F.collect_list(F.struct("k", "hash", "n", "crc", "good"))).alias("c"))
-    docs = docs.join(recipes.select("shard", "place", "doc_id", "start_in_shard", "n_tokens", "root"), ["shard", "place"]).join(F.broadcast(_starts(spark, path)), "shard")
+    docs = docs.join(recipes.select("shard", "place", "doc_id", "start_in_shard", "n_tokens", "root"), ["shard", "place"]).join(F.broadcast(_starts(spark, path)), "shard")  # shards: as many as shuffle partitions
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +255,11 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
             good = np.logical_and.reduceat(c["good"].fill_null(False).to_numpy(zero_copy_only=False), first) & (np.add.reduceat(n, first) == b.column(2).to_numpy())
             leaves = c["hash"].to_pylist()
             good = [bool(g) and merkle_root(leaves[lo : lo + k]) == root for g, lo, k, root in zip(good, first.tolist(), size.tolist(), b.column(4).to_pylist(), strict=True)]
+            good = [g and s for g, s in zip(good, b.column(5).to_pylist(), strict=True)]
             crcs = crc_of_parts(crc, 4 * n, first).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64()), pa.array(good)], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return docs.select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "c", "root").mapInArrow(join, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return docs.select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "c", "root", "sealed").mapInArrow(lean(join), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
