@@ -51,10 +51,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors."""
+def cut(df: DataFrame, name: str = "cut", scan: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors.
+
+    What comes of a shuffle is written by a few tasks a core, or an eighth of the shuffle's, so that thin tables don't become thousands of small files.
+    scan: df is a pass over an input, whose own tasks write it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if not scan:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffles(spark) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

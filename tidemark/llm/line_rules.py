@@ -2,8 +2,8 @@
 
 Only DataFrame functions. Per document, words, symbols, repeated lines and repeated 3-word windows are counted inside the row,
 with arrays; nothing is exploded for that. For the line rule, each document's distinct normalised lines are hashed, the distinct
-documents of each (host, line) counted with map-side combine, and only lines above the limit travel back. Texts that agree are one
-document in these counts, so a copied document does not turn its own lines into boilerplate.
+documents of each (host, line) counted with map-side combine, and only lines above the limit travel back. A document is an id with
+its text: copies under ids of their own count each, repeated rows once.
 """
 
 from __future__ import annotations
@@ -53,19 +53,19 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line is removed where more than max_docs different documents of its host hold it; a document is depleted when less than min_share
     of its words is left. Nulls: a null text has no words (and fails the base rule), a null host is a host of its own, null ids are kept
-    apart by their content. Repeated rows get equal answers. Other columns are not read.
+    apart by their content. Repeated rows get equal answers and are one document in the counts. Other columns are not read; an empty table gives no rows.
     """
     base = text_counts(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("_host"), F.col(text_col).alias("_text")), "_text")
-    base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("_doc", F.xxhash64("_t"))
-    counts = cut(base.select("_id", "_doc", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
-    lines = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    lines = lines.select("_host", F.xxhash64("_t").alias("_doc"), F.explode(F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE))).alias("_l"))
+    base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("_doc", F.xxhash64("_id", "_t"))
+    counts = cut(base.select("_id", "_doc", "_host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), scan=True)
+    lines = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    lines = lines.select("_host", F.xxhash64("_id", "_t").alias("_doc"), F.explode(F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE))).alias("_l"))
     lines = lines.groupBy("_host", "_doc", line_key(F.col("_l")).alias("_line")).agg(F.sum(F.size(words_of(F.col("_l")))).alias("_n"), F.count(F.lit(1)).alias("_rows"))
     lines = cut(lines)
     often = cut(lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > max_docs))
     total = lines.count()
     hit = skew_join(lines.select("_host", "_line", "_doc", "_n", "_rows"), often, ["_host", "_line"], "_docs", F.col("_doc"), total).where(F.col("_docs").isNotNull())
-    # copies of one text on one host were summed together; their number divides out again
+    # repeated rows were summed together; their number divides out again
     lost = hit.groupBy("_host", "_doc").agg(F.sum("_n").alias("_gone"))
     copies = counts.groupBy("_host", "_doc").agg(F.count(F.lit(1)).alias("_copies"))
     lost = cut(copies.join(lost, ["_host", "_doc"]).select("_host", "_doc", "_copies", (F.col("_gone") / F.col("_copies")).cast("long").alias("removed_words")))

@@ -211,7 +211,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of their texts is linked with belongs to it. Ids must be integers. Other columns, whatever their names, are not read; an empty table gives no rows.
     """
     spark, level = docs.sparkSession, Fraction(similarity)
-    rows = cut(sketch_table(docs, id_col, text_col, size, k), "sketches")
+    rows = cut(sketch_table(docs, id_col, text_col, size, k), "sketches", scan=True)
     # a class: the rows of one set; its number is what links and components are about, since an id may stand in several classes
     sets_of = rows.where("id is not null and n > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = cut(sets_of.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", F.col("rep.id").alias("rep"), F.col("rep.th").alias("th"), "copies", "n", "sketch"), "reps")

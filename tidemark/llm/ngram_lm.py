@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, release, shuffles, texts_of, word_hashes
+from .common import cut, lean, mix64, release, shuffles, text_runs, trim, word_hashes
 
 LEAST, DISCOUNT = 2, 0.75
 BATCH = 8 << 20
@@ -155,13 +155,15 @@ def held_out(ids: list) -> np.ndarray:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     ids, texts, size = [], [], 0
     for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), texts_of(b, "text"), strict=True):
-            ids.append(d)
-            texts.append(t)
-            size += len(t)
-            if size >= BATCH:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+        names = b.column(0).to_pylist()
+        for at, run in text_runs(b, "text"):
+            for d, t in zip(names[at : at + len(run)], run, strict=True):
+                ids.append(d)
+                texts.append(t)
+                size += len(t)
+                if size >= BATCH:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
@@ -174,7 +176,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, first, np.repeat(np.arange(len(texts)), np.diff(at) + 1)
 
 
-_CODEC, _TEXT_CODEC = pa.Codec("zstd", 1), pa.Codec("zstd", 3)
+_CODEC, _TEXT_CODEC = pa.Codec("zstd", 6), pa.Codec("zstd", 10)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -254,15 +256,21 @@ def _answers(level: int, n_buckets: int, least: float):
         n = np.bincount(number, np.concatenate([c for _, c in asked]), own.size).astype(np.int64)
         del recs, asked
         if level == 1:
-            place = np.where(n >= least, np.cumsum(n >= least) - 1, -1)
+            found = n >= least
         else:
             place, gain, left = Level(own, n, least).find(own)
+            found = place >= 0
+        # ids by frequency: those that most requests and replies hold are small numbers, which pack well
+        kept = np.flatnonzero(found)
+        place = np.full(n.size, -1, np.int64)
+        place[kept[np.argsort(-n[kept], kind="stable")]] = np.arange(kept.size)
         if place.max(initial=-1) * n_buckets + bucket + 1 >= NONE:
             raise OverflowError("more than 2**32 ids")
         ids = np.where(place >= 0, place * n_buckets + bucket + 1, NONE).astype("<u4")
         columns = (ids, n) if level == 1 else (ids, gain, left) if level == 2 else (gain, left)
         columns = [c.astype(k) for c, k in zip(columns, _KINDS[level], strict=True)]
         out = [_pack(*(c[number[lo:hi]] for c in columns)) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+        trim()
         first = lambda x: pa.array([int(x), *[0] * (len(out) - 1)], pa.int64())
         kind = pa.array([level] * len(out), pa.int32())
         return pa.table({"batch": table.column("batch"), "level": kind, "bucket": table.column("bucket").cast(pa.int32()), "recs": pa.array(out, pa.binary()), "total": first(n.sum()), "distinct": first((n > 0).sum())})
@@ -332,7 +340,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
         for number, (ids, texts) in enumerate(_gathered(batches)):
             yield pa.RecordBatch.from_arrays([pa.array([f"{part}.{number}"]), pa.array([ids], pa.list_(b_type)), pa.array([_pack_texts(texts)], pa.binary())], names=["batch", "ids", "texts"])
 
-    own = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(gather, f"batch string, ids array<{kind}>, texts binary"), "batches")
+    own = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(gather), f"batch string, ids array<{kind}>, texts binary"), "batches", scan=True)
     replies: list[DataFrame] = []
     asks, says = "bucket int, batch string, recs binary", "batch string, level int, bucket int, recs binary, total long, distinct long"
 
@@ -359,7 +367,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
             for name, ids, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 yield from _Batch(ids, _unpack_texts(texts), {}, n_buckets, LEAST, 0).asked.requests(name).to_batches()
 
-    replies.append(cut(own.mapInArrow(first_requests, asks).groupBy("bucket").applyInArrow(_answers(1, n_buckets, LEAST), says), "words"))
+    replies.append(cut(own.mapInArrow(lean(first_requests), asks).groupBy("bucket").applyInArrow(_answers(1, n_buckets, LEAST), says), "words"))
     total, distinct = (int(x or 0) for x in replies[0].agg(F.sum("total"), F.sum("distinct")).first())
     least_word, least = max(LEAST, frequent * total), max(LEAST, kept * total)
 
