@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import inference
-from tidemark.operators import backtest, forecast, stability
+from tidemark.operators import framework, backtest, forecast, stability
 from tidemark.plans import queries as plans
 from tidemark.sources import sinks
 from tidemark.sources import tables as src
@@ -95,7 +95,7 @@ def test_penalty_search_and_events(spark):
         assert g.reason.iloc[0] == "initial" and (g.reason.iloc[1:] != "initial").all()
         for x in g.itertuples():
             assert x.reason != "ari_collapse" or x.ari_now < 0.5
-            assert x.reason != "run_collapse" or x.run_now < 20
+            assert x.reason != "mrl_collapse" or x.mrl_now < 20
             assert x.reason != "calendar_safety" or x.days_since_last >= 720
 
 
@@ -106,13 +106,21 @@ def test_dated_penalty_search(spark):
     bear = np.append(bear, np.zeros(len(days) - len(bear), int))
     er = np.where(bear, -0.01, 0.01) + r.normal(0, 0.002, len(days))
     df = spark.createDataFrame(pd.DataFrame({"asset": "a", "dt": [x.date() for x in days], "er": er, "f1": er * 100}))
-    q = forecast.dated_penalty_search(df, ["f1"], [0.0, 5.0, 1e6], train_years=2, validation_years=1).toPandas().sort_values("rebalance")
+    walk = framework.Walk(("f1",), ("f1",), train_years=2, validation_years=1)
+    forecasts, choices = framework.search(df, walk, [0.0, 5.0, 1e6])
+    q = choices.toPandas().sort_values("rebal")
     firsts = pd.Series(days, index=days).groupby([days.year, days.month]).first()
-    assert list(pd.to_datetime(q.rebalance)) == [firsts[y, m] for y in range(2010, 2015) for m in (1, 7) if (y, m) in firsts.index]
+    assert list(pd.to_datetime(q.rebal)) == [firsts[y, m] for y in range(2010, 2015) for m in (1, 7) if (y, m) in firsts.index]
     assert q.candidates.iloc[0] == 0 and q.penalty.iloc[0] == 0.0 and (q.candidates.iloc[2:] == 3).all()
-    late = q[pd.to_datetime(q.rebalance) >= "2012-07-01"]
+    late = q[pd.to_datetime(q.rebal) >= "2012-07-01"]
     assert (late.penalty < 1e6).all() and (late.sharpe > 3).all()
-    assert forecast.timing_sharpe(np.array([0, 0, 1, 0, 0]), np.array([9, 0.01, 0.03, 9, 0.02]), 0.001) == pytest.approx(np.mean(n := [-0.001, 0.009, 0.03, -0.001, 0.019]) / np.std(n, ddof=1) * 252**0.5)
+    f = forecasts.toPandas().sort_values("dt")
+    assert len(f) == len(days) and (f.regime[:252] == 1).all()  # no forecast yet: bearish
+    ahead = f.regime.to_numpy()[700:-1]
+    assert (ahead == bear[700:-1]).mean() > 0.95
+    few = spark.createDataFrame([("a", i, x, v) for i, (x, v) in enumerate(zip([0, 0, 1, 0, 0], [9.0, 0.01, 0.03, 9.0, 0.02], strict=True))], "asset string, t int, label int, er double")
+    net = [-0.001, 0.009, 0.03, -0.001, 0.019]
+    assert framework.timing_sharpe(few, ["asset"], "t", cost=0.001).first().sharpe == pytest.approx(np.mean(net) / np.std(net, ddof=1) * 252**0.5)
     assert "fct_dated_penalty_search" in plans.QUERIES
 
 

@@ -123,3 +123,18 @@ def bootstrap(statistic, columns: list[np.ndarray], times: int = 2000, seed: int
         got.append(statistic(*(c[i] for c in columns)))
     lo, hi = np.nanpercentile(got, [2.5, 97.5])
     return float(lo), float(hi)
+
+
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks, from 1."""
+    own, number, count = np.unique(x, return_inverse=True, return_counts=True)
+    last = np.cumsum(count)
+    return (last - (count - 1) / 2)[number]
+
+
+def spearman(a: np.ndarray, b: np.ndarray) -> float:
+    """Correlation of the ranks; NaN where either side is constant."""
+    x, y = ranks(a), ranks(b)
+    x, y = x - x.mean(), y - y.mean()
+    size = math.sqrt((x @ x) * (y @ y))
+    return float(x @ y / size) if size > 0 else float("nan")

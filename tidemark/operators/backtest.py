@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import islands
+
 
 def run(targets: DataFrame, cost: float = 5e-4) -> DataFrame:
     """(strategy, dt, ret, turnover, leverage) from (strategy, dt, asset, w, er, rf), one row per asset on every day.
@@ -37,3 +39,18 @@ def metrics(days: DataFrame) -> DataFrame:
     year = F.sqrt(F.lit(252.0))
     s = x.groupBy("strategy").agg((F.avg("x") * 252).alias("ann_ret"), (F.stddev_samp("x") * year).alias("ann_vol"), F.min(F.col("wealth") / F.col("peak") - 1).alias("mdd"), (F.avg("turnover") * 252).alias("turnover"), F.avg("leverage").alias("leverage"))
     return s.withColumn("sharpe", F.try_divide("ann_ret", "ann_vol")).withColumn("calmar", F.try_divide(F.abs("ann_ret"), F.abs("mdd")))
+
+
+def signed_ratios(df: DataFrame, keys: list[str], order: str, value: str, year: int = 252) -> DataFrame:
+    """(keys, calmar, sortino): yearly mean over the deepest fall from a peak, with its sign and null where there is none; Sortino, 0 with fewer than 2 rows or hardly any fall."""
+    w, x = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0), F.col(value)
+    d = df.withColumn("_w", F.product(1 + x).over(w)).withColumn("_fall", 1 - F.col("_w") / F.max("_w").over(w))
+    down = F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), 2)))
+    return d.groupBy(*keys).agg(F.when(F.max("_fall") > 1e-9, F.avg(x) * year / F.max("_fall")).alias("calmar"), F.when((F.count(x) >= 2) & (down >= 1e-12), F.avg(x) * year / (down * F.sqrt(F.lit(float(year))))).otherwise(0.0).alias("sortino"))
+
+
+def bear_shading(df: DataFrame, label: str, key: str = "asset", day: str = "dt", order: str = "t", value: str = "er") -> DataFrame:
+    """(key, start, stop, n, wealth) of every run of bear days: from its first day to the first day after it, or the last day of all; wealth at its last day."""
+    w = Window.partitionBy(key).orderBy(order)
+    x = df.withColumns({"_wealth": F.product(1 + F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead(day).over(w)})
+    return islands(x, label, key, order).where(F.col(label) == 1).groupBy(key, "run").agg(F.min(day).alias("start"), F.coalesce(F.max("_next"), F.max(day)).alias("stop"), F.count(F.lit(1)).alias("n"), F.max_by("_wealth", order).alias("wealth")).drop("run")

@@ -10,20 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jump_model
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Coefficients, constant first, by Newton's method; the slopes are held by ridge * |b|^2 / 2."""
-    a = np.column_stack([np.ones(len(y)), x])
-    hold = np.diag([1e-9, *([ridge] * x.shape[1])])
-    b = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -35, 35)))
-        move = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold, a.T @ (y - p) - hold @ b)
-        b = b + move
-        if np.abs(move).max() < 1e-10:
-            break
-    return b
+from .classifiers import logistic
 
 
 def stumps(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.3, cuts: int = 32) -> list[tuple[int, float, float, float]]:
@@ -60,7 +47,7 @@ def stump_probability(model: list[tuple[int, float, float, float]], x: np.ndarra
 def next_regime(df: DataFrame, features: list[str], label: str, method: str, split: float = 0.6, least: int = 50, key: str = "asset", order: str = "t") -> DataFrame:
     """(key, order, prob): probability that the next row's label is 1, for the rows after a group's first `split` share; learned from that share.
 
-    A label of one kind only gives that kind's constant; fewer than `least` training rows repeat the present label. Rows with null features are left out.
+    A label of one kind only gives that kind's constant; persistence repeats the last training label. Fewer than `least` training rows repeat the present label. Rows with null features are left out.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
 
@@ -69,7 +56,9 @@ def next_regime(df: DataFrame, features: list[str], label: str, method: str, spl
         x, y = pdf[features].to_numpy(float), pdf[label].to_numpy(float)
         n = int(len(pdf) * split)
         train, target = x[: max(n - 1, 0)], y[1:n]
-        if method == "persistence" or len(target) < least:
+        if method == "persistence" and n:
+            prob = np.full(len(x) - n, y[n - 1])  # the last known label, for all days to come
+        elif len(target) < least:
             prob = y[n:]
         elif target.min() == target.max():
             prob = np.full(len(x) - n, target[0])
@@ -118,104 +107,45 @@ def penalty_search(df: DataFrame, features: list[str], penalties: list[float], s
     return scored.withColumn("k", k).where("k = 1").select(key, "penalty", "sharpe")
 
 
-def timing_sharpe(state: np.ndarray, r: np.ndarray, cost: float = 5e-4) -> float:
-    """Sharpe ratio of holding the asset the day after a bullish forecast (0); the first two days count as changes, as in the reference."""
-    if len(state) < 5:
-        return float("nan")
-    before = np.append(np.nan, state[:-1])
-    net = np.where(before == 0, r, 0.0) - (before != np.append(np.nan, before[:-1])) * cost
-    sd = net.std(ddof=1)
-    return float(net.mean() / sd * np.sqrt(252)) if sd >= 1e-10 else 0.0
-
-
-def dated_penalty_search(df: DataFrame, features: list[str], penalties: list[float], months: tuple[int, ...] = (1, 7), train_years: int = 11, validation_years: int = 5, least: int = 252, key: str = "asset", order: str = "dt", value: str = "er") -> DataFrame:
-    """(key, rebalance, penalty, sharpe, candidates): at the first day of each of `months`, the penalty of the best validation Sharpe ratio; of equal ones the first.
-
-    The validation window is the years before that day. In it, at its first day of each of `months`, a jump model is fitted on the years before and boosted stumps
-    on its labels of the next day; they forecast the days up to the next such day. Days without a forecast keep the last one, or are bearish. Without any
-    finite ratio the first penalty stays, with a null sharpe. candidates: how many penalties have a ratio. One task per group and penalty, which fits each start once.
-    """
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("penalty")) for i, p in enumerate(penalties)])).alias("g")
-    kind, okind = (df.schema[c].dataType.simpleString() for c in (key, order))
-    rows = df.select(key, order, value, *features).dropna().select("*", grid).select(key, order, value, *features, "g.i", "g.penalty")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, r, penalty = pdf[features].to_numpy(float), pdf[value].to_numpy(float), float(pdf["penalty"].iloc[0])
-        day = pd.DatetimeIndex(pdf[order])
-        back = lambda at, years: int(day.searchsorted(at - pd.DateOffset(years=years)))
-
-        def starts(lo: int, hi: int) -> list[int]:
-            month = day[lo:hi].year * 12 + day[lo:hi].month
-            return [lo + i for i in range(hi - lo) if day[lo + i].month in months and (i == 0 or month[i] != month[i - 1])]
-
-        models: dict[int, tuple | None] = {}
-
-        def model(at: int):
-            if at not in models:
-                lo, models[at] = back(day[at], train_years), None
-                if at - lo >= least:
-                    labels, _ = jump_model.fit(x[lo:at], 2, penalty)
-                    mean = [r[lo:at][labels == k].mean() if (labels == k).any() else -np.inf for k in range(2)]
-                    target = (labels != int(np.argmax(mean)))[1:].astype(float)
-                    models[at] = (target[0],) if target.min() == target.max() else (None, stumps(x[lo : at - 1], target))
-            return models[at]
-
-        def forecast(at: int, end: int) -> np.ndarray:
-            m = model(at)
-            if m is None:
-                return np.full(end - at, np.nan)
-            return np.full(end - at, m[0]) if m[0] is not None else (stump_probability(m[1], x[at:end]) >= 0.5).astype(float)
-
-        out = []
-        for at in starts(0, len(day)):
-            lo = back(day[at], validation_years)
-            edge = starts(lo, at)
-            state = np.full(at - lo, np.nan)
-            for a, b in zip(edge, [*edge[1:], at], strict=False):
-                state[a - lo : b - lo] = forecast(a, b)
-            out.append((day[at], timing_sharpe(pd.Series(state).ffill().fillna(1.0).to_numpy(), r[lo:at])))
-        result = pd.DataFrame(out, columns=["rebalance", "sharpe"])
-        return result.assign(**{key: pdf[key].iloc[0], "i": pdf["i"].iloc[0], "penalty": penalty})[[key, "rebalance", "i", "penalty", "sharpe"]]
-
-    scored = rows.groupBy(key, "i").applyInPandas(one, f"{key} {kind}, rebalance {okind}, i int, penalty double, sharpe double").withColumn("sharpe", F.nanvl("sharpe", F.lit(None).cast("double")))
-    w = Window.partitionBy(key, "rebalance")
-    best = scored.withColumn("candidates", F.count("sharpe").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc_nulls_last("sharpe"), "i")))
-    return best.where("k = 1").select(key, "rebalance", "penalty", "sharpe", "candidates")
+def refit_reason(labels: np.ndarray, days: list, last: tuple[np.ndarray, list, pd.Timestamp] | None, today: pd.Timestamp, theta_ari: float, theta_run: float, safety_days: int) -> tuple[str | None, float | None, float, int | None]:
+    """(reason or None, ari_now, mrl_now, days since the last) of a fit of `labels` on `days` against the last accepted one (labels, days, when)."""
+    run_now, ari_now, since, reason = len(labels) / (1 + np.count_nonzero(np.diff(labels))), None, None, "initial"
+    if last is not None:
+        old, old_days, when = last
+        since, place = (today - when).days, {d: i for i, d in enumerate(old_days)}
+        common = [(place[d], i) for i, d in enumerate(days) if d in place]
+        if len(common) > 30:
+            a, b = zip(*common, strict=True)
+            ari_now = adjusted_rand(old[list(a)], labels[list(b)])
+        reason = "ari_collapse" if ari_now is not None and ari_now < theta_ari else "mrl_collapse" if run_now < theta_run else "calendar_safety" if since >= safety_days else None
+    return reason, ari_now, float(run_now), since
 
 
 def refit_events(df: DataFrame, features: list[str], evaluate: str, theta_ari: float, theta_run: float, window: int = 756, least: int = 252, penalty: float = 50.0, safety_days: int = 720, key: str = "asset", order: str = "t", day: str = "dt") -> DataFrame:
-    """(key, day, reason, ari_now, run_now, days_since_last): evaluation days (rows where `evaluate` is true) on which a new fit is accepted.
+    """(key, day, reason, ari_now, mrl_now, days_since_last): evaluation days (rows where `evaluate` is true) on which a new fit is accepted.
 
-    Reasons, the first that holds: initial; ari_collapse (agreement with the last accepted fit on common rows below theta_ari); run_collapse
+    Reasons, the first that holds: initial; ari_collapse (agreement with the last accepted fit on common rows below theta_ari); mrl_collapse
     (mean run length below theta_run); calendar_safety (safety_days since the last). Each day is judged against the last accepted fit, so a group is one sequential call.
     """
     kind, dkind = (df.schema[c].dataType.simpleString() for c in (key, day))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)
-        x, out, last = pdf[features].to_numpy(float), [], None
+        x, out, last, places = pdf[features].to_numpy(float), [], None, list(range(len(pdf)))
         for i in np.flatnonzero(pdf[evaluate].to_numpy()):
             lo = max(0, i - window)
             if i - lo < least:
                 continue
             labels, _ = jump_model.fit(x[lo:i], 2, penalty)
-            run_now = len(labels) / (1 + np.count_nonzero(np.diff(labels)))
-            ari_now, since, reason, today = None, None, "initial", pd.Timestamp(pdf[day].iloc[i])
-            if last is not None:
-                at, old, when = last
-                since = (today - when).days
-                common = at + len(old) - lo
-                if common > 30:
-                    ari_now = adjusted_rand(old[len(old) - common :], labels[:common])
-                reason = "ari_collapse" if ari_now is not None and ari_now < theta_ari else "run_collapse" if run_now < theta_run else "calendar_safety" if since >= safety_days else None
+            today = pd.Timestamp(pdf[day].iloc[i])
+            reason, ari_now, run_now, since = refit_reason(labels, places[lo:i], last, today, theta_ari, theta_run, safety_days)
             if reason:
                 out.append((pdf[key].iloc[0], pdf[day].iloc[i], reason, ari_now, run_now, since))
-                last = (lo, labels, today)
-        return pd.DataFrame(out, columns=[key, day, "reason", "ari_now", "run_now", "days_since_last"]).astype({"ari_now": "float64", "run_now": "float64", "days_since_last": "Int64"})
+                last = (labels, places[lo:i], today)
+        return pd.DataFrame(out, columns=[key, day, "reason", "ari_now", "mrl_now", "days_since_last"]).astype({"ari_now": "float64", "mrl_now": "float64", "days_since_last": "Int64"})
 
     needed = list(dict.fromkeys(chain([key, order, day, evaluate], features)))
-    return df.select(*needed).dropna().groupBy(key).applyInPandas(one, f"{key} {kind}, {day} {dkind}, reason string, ari_now double, run_now double, days_since_last long")
+    return df.select(*needed).dropna().groupBy(key).applyInPandas(one, f"{key} {kind}, {day} {dkind}, reason string, ari_now double, mrl_now double, days_since_last long")
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
@@ -226,3 +156,31 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     both, left, right, every = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), len(a) * (len(a) - 1) / 2
     chance = left * right / every
     return 1.0 if (left + right) / 2 == chance else float((both - chance) / ((left + right) / 2 - chance))
+
+
+def thresholds(df: DataFrame, features: list[str], evaluate: str, span: int = 370, least: int = 100, penalty: float = 50.0, seeds: int = 3, percentile: float = 5.0, key: str = "asset", day: str = "dt") -> DataFrame:
+    """(key, theta_ari, theta_mrl): the level below which agreement and run length of quarterly fits on the last `span` calendar days rarely fall, a mean over seeds.
+
+    Percentiles are over the fits of a key; a key with fewer than 504 rows, or without two fits that overlap on more than 30 days, has 0.5 and 30. One task a key and seed.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, day)}
+    rows = df.select(key, day, evaluate, *features).dropna().withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day)
+        x, at, seed = pdf[features].to_numpy(float), pd.DatetimeIndex(pdf[day]), int(pdf["_seed"].iloc[0])
+        aris, runs, last = [], [], None
+        for i in np.flatnonzero(pdf[evaluate].to_numpy()) if len(pdf) >= 504 else []:
+            lo = int(at.searchsorted(at[i] - pd.Timedelta(days=span)))
+            if i + 1 - lo < least:
+                continue
+            labels, _ = jump_model.fit(x[lo : i + 1], 2, penalty, seed=seed)
+            runs.append(len(labels) / (1 + np.count_nonzero(np.diff(labels))))
+            if last is not None and last[0] + len(last[1]) - lo > 30:
+                common = last[0] + len(last[1]) - lo
+                aris.append(adjusted_rand(last[1][-common:], labels[:common]))
+            last = (lo, labels)
+        both = (float(np.percentile(aris, percentile)), float(np.percentile(runs, percentile))) if aris and runs else (0.5, 30.0)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "ari": [both[0]], "mrl": [both[1]]})
+
+    return rows.groupBy(key, "_seed").applyInPandas(one, f"{key} {kinds[key]}, ari double, mrl double").groupBy(key).agg(F.avg("ari").alias("theta_ari"), F.avg("mrl").alias("theta_mrl"))

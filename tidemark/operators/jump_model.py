@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.series import by, upto
 
 
 def best_path(cost: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of least total cost plus penalty per change. Cheapest-so-far needs only the best state before each row."""
+    """Labels of least total cost plus penalty per change; of equal ones those of lower states. Cheapest-so-far needs only the best state before each row."""
     rows, states = cost.shape
+    if states == 2:
+        return _best_path_of_two(cost, penalty)
     came = np.zeros((rows, states), np.int64)
     total = cost[0].copy()
     for t in range(1, rows):
@@ -28,6 +33,24 @@ def best_path(cost: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _best_path_of_two(cost: np.ndarray, penalty: float) -> np.ndarray:
+    """best_path for two states: all that matters is how much dearer state 1 is so far, which a change of state bounds by the penalty."""
+    step = (cost[:, 1] - cost[:, 0]).tolist()
+    gap, s = [], 0.0
+    for d in step:
+        s = (penalty if s > penalty else -penalty if s < -penalty else s) + d
+        gap.append(s)
+    label = 0 if gap[-1] >= 0 else 1
+    path = [label]
+    for s in reversed(gap[:-1]):
+        if label == 0:
+            label = 1 if s < -penalty else 0
+        else:
+            label = 0 if s >= penalty else 1
+        path.append(label)
+    return np.array(path[::-1], np.int64)
+
+
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return 0.5 * ((x[:, None, :] - centres[None]) ** 2).sum(2)
 
@@ -36,9 +59,13 @@ def spread_centres(x: np.ndarray, states: int, rng: np.random.Generator) -> np.n
     """First centres: one row at random, each further one with a chance in proportion to its squared distance from those before."""
     picked = [int(rng.integers(len(x)))]
     for _ in range(states - 1):
-        d = 2 * distances(x, x[picked]).min(1)
+        d = np.nan_to_num(2 * distances(x, x[picked]).min(1), nan=0.0, posinf=0.0, neginf=0.0)
         total = d.sum()
-        picked.append(int(rng.choice(len(x), p=d / total)) if total > 0 else int(rng.integers(len(x))))
+        if total > 0 and np.isfinite(total):
+            picked.append(int(rng.choice(len(x), p=d / total)))
+        else:  # rows that are all alike: any one not taken yet
+            rest = np.setdiff1d(np.arange(len(x)), picked)
+            picked.append(int(rng.choice(rest)) if rest.size else int(rng.integers(len(x))))
     return x[picked].copy()
 
 
@@ -69,3 +96,42 @@ def regimes(df: DataFrame, features: list[str], key: str = "asset", order: str =
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
     return df.dropna(subset=features).select(key, order, value, *[f for f in features if f != value]).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, regime int")
+
+
+def bear_labels(labels: np.ndarray, values: np.ndarray, states: int = 2) -> np.ndarray:
+    """0 for rows of the state with the highest mean value, 1 for all others; states without rows don't count."""
+    mean = [values[labels == k].mean() if (labels == k).any() else -np.inf for k in range(states)]
+    return (labels != int(np.argmax(mean))).astype(np.int64)
+
+
+def consensus(df: DataFrame, features: list[str], seeds: int = 5, penalty: float = 50.0, key: str = "asset", order: str = "t", value: str = "er") -> DataFrame:
+    """(key, order, regime) on every row: the majority (one half at least) of two-state fits from `seeds` different starts, one task a key and start.
+
+    Rows with a null feature take the last regime before them, else the first after them, else 0.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    rows = df.select(key, order, value, *features).dropna().withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        labels, _ = fit(pdf[features].to_numpy(float), 2, penalty, seed=int(pdf["_seed"].iloc[0]))
+        return pd.DataFrame({key: pdf[key], order: pdf[order], "vote": bear_labels(labels, pdf[value].to_numpy(float))})
+
+    votes = rows.groupBy(key, "_seed").applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, vote int")
+    known = votes.groupBy(key, order).agg(F.when(F.avg("vote") >= 0.5, 1).otherwise(0).alias("_r"))
+    all_ = df.select(key, order).join(known, [key, order], "left")
+    ahead = by(key, order).rowsBetween(0, Window.unboundedFollowing)
+    return all_.select(key, order, F.coalesce(F.last("_r", ignorenulls=True).over(upto(key, order)), F.first("_r", ignorenulls=True).over(ahead), F.lit(0)).alias("regime"))
+
+
+def refits(training: DataFrame, features: list[str], key: str = "asset", rebal: str = "rebal", day: str = "dt", value: str = "er", penalty: float = 50.0, seed: int = 0) -> DataFrame:
+    """(key, rebal, day, state, regime, features): one fit for each key and rebal over its training rows; one task each. state: the fit's own number, regime: 0 bull, 1 bear."""
+    kinds = {c: training.schema[c].dataType.simpleString() for c in (key, rebal, day)}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(day)
+        labels, _ = fit(pdf[features].to_numpy(float), 2, penalty, seed=seed)
+        return pd.DataFrame({key: pdf[key], rebal: pdf[rebal], day: pdf[day], "state": labels, "regime": bear_labels(labels, pdf[value].to_numpy(float)), **{f: pdf[f] for f in features}})
+
+    rows = training.select(key, rebal, day, *dict.fromkeys([value, *features])).dropna()
+    return rows.groupBy(key, rebal).applyInPandas(one, f"{key} {kinds[key]}, {rebal} {kinds[rebal]}, {day} {kinds[day]}, state int, regime int, " + ", ".join(f"{f} double" for f in features))

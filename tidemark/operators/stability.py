@@ -67,3 +67,108 @@ def centroid_drift(centres: DataFrame, features: list[str], key: str = "asset",
     at = lambda s: F.max(F.when(F.col(state) == s, F.col("_moved")))
     d = centres.withColumn("_moved", moved).groupBy(key, fit).agg(at(0).alias("drift_bull"), at(1).alias("drift_bear"))
     return d.where("drift_bull IS NOT NULL AND drift_bear IS NOT NULL").withColumn("drift_mean", (F.col("drift_bull") + F.col("drift_bear")) / 2)
+
+
+# -------------------------------------------------------------------------------------------------- from one refit to the next
+
+
+def consecutive_agreement(fits: DataFrame, key: str = "asset", rebal: str = "rebal", day: str = "dt", label: str = "regime", least: int = 20) -> DataFrame:
+    """(key, prev, rebal, agreement, ari, n_overlap) of every fit and the one before it, over the days that both have.
+
+    fits: (key, rebal, day, label 0 or 1). Labels may be swapped between fits: agreement is that of the better reading, on which the adjusted Rand index does not
+    depend. Null with fewer than `least` common days.
+    """
+    order = fits.select(key, rebal).distinct().withColumn("prev", F.lag(rebal).over(Window.partitionBy(key).orderBy(rebal))).where("prev IS NOT NULL")  # refits
+    now = fits.select(key, rebal, day, F.col(label).alias("b")).join(order, [key, rebal])
+    both = now.join(fits.select(key, F.col(rebal).alias("prev"), day, F.col(label).alias("a")), [key, "prev", day])
+    n = {(x, y): F.sum(F.when((F.col("a") == x) & (F.col("b") == y), 1).otherwise(0)).cast("double") for x in (0, 1) for y in (0, 1)}
+    s = both.groupBy(key, "prev", rebal).agg(*[c.alias(f"n{x}{y}") for (x, y), c in n.items()], F.count(F.lit(1)).alias("n"))
+    d = order.join(s, [key, "prev", rebal], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    same = (F.col("n00") + F.col("n11")) / F.col("n")
+    pairs = lambda c: c * (c - 1) / 2
+    c = lambda x, y: F.col(f"n{x}{y}")
+    inside = sum((pairs(c(x, y)) for x in (0, 1) for y in (0, 1)), F.lit(0.0))
+    left, right = sum((pairs(c(x, 0) + c(x, 1)) for x in (0, 1)), F.lit(0.0)), sum((pairs(c(0, y) + c(1, y)) for y in (0, 1)), F.lit(0.0))
+    chance = left * right / pairs(F.col("n"))
+    ari = F.when((left + right) / 2 == chance, 1.0).otherwise((inside - chance) / ((left + right) / 2 - chance))
+    enough = F.col("n") >= least
+    return d.select(key, "prev", rebal, F.when(enough, F.greatest(same, 1 - same)).alias("agreement"), F.when(enough, ari).alias("ari"), F.col("n").alias("n_overlap"))
+
+
+def validity(fits: DataFrame, features: list[str], keys: list[str], label: str = "regime") -> DataFrame:
+    """(keys, n, davies_bouldin, calinski_harabasz, calinski_harabasz_per_n) of every fit's partition into two; null where it is degenerate (under 4 rows, or one cluster).
+
+    Centres, spreads and squares are aggregates; rows with a null feature are left out.
+    """
+    x = fits.select(*keys, label, *features).dropna()
+    c = x.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(f).alias(f"_c_{f}") for f in features])
+    gap2 = sum((F.pow(F.col(f) - F.col(f"_c_{f}"), 2) for f in features), F.lit(0.0))
+    d = x.join(c, [*keys, label]).withColumn("_d2", gap2)  # two centres a fit
+    per = d.groupBy(*keys, label).agg(F.avg(F.sqrt("_d2")).alias("_s"), F.sum("_d2").alias("_w"), F.first("_n").alias("_n"), *[F.first(f"_c_{f}").alias(f"_c_{f}") for f in features])
+    pick = lambda k, name: F.max(F.when(F.col(label) == k, F.col(name)))
+    # two clusters: the squares between them are n0 n1 / n times the squared gap of the centres
+    between = sum((F.pow(pick(0, f"_c_{f}") - pick(1, f"_c_{f}"), 2) for f in features), F.lit(0.0))
+    t = per.groupBy(*keys).agg(F.sum("_n").alias("n"), between.alias("g2"), pick(0, "_n").alias("n0"), pick(1, "_n").alias("n1"), F.sum("_w").alias("w"), (pick(0, "_s") + pick(1, "_s")).alias("s"))
+    good = F.col("n0").isNotNull() & F.col("n1").isNotNull() & (F.col("n") >= 4)
+    ch = F.when(good & (F.col("w") > 0), F.col("n0") * F.col("n1") / F.col("n") * F.col("g2") / (F.col("w") / (F.col("n") - 2)))
+    return t.select(*keys, "n", F.when(good & (F.col("g2") > 0), F.col("s") / F.sqrt("g2")).alias("davies_bouldin"), ch.alias("calinski_harabasz"), (ch / F.col("n")).alias("calinski_harabasz_per_n"))
+
+
+def validity_with_silhouette(fits: DataFrame, features: list[str], key: str = "asset", rebal: str = "rebal", label: str = "regime") -> DataFrame:
+    """validity() of every (key, rebal) with silhouette; null where a cluster has a single row. One task a fit, which holds one training window."""
+    kinds = {c: fits.schema[c].dataType.simpleString() for c in (key, rebal)}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[features].to_numpy(float), pdf[label].to_numpy()
+        size = np.unique(y, return_counts=True)[1]
+        value = mean_silhouette(x, y) if len(x) >= 4 and len(size) >= 2 and size.min() >= 2 else None
+        return pd.DataFrame({key: pdf[key].iloc[:1], rebal: pdf[rebal].iloc[:1], "silhouette": pd.Series([value], dtype="float64")})
+
+    s = fits.select(key, rebal, label, *features).dropna().groupBy(key, rebal).applyInPandas(one, f"{key} {kinds[key]}, {rebal} {kinds[rebal]}, silhouette double")
+    return validity(fits, features, [key, rebal], label).join(s.withColumn("silhouette", F.nanvl("silhouette", F.lit(None).cast("double"))), [key, rebal])
+
+
+def has_features(fits: DataFrame, features: list[str]) -> bool:
+    """Whether there are fits, and every row has all features."""
+    missing = sum((F.when(F.col(f).isNull(), 1).otherwise(0) for f in features), F.lit(0))
+    n, bad = fits.agg(F.count(F.lit(1)), F.sum(missing)).first()
+    return n > 0 and not bad
+
+
+def refit_drift(fits: DataFrame, features: list[str], key: str = "asset", rebal: str = "rebal", label: str = "regime") -> DataFrame:
+    """centroid_drift() of fits: (key, rebal, drift_bull, drift_bear, drift_mean)."""
+    c = fits.groupBy(key, rebal, label).agg(*[F.avg(f).alias(f) for f in features])
+    return centroid_drift(c, features, key, rebal, label)
+
+
+def occupancy(fits: DataFrame, key: str = "asset", rebal: str = "rebal", day: str = "dt", label: str = "regime") -> DataFrame:
+    """(key, rebal, n, pct_bear, mean_run, persistence) of every fit: share of bearish days, mean run length, and that as a share of the days."""
+    w = Window.partitionBy(key, rebal).orderBy(day)
+    s = fits.withColumn("_start", F.when(F.col(label) == F.lag(label).over(w), 0).otherwise(1)).groupBy(key, rebal).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("pct_bear"), F.sum("_start").alias("_runs"))
+    return s.select(key, rebal, "n", "pct_bear", (F.col("n") / F.col("_runs")).alias("mean_run"), (1 / F.col("_runs")).alias("persistence"))
+
+
+def report(fits: DataFrame, features: list[str], key: str = "asset", rebal: str = "rebal", day: str = "dt", label: str = "regime", valid: DataFrame | None = None) -> DataFrame:
+    """One row a key: mean agreement, index, drift, spread of occupancy, run length, Davies-Bouldin and Calinski-Harabasz per row over the refits (and silhouette where `valid` has it)."""
+    valid = validity(fits, features, [key, rebal], label) if valid is None else valid
+    mean = lambda df, cols: df.groupBy(key).agg(*[F.avg(c).alias(n) for c, n in cols.items()])
+    geometry = {c: c for c in ("silhouette", "davies_bouldin", "calinski_harabasz_per_n") if c in valid.columns}
+    occ = occupancy(fits, key, rebal, day, label).groupBy(key).agg((F.stddev_samp("pct_bear") * 100).alias("occupancy_std"), F.avg("mean_run").alias("mean_run_length"))
+    parts = [mean(consecutive_agreement(fits, key, rebal, day, label), {"agreement": "label_agreement", "ari": "ari"}), mean(refit_drift(fits, features, key, rebal, label), {"drift_mean": "centroid_drift"}), occ, mean(valid, geometry)]
+    out = fits.select(key).distinct()
+    for p in parts:
+        out = out.join(p, key, "left")
+    return out
+
+
+def normalised(rep: DataFrame) -> DataFrame:
+    """report() with every column brought to where more is better and 1 is best. occupancy_std: in percent."""
+    clip = lambda c, lo, hi: F.when(F.col(c).isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(c))))
+    most = F.max("calinski_harabasz_per_n").over(Window.partitionBy(F.lit(0)))  # one row a key
+    new = {
+        "ari": clip("ari", 0, 1), "centroid_drift": 1 / (1 + F.col("centroid_drift")), "occupancy_std": 1 / (1 + F.col("occupancy_std") * 10), "mean_run_length": clip("mean_run_length", 0, 100) / 100,
+        "davies_bouldin": 1 / (1 + F.col("davies_bouldin")), "calinski_harabasz_per_n": F.col("calinski_harabasz_per_n") / F.when(most != 0, most).otherwise(1.0),
+    }
+    if "silhouette" in rep.columns:
+        new["silhouette"] = (clip("silhouette", -1, 1) + 1) / 2
+    return rep.withColumns(new)

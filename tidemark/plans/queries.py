@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import inference
-from ..functions.series import as_of, by, downside, ewm_mean, expanding_z, forward_fill, full, islands, last_rows, upto
+from ..functions.series import as_of, average_rank, by, downside, ewm_mean, expanding_z, forward_fill, full, islands, last_rows, upto
 from ..operators import jump_model, portfolio, volatility
+from ..sources import sinks
 from ..sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,10 +109,11 @@ def join_config_pairs(spark, d):
     return c.select(F.col("config").alias("a")).join(c.select(F.col("config").alias("b")), F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FACT}, done AS (SELECT DISTINCT asset, config FROM fact WHERE metric > 2.0) SELECT asset, config, seed FROM fact WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.asset = fact.asset AND done.config = fact.config)")
+@query(f"WITH {FACT}, done AS (SELECT asset, config, seed FROM fact WHERE seed % 2 = 0 AND config <> '3-MEDIUM') SELECT asset, config, seed FROM fact WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.asset = fact.asset AND done.config = fact.config AND done.seed = fact.seed)")
 def join_skip_done(spark, d):
+    """The runs of a sweep that a first part of it has not done."""
     f = src.fact(spark, d)
-    return f.join(f.where("metric > 2.0").select("asset", "config").distinct(), ["asset", "config"], "left_anti").select("asset", "config", "seed")
+    return sinks.pending(f.select("asset", "config", "seed"), f.where("seed % 2 = 0 AND config <> '3-MEDIUM'"), ["asset", "config", "seed"])
 
 
 @query("SELECT r_name AS region, n_name AS asset FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -154,8 +156,7 @@ def agg_terminal_wealth(spark, d):
 
 @query(f"WITH {FACT}, x AS (SELECT metric, low, rank() OVER (ORDER BY metric) + (count(*) OVER (PARTITION BY metric) - 1) / 2.0 AS a, rank() OVER (ORDER BY low) + (count(*) OVER (PARTITION BY low) - 1) / 2.0 AS b FROM fact) SELECT round(corr(metric, low), 8) AS pearson, round(corr(a, b), 8) AS spearman FROM x")
 def agg_correlations(spark, d):
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    x = src.fact(spark, d).select("metric", "low", rank("metric").alias("a"), rank("low").alias("b"))  # one row a run of a sweep
+    x = average_rank(average_rank(src.fact(spark, d), "metric", "a"), "low", "b")
     return x.agg(r(F.corr("metric", "low")).alias("pearson"), r(F.corr("a", "b")).alias("spearman"))
 
 
@@ -189,12 +190,13 @@ def fea_macro_features(spark, d):
     return m.select("dt", r(ewm_mean(F.col("d2"), 21), 7).alias("d_y2"), r(ewm_mean(F.col("s"), 10), 7).alias("slope"), r(ewm_mean(F.col("dv"), 63), 7).alias("d_log_vix"))
 
 
-@query(f"WITH {PANEL}, j AS (SELECT a.dt, a.er AS x, b.er AS y FROM panel a JOIN panel b USING (dt) WHERE a.asset = 'AF' AND b.asset = 'RF') SELECT dt, CASE WHEN count(*) OVER w >= 126 THEN round(corr(x, y) OVER w, 6) END AS rho FROM j WINDOW w AS (ORDER BY dt ROWS 251 PRECEDING)")
+@query(f"WITH {PANEL}, j AS (SELECT a.asset AS a, b.asset AS b, a.dt, a.er AS x, b.er AS y FROM panel a JOIN panel b ON a.dt = b.dt AND a.asset < b.asset) SELECT a, b, dt, CASE WHEN count(*) OVER w >= 126 THEN round(corr(x, y) OVER w, 6) END AS rho FROM j WINDOW w AS (PARTITION BY a, b ORDER BY dt ROWS 251 PRECEDING)")
 def fea_rolling_correlation(spark, d):
+    """A year's correlation of every pair of assets, over the days that both have."""
     p = src.panel(spark, d)
-    j = p.where("asset = 'AF'").select("dt", F.col("er").alias("x")).join(p.where("asset = 'RF'").select("dt", F.col("er").alias("y")), "dt")
-    w = Window.orderBy("dt").rowsBetween(-251, 0)
-    return j.select("dt", F.when(F.count(F.lit(1)).over(w) >= 126, r(F.corr("x", "y").over(w), 6)).alias("rho"))
+    j = p.select("dt", F.col("asset").alias("a"), F.col("er").alias("x")).join(p.select("dt", F.col("asset").alias("b"), F.col("er").alias("y")), "dt").where("a < b")
+    w = Window.partitionBy("a", "b").orderBy("dt").rowsBetween(-251, 0)
+    return j.select("a", "b", "dt", F.when(F.count(F.lit(1)).over(w) >= 126, r(F.corr("x", "y").over(w), 6)).alias("rho"))
 
 
 _ROLL = "(PARTITION BY asset ORDER BY t ROWS 62 PRECEDING)"
@@ -244,10 +246,16 @@ def win_bear_intervals(spark, d):
     return islands(labels(spark, d), "y").where("y = 1").groupBy("asset", "run").agg(F.min("dt").alias("bear_start"), F.max("dt").alias("bear_end")).drop("run")
 
 
-@query(f"WITH {FACT}, p AS (PIVOT (SELECT asset, config, metric FROM fact) ON config IN ('1-URGENT', '2-HIGH', '5-LOW') USING round(avg(metric), 7) GROUP BY asset) SELECT asset, \"1-URGENT\" AS urgent, \"2-HIGH\" AS high, \"5-LOW\" AS low FROM p")
+#: The configurations of fact, and their names as columns.
+CONFIGS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+_IN = ", ".join(f"'{c}'" for c in CONFIGS)
+
+
+@query(f"WITH {FACT}, p AS (PIVOT (SELECT asset, config, metric, low FROM fact) ON config IN ({_IN}) USING round(avg(metric), 7) AS mean, round(stddev_samp(low), 7) AS sd GROUP BY asset) SELECT asset, " + ", ".join(f'"{c}_mean" AS {n}_mean, "{c}_sd" AS {n}_sd' for c, n in CONFIGS.items()) + " FROM p")
 def piv_config_wide(spark, d):
-    w = src.fact(spark, d).groupBy("asset").pivot("config", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(r(F.avg("metric"), 7))
-    return w.select("asset", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"), F.col("5-LOW").alias("low"))
+    """Mean and deviation of every configuration side by side."""
+    w = src.fact(spark, d).groupBy("asset").pivot("config", list(CONFIGS)).agg(r(F.avg("metric"), 7).alias("mean"), r(F.stddev_samp("low"), 7).alias("sd"))
+    return w.select("asset", *[F.col(f"`{c}_{k}`").alias(f"{n}_{k}") for c, n in CONFIGS.items() for k in ("mean", "sd")])
 
 
 @query(f"WITH {FACT}, m AS (SELECT config, asset, round(avg(metric), 10) AS m, round(avg(low), 10) AS low FROM fact GROUP BY 1, 2) SELECT asset, config, m FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY m DESC, low DESC, config) AS k FROM m) WHERE k = 1")
@@ -293,7 +301,7 @@ def prt_regime_equal_weight(spark, d):
 
 
 def _cov_sql() -> str:
-    return f"""WITH {PANEL}, d AS (SELECT asset, dt, er, pow(2.0, -date_diff('day', dt, (SELECT max(dt) FROM panel)) / 252.0) AS w FROM panel),
+    return f"""WITH {PANEL}, cal AS (SELECT dt, row_number() OVER (ORDER BY dt DESC) - 1 AS age FROM (SELECT DISTINCT dt FROM panel)), d AS (SELECT asset, dt, er, pow(2.0, -age / 252.0) AS w FROM panel JOIN cal USING (dt)),
  s AS (SELECT p.asset AS a, q.asset AS b, sum(p.w) AS s, sum(p.w * p.w) AS s2, sum(p.w * p.er) AS sx, sum(p.w * q.er) AS sy, sum(p.w * p.er * q.er) AS sxy FROM d p JOIN d q USING (dt) GROUP BY 1, 2)
  SELECT a, b, round((sxy / s - sx * sy / pow(s, 2)) / (1 - s2 / pow(s, 2)), 11) AS cov FROM s"""
 
@@ -393,3 +401,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from . import studies  # noqa: E402,F401  its queries join the registry above
+from . import research  # noqa: E402,F401

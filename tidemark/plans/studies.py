@@ -13,7 +13,7 @@ from ..functions import inference
 from ..functions.series import as_of, by, ewm_mean, forward_fill, upto
 from ..operators import backtest, forecast, stability
 from ..sources import tables as src
-from .queries import _LBL, FACT, MACRO, PANEL, UP, cal_rebalance_dates, ewm_sql, labels, query, r
+from .queries import _LBL, CONFIGS, FACT, MACRO, PANEL, UP, cal_rebalance_dates, ewm_sql, labels, query, r
 
 BY = "(PARTITION BY asset ORDER BY t)"
 
@@ -89,10 +89,10 @@ def agg_variance_by_axis(spark, d):
     return mean("config").crossJoin(mean("asset"))  # one row each
 
 
-@query(f"WITH {FACT} SELECT asset, count(*) FILTER (config = '1-URGENT') AS urgent, count(*) FILTER (config = '2-HIGH') AS high, count(*) FILTER (config = '5-LOW') AS low FROM fact WHERE metric > 1.5 GROUP BY 1")
+@query(f"WITH {FACT} SELECT asset, " + ", ".join(f"count(*) FILTER (config = '{c}') AS {n}" for c, n in CONFIGS.items()) + " FROM fact WHERE metric > 1.5 GROUP BY 1")
 def piv_crosstab(spark, d):
-    w = src.fact(spark, d).where("metric > 1.5").groupBy("asset").pivot("config", ["1-URGENT", "2-HIGH", "5-LOW"]).count().na.fill(0)
-    return w.select("asset", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"), F.col("5-LOW").alias("low"))
+    w = src.fact(spark, d).where("metric > 1.5").groupBy("asset").pivot("config", list(CONFIGS)).count().na.fill(0)
+    return w.select("asset", *[F.col(f"`{c}`").alias(n) for c, n in CONFIGS.items()])
 
 
 @query(f"WITH {FACT} SELECT asset, config, seed, 'metric' AS name, round(metric, 6) AS value FROM fact WHERE metric IS NOT NULL UNION ALL SELECT asset, config, seed, 'low', round(low, 6) FROM fact WHERE low IS NOT NULL")
@@ -162,12 +162,6 @@ def stb_occupancy_persistence(spark, d):
     return s.groupBy("asset", "fit").agg(r(F.avg("y"), 7).alias("pct_bear"), r(F.count(F.lit(1)) / F.sum("starts"), 6).alias("mean_run"), r(1 / F.sum("starts"), 7).alias("persistence"))
 
 
-@query(f"WITH {PANEL}, {_LBL} SELECT asset, year(dt)::INT AS fit, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(greatest(avg((y = yhat)::INT), 1 - avg((y = yhat)::INT)), 7) END AS agreement FROM lbl GROUP BY 1, 2")
-def stb_pairwise_agreement(spark, d):
-    same = F.avg(F.when(F.col("y") == F.col("yhat"), 1.0).otherwise(0.0))
-    return labels(spark, d).groupBy("asset", F.year("dt").alias("fit")).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 20, r(F.greatest(same, 1 - same), 7)).alias("agreement"))
-
-
 _FEAT = f"ft AS (SELECT asset, dt, t, y, er * 100 AS f1, m * 1000 AS f2 FROM (SELECT *, {ewm_sql('er', 21)} AS m FROM lbl))"
 
 
@@ -229,16 +223,19 @@ def wilcoxon(spark, d) -> DataFrame:
 
 @query()
 def sta_pairwise_table(spark, d):
-    """Each config against the reference: signed-rank p, effect size and Holm's verdict; one row a config."""
+    """Each config against the reference: signed-rank p, effect size and Holm's verdict; one row a config. Tails come from a helper row by row, Holm's steps from windows over the configs."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = [inference.wilcoxon_p(w, n) if n >= 5 else float("nan") for w, n in zip(pdf.w, pdf.n, strict=True)]
-        known = [x for x in p if x == x]
-        verdict = {x: (adj, no) for x, adj, no in inference.holm(known)}
-        z = [abs(inference.NormalDist().inv_cdf(min(max(x / 2, 1e-300), 0.5))) if x == x else 0.0 for x in p]
-        return pd.DataFrame({"config": pdf.config, "n": pdf.n, "w": pdf.w, "p": p, "effect": [a / math.sqrt(n) for a, n in zip(z, pdf.n, strict=True)], "p_holm": [verdict[x][0] if x == x else float("nan") for x in p], "rejected": [bool(verdict[x][1]) if x == x else False for x in p]})
+    def tails(batches):
+        for b in batches:
+            p = [inference.wilcoxon_p(w, n) if n >= 5 else None for w, n in zip(b.w, b.n, strict=True)]
+            z = [abs(inference.NormalDist().inv_cdf(min(max(x / 2, 1e-300), 0.5))) if x is not None else 0.0 for x in p]
+            yield b.assign(p=p, effect=[a / math.sqrt(n) for a, n in zip(z, b.n, strict=True)])
 
-    return wilcoxon(spark, d).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "config string, n long, w double, p double, effect double, p_holm double, rejected boolean")
+    t = wilcoxon(spark, d).mapInPandas(tails, "config string, n long, w double, p double, effect double")
+    known = Window.partitionBy(F.col("p").isNull())  # one row a config
+    t = t.withColumn("left", F.when(F.col("p").isNotNull(), F.count(F.lit(1)).over(known) - F.row_number().over(known.orderBy("p", "config")) + 1))
+    failed = F.max(F.when(F.col("p") <= 0.05 / F.col("left"), 0).otherwise(1)).over(known.orderBy("p", "config").rowsBetween(Window.unboundedPreceding, 0))
+    return t.select("config", "n", "w", "p", "effect", F.least(F.lit(1.0), F.col("p") * F.col("left")).alias("p_holm"), (F.col("p").isNotNull() & (failed == 0)).alias("rejected"))
 
 
 @query(f"WITH {FACT}, {_PAIRS} SELECT config, round((avg(cm) - avg(bm)) / sqrt((var_samp(cm) + var_samp(bm)) / 2), 6) AS cohens_d FROM dif GROUP BY 1")
@@ -247,18 +244,18 @@ def sta_cohens_d(spark, d):
     return paired(spark, d).groupBy("config").agg(r((F.avg("cm") - F.avg("bm")) / F.sqrt((F.var_samp("cm") + F.var_samp("bm")) / 2), 6).alias("cohens_d"))
 
 
-_FRIED = f"""k AS (SELECT asset, seed, config, {rank_sql('metric', 'asset, seed')} AS rk, count(*) OVER (PARTITION BY asset, seed) AS c FROM fact WHERE config IN ('1-URGENT', '2-HIGH', '5-LOW')),
- s AS (SELECT asset, config, sum(rk) AS s, count(*) AS n FROM k WHERE c = 3 GROUP BY 1, 2), p AS (SELECT asset, round(exp(-(12.0 / (max(n) * 12) * sum(s * s) - 12 * max(n)) / 2), 9) AS p FROM s GROUP BY 1)"""
+_FRIED = f"""k AS (SELECT asset, seed, config, {rank_sql('metric', 'asset, seed')} AS rk, count(*) OVER (PARTITION BY asset, seed) AS c FROM fact),
+ s AS (SELECT asset, config, sum(rk) AS s, count(*) AS n FROM k WHERE c = 5 GROUP BY 1, 2), x AS (SELECT asset, 12.0 / (max(n) * 30) * sum(s * s) - 18 * max(n) AS x FROM s GROUP BY 1), p AS (SELECT asset, round(exp(-x / 2) * (1 + x / 2), 9) AS p FROM x)"""
 
 
 @query(f"""WITH {FACT}, {_FRIED}, o AS (SELECT *, row_number() OVER (ORDER BY p, asset) AS i, count(*) OVER () AS m FROM p) SELECT asset, p, round(least(1, p * m), 8) AS bonferroni, round(least(1, p * (m - i + 1)), 8) AS holm,
  max(CASE WHEN p <= 0.05 / (m - i + 1) THEN 0 ELSE 1 END) OVER (ORDER BY i) = 0 AS holm_rejects, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS bh FROM o""")
 def sta_multiple_testing(spark, d):
-    """Friedman's test of three configs in every asset (two degrees of freedom: the tail is exp(-x/2)), then Bonferroni, Holm and Benjamini-Hochberg over the assets."""
-    k = src.fact(spark, d).where(F.col("config").isin("1-URGENT", "2-HIGH", "5-LOW")).withColumn("rk", rank_of("metric", "asset", "seed")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("asset", "seed")))
-    s = k.where("c = 3").groupBy("asset", "config").agg(F.sum("rk").alias("s"), F.count(F.lit(1)).alias("n"))
-    n = F.max("n")
-    p = s.groupBy("asset").agg(F.round(F.exp(-(12 / (n * 12) * F.sum(F.col("s") * F.col("s")) - 12 * n) / 2), 9).alias("p"))
+    """Friedman's test of the five configs in every asset (four degrees of freedom: the tail is exp(-x/2) (1 + x/2)), then Bonferroni, Holm and Benjamini-Hochberg over the assets."""
+    k = src.fact(spark, d).withColumn("rk", rank_of("metric", "asset", "seed")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("asset", "seed")))
+    s = k.where("c = 5").groupBy("asset", "config").agg(F.sum("rk").alias("s"), F.count(F.lit(1)).alias("n"))
+    x = s.groupBy("asset").agg((12 / (F.max("n") * 30) * F.sum(F.col("s") * F.col("s")) - 18 * F.max("n")).alias("x"))
+    p = x.select("asset", F.round(F.exp(-F.col("x") / 2) * (1 + F.col("x") / 2), 9).alias("p"))
     all_, up = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("i")  # one row a test
     o = p.withColumn("i", F.row_number().over(all_.orderBy("p", "asset"))).withColumn("m", F.count(F.lit(1)).over(all_))
     left = F.col("m") - F.col("i") + 1
@@ -338,11 +335,9 @@ def sta_bootstrap_sharpe(spark, d):
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         er = pdf["er"].to_numpy()
-        rank = pdf["er"].rank().to_numpy()
         sharpe = lambda v: v.mean() / max(v.std(ddof=1), 1e-12) * math.sqrt(252)
-        corr = lambda a, b: np.corrcoef(a, b)[0, 1]
-        (lo, hi), (clo, chi) = inference.bootstrap(sharpe, [er]), inference.bootstrap(corr, [rank[1:], rank[:-1]])
-        return pd.DataFrame({"asset": pdf["asset"].iloc[:1], "sharpe": [sharpe(er)], "lo": [lo], "hi": [hi], "rho": [corr(rank[1:], rank[:-1])], "rho_lo": [clo], "rho_hi": [chi]})
+        (lo, hi), (clo, chi) = inference.bootstrap(sharpe, [er]), inference.bootstrap(inference.spearman, [er[1:], er[:-1]])
+        return pd.DataFrame({"asset": pdf["asset"].iloc[:1], "sharpe": [sharpe(er)], "lo": [lo], "hi": [hi], "rho": [inference.spearman(er[1:], er[:-1])], "rho_lo": [clo], "rho_hi": [chi]})
 
     return per_asset(src.panel(spark, d).select("asset", "t", "er"), "sharpe double, lo double, hi double, rho double, rho_lo double, rho_hi double", one)
 
@@ -431,11 +426,11 @@ def jmp_nearest_centre(spark, d):
     return x.join(F.broadcast(c), "asset").select("asset", "t", F.when(near == F.col("bull"), 0).otherwise(1).alias("regime"))  # two centres an asset
 
 
-@query(f"""WITH {PANEL}, {_LBL}, w AS (SELECT asset, t, y, sum(CASE WHEN y = 0 THEN er END) OVER q AS s0, count(*) FILTER (y = 0) OVER q AS n0, sum(CASE WHEN y = 1 THEN er END) OVER q AS s1, count(*) FILTER (y = 1) OVER q AS n1, avg(er) OVER q AS m FROM lbl WINDOW q AS (PARTITION BY asset ORDER BY dt RANGE BETWEEN INTERVAL 2 YEAR PRECEDING AND CURRENT ROW))
+@query(f"""WITH {PANEL}, {_LBL}, w AS (SELECT asset, t, y, sum(CASE WHEN y = 0 THEN er END) OVER q AS s0, count(*) FILTER (y = 0) OVER q AS n0, sum(CASE WHEN y = 1 THEN er END) OVER q AS s1, count(*) FILTER (y = 1) OVER q AS n1, avg(er) OVER q AS m FROM lbl WINDOW q AS (PARTITION BY asset ORDER BY dt RANGE BETWEEN INTERVAL 11 YEAR PRECEDING AND CURRENT ROW))
  SELECT asset, t, round(CASE WHEN y = 0 THEN CASE WHEN n0 > 5 THEN s0 / n0 ELSE m END ELSE greatest(CASE WHEN n1 > 5 THEN s1 / n1 ELSE m END, -0.001) END, 8) AS mu FROM w""")
 def jmp_conditional_forecast(spark, d):
     """Mean return of the last years' days in the present regime; the plain mean after five days or fewer; not below -10 basis points in a bear."""
-    frame = "OVER (PARTITION BY asset ORDER BY dt RANGE BETWEEN INTERVAL '2' YEAR PRECEDING AND CURRENT ROW)"
+    frame = "OVER (PARTITION BY asset ORDER BY dt RANGE BETWEEN INTERVAL '11' YEAR PRECEDING AND CURRENT ROW)"
     w = labels(spark, d).selectExpr("asset", "t", "y", *[f"{f}(CASE WHEN y = {k} THEN er END) {frame} AS {n}{k}" for k in (0, 1) for f, n in (("sum", "s"), ("count", "n"))], f"avg(er) {frame} AS m")
     at = lambda k: F.when(F.col(f"n{k}") > 5, F.col(f"s{k}") / F.col(f"n{k}")).otherwise(F.col("m"))
     return w.select("asset", "t", r(F.when(F.col("y") == 0, at(0)).otherwise(F.greatest(at(1), F.lit(-0.001)))).alias("mu"))
@@ -462,15 +457,16 @@ def fct_correlation(spark, d):
     return e.groupBy("asset").agg(r(F.corr("er", "m"), 6).alias("rho"))
 
 
-def _forecast(method: str):
+def _forecast(method: str, sql: str | None = None):
     def run(spark, d):
         return forecast.next_regime(features(spark, d), ["f1", "f2"], "y", method)
 
     run.__name__, run.__doc__ = f"fct_{method}", f"Probability of a bear state on the next day, by {method}."
-    return query()(run)
+    return query(sql)(run)
 
 
-for _m in ("persistence", "logistic", "boosted"):
+_forecast("persistence", f"WITH {PANEL}, {_LBL}, n AS (SELECT asset, t, y, floor(CAST(0.6 AS DOUBLE) * count(*) OVER (PARTITION BY asset)) AS n FROM lbl) SELECT asset, t, CAST(max(CASE WHEN t = n THEN y END) OVER (PARTITION BY asset) AS DOUBLE) AS prob FROM n QUALIFY t > n")
+for _m in ("logistic", "boosted"):
     _forecast(_m)
 
 
@@ -480,12 +476,6 @@ def fct_penalty_search(spark, d):
     return forecast.penalty_search(features(spark, d), ["f1", "f2"], [0.0, 1.0, 3.0, 10.0, 30.0, 100.0])
 
 
-@query()
-def fct_dated_penalty_search(spark, d):
-    """The reference's search: 31 penalties for each asset and half-yearly rebalance date, by the classifier's forecasts over the five years before."""
-    return forecast.dated_penalty_search(features(spark, d), ["f1", "f2"], [0.0, *np.logspace(-1, 2, 30).tolist()])
-
-
 # ------------------------------------------------------------------------------------------------------------------------- backtests
 
 

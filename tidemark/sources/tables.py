@@ -51,3 +51,61 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
     return joined.groupBy(F.col("n_name").alias("asset"), F.col("o_orderpriority").alias("config"), (F.col("o_custkey") % 5).cast("int").alias("seed")).agg(F.round(F.avg("o_totalprice") / 1e5, 8).alias("metric"), F.round(F.min("o_totalprice") / 1e5, 8).alias("low"))
+
+
+def outer_aligned(series: dict[str, DataFrame], day: str = "dt", value: str = "v") -> DataFrame:
+    """One row a day that any series has, one column a series (each of (day, value), one row a day); null where it has none. A union and a pivot, so N series take one shuffle."""
+    long = None
+    for name, s in series.items():
+        part = s.select(day, F.lit(name).alias("series"), F.col(value).cast("double").alias("v"))
+        long = part if long is None else long.unionByName(part)
+    return long.groupBy(day).pivot("series", list(series)).agg(F.first("v", ignorenulls=True))
+
+
+def load_series(spark: SparkSession, paths: dict[str, str], date_col: str, value_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """(aligned series, errors): every CSV that can be read, side by side; one that can't is left out with its error. All failing is an error."""
+    good, errors = {}, {}
+    for name, path in paths.items():
+        try:
+            good[name] = series_csv(spark, path, date_col, value_col)
+        except Exception as e:  # a path that is not there, or a file without these columns
+            errors[name] = str(e).splitlines()[0]
+    if not good:
+        raise ValueError(f"no series could be read: {errors}")
+    return outer_aligned(good), errors
+
+
+def cached(spark: SparkSession, path: str, make, needed: list[str]) -> DataFrame:
+    """The table at path if it has the needed columns; else make()'s, which is written there first."""
+    from .sinks import exists, write_results
+
+    if exists(spark, path):
+        found = spark.read.parquet(path)
+        if has_columns(found, needed):
+            return found
+    made = make()
+    if not has_columns(made, needed):
+        raise ValueError(f"lacks columns {sorted(set(needed) - set(made.columns))}")
+    write_results(made, path)
+    return spark.read.parquet(path)
+
+
+def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
+    """df with every struct column, however deep, replaced by its fields as columns named parent_field."""
+    while structs := [c for c, kind in df.dtypes if kind.startswith("struct<")]:
+        out = []
+        for c in df.columns:
+            out += [F.col(f"`{c}`.`{f}`").alias(f"{c}{sep}{f}") for f in df.schema[c].dataType.names] if c in structs else [F.col(f"`{c}`")]
+        df = df.select(*out)
+    return df
+
+
+def from_pandas(spark: SparkSession, frame, index: str = "date") -> DataFrame:
+    """A pandas series or frame as a table, its index as the first column; NaN becomes null."""
+    import pandas as pd
+
+    pdf = frame.to_frame(frame.name or "value") if isinstance(frame, pd.Series) else frame
+    pdf = pdf.rename_axis(index).reset_index()
+    pdf.columns = [str(c) for c in pdf.columns]
+    out = spark.createDataFrame(pdf)
+    return out.select(*[F.nanvl(c, F.lit(None).cast(kind)).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in out.dtypes])
