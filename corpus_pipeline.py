@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, langid, near_dedup, packing, suffix_dedup
+from tidemark.llm import exact_dedup, langid, near_dedup, packing, queries, suffix_dedup
 from tidemark.llm.common import cut
 
 
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents, each one's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, scan=True)
     return STAGES[-1][1](spark, docs, sf_dir)
