@@ -1,30 +1,41 @@
 """Best-fit packing by bin completion: documents, cut only where longer than a sequence, into as few sequences as possible.
 
 How many pieces have each length is all that packing depends on, and there are at most `capacity` lengths; so the search runs over that table, whose size does
-not grow with the data, and gives fillings (a multiset of lengths) with multiplicities. Each filling wastes as little as any that holds the longest piece left;
-fillings once chosen are not taken back, so the number of sequences is not proven to be the least (`least_sequences` is the bound to hold it against). Pieces then take places by their rank among the pieces of their length.
+not grow with the data, and gives fillings (a multiset of lengths) with multiplicities. It is a branch and bound over sequences: at each step the fillings around
+the largest piece left are enumerated, least waste first, without those that another one dominates; a step is left where what is wasted so far and a lower bound
+for the rest can't beat the incumbent. Incumbents are best-fit packings of the rest. The search ends when the bound is met, which proves the number of
+sequences the least, or after `effort` steps that led nowhere. Pieces then take places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
-from .tokenization import WordEncoder, encoder
+from .common import cut, lean, text_runs
+from .tokenization import WordEncoder, encoder, forget
 
-def reachable(lengths: np.ndarray, count: np.ndarray, room: int) -> list[int]:
+#: Steps of the search, beyond those of its first descent, after which the incumbent is taken; None: it goes on until it is proven the best.
+EFFORT = 1000
+#: Steps from one best-fit completion to the next.
+COMPLETE = 64
+Filling = tuple[int, ...]
+
+
+def reachable(lengths: list[int], count: np.ndarray, room: int) -> list[int]:
     """Bitsets for k = 0..len(lengths): bit s is set where pieces of lengths[k:] (descending) sum to exactly s, for s up to room."""
     mask = (1 << (room + 1)) - 1
     sums = [1] * (len(lengths) + 1)
     for k in range(len(lengths) - 1, -1, -1):
-        n, left, step, bits = int(lengths[k]), int(count[lengths[k]]), 1, sums[k + 1]
-        left = min(left, room // n)
+        n, step, bits = lengths[k], 1, sums[k + 1]
+        left = min(int(count[n]), room // n)
         while left > 0:  # multiplicities in binary: 1, 2, 4, ... and the rest
             take = min(step, left)
             bits |= (bits << (take * n)) & mask
@@ -33,56 +44,223 @@ def reachable(lengths: np.ndarray, count: np.ndarray, room: int) -> list[int]:
     return sums
 
 
-def fillings_around(largest: int, count: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """The least wasteful filling of a sequence that holds a piece of the largest length; among equal ones, that of the longest pieces.
+def _exact(lengths: list[int], count: np.ndarray, sums: list[int], goal: int) -> Iterator[Filling]:
+    """All multisets of pieces that sum to goal, those of the longest pieces first. No branch is entered that doesn't reach it."""
+
+    def branches(k: int, left: int) -> Iterator[tuple[int, int, int]]:
+        for j in range(k, len(lengths)):
+            if not sums[j] >> left & 1:
+                return
+            n = lengths[j]
+            for m in range(min(int(count[n]), left // n), 0, -1):
+                if sums[j + 1] >> (left - m * n) & 1:
+                    yield j, m, left - m * n
+
+    if goal == 0:
+        yield ()
+        return
+    stack, chosen = [branches(0, goal)], []
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        j, m, left = step
+        if left == 0:
+            yield tuple(n for k, times in [*chosen, (j, m)] for n in [lengths[k]] * times)
+            continue
+        chosen.append((j, m))
+        stack.append(branches(j + 1, left))
 
-    What pieces can sum to is a table of bitsets, so the least waste is known beforehand and no branch that misses it is entered: at every length the most
-    pieces of it are taken that leave a rest which shorter pieces fill exactly. That is exact and takes one step a length, without search or recursion.
+
+def dominated(filling: Filling, count: np.ndarray, capacity: int) -> bool:
+    """Whether one piece that is left over could take the place of some others in the filling (all but its largest), being as long as they are or longer, and still fit.
+
+    A packing with the filling then becomes one with the other by an exchange of those pieces, so this one need not be tried.
     """
+    own, slack = Counter(filling[1:]), capacity - sum(filling)
+    used = own + Counter(filling[:1])
+    left_over = sum(1 << n for n in np.flatnonzero(count).tolist() if n <= filling[0] and count[n] > used[n])
+    sums = several = 0  # of any, and of two or more
+    for n in filling[1:]:
+        several |= (sums << n) | (several << n)
+        sums |= 1 << n | sums << n
+    if several & left_over:
+        return True
+    return any(sums << d & left_over for d in range(1, min(slack, filling[0]) + 1))
+
+
+def fillings(largest: int, count: np.ndarray, capacity: int, most_waste: int | None = None) -> Iterator[Filling]:
+    """Undominated fillings of a sequence that holds a piece of the largest length, by waste; none that wastes more than most_waste."""
     own = count.copy()
     own[largest] -= 1
     room = capacity - largest
-    lengths = np.flatnonzero(own[: room + 1])[::-1]
+    lengths = np.flatnonzero(own[: room + 1])[::-1].tolist()
     sums = reachable(lengths, own, room)
-    goal = sums[0].bit_length() - 1  # the largest sum within the room
-    chosen = [largest]
-    for k, n in enumerate(lengths.tolist()):
-        if goal == 0:
-            break
-        times = min(int(own[n]), goal // n)
-        while not sums[k + 1] >> (goal - times * n) & 1:
-            times -= 1
-        chosen += [n] * times
-        goal -= times * n
-    return tuple(chosen)
-
-
-def solve(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(filling, how often) for all pieces; count[n]: pieces of length n, 1..capacity."""
-    count = count.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    top = capacity
-    while True:
-        while top > 0 and count[top] == 0:
-            top -= 1
-        if top == 0:
-            return out
-        filling = fillings_around(top, count, capacity)
-        need: dict[int, int] = {}
-        for n in filling:
-            need[n] = need.get(n, 0) + 1
-        times = min(int(count[n]) // k for n, k in need.items())
-        for n, k in need.items():
-            count[n] -= times * k
-        out.append((filling, times))
+    least = 0 if most_waste is None else max(0, room - most_waste)
+    for goal in range(sums[0].bit_length() - 1, least - 1, -1):
+        if sums[0] >> goal & 1:
+            for rest in _exact(lengths, own, sums, goal):
+                filling = (largest, *rest)
+                if not dominated(filling, count, capacity):
+                    yield filling
+
+
+def fillings_around(largest: int, count: np.ndarray, capacity: int) -> Filling:
+    """The least wasteful filling of a sequence that holds a piece of the largest length; among equal ones, that of the longest pieces."""
+    return next(fillings(largest, count, capacity))
+
+
+def best_fit(count: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
+    """Best-fit decreasing over the table of lengths: pieces go, longest first, where they leave least room. (filling, how often)."""
+    by_room: list[list[tuple[Filling, int]]] = [[] for _ in range(capacity + 1)]
+    for n in np.flatnonzero(count)[::-1].tolist():
+        left, room = int(count[n]), n
+        while left and room < capacity:
+            q = room // n  # as many go into one sequence, which stays the fullest that has room
+            while left and by_room[room]:
+                filling, m = by_room[room].pop()
+                full = min(m, left // q)
+                if full < m:
+                    over = left - full * q if left < m * q else 0
+                    by_room[room].append((filling, m - full - (over > 0)))
+                    if by_room[room][-1][1] == 0:
+                        by_room[room].pop()
+                    if over:
+                        by_room[room - over * n].append((filling + (n,) * over, 1))
+                    left -= over
+                if full:
+                    by_room[room - q * n].append((filling + (n,) * q, full))
+                    left -= full * q
+                if full < m:
+                    break
+            room += 1
+        q = capacity // n
+        if left // q:
+            by_room[capacity - q * n].append(((n,) * q, left // q))
+        if left % q:
+            by_room[capacity - left % q * n].append(((n,) * (left % q), 1))
+    return [x for row in by_room for x in row]
 
 
 def least_sequences(count: np.ndarray, capacity: int) -> int:
-    """No packing has fewer sequences: all tokens, or the pieces of more than half a sequence."""
-    return max(-(-int((count * np.arange(len(count))).sum()) // capacity), int(count[capacity // 2 + 1 :].sum()))
+    """No packing has fewer sequences. For every a: pieces over capacity - a are alone, those over half a sequence are apart, and pieces of a or more fill what those leave at best."""
+    n = np.arange(capacity + 1)
+    pieces, volume = np.cumsum(count), np.cumsum(count * n)
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    alone = pieces[capacity] - pieces[capacity - a]
+    large = pieces[capacity - a] - pieces[half]
+    free = large * capacity - (volume[capacity - a] - volume[half])
+    small = volume[half] - np.where(a > 0, volume[np.maximum(a - 1, 0)], 0)
+    return int((alone + large + np.maximum(0, -((free - small) // capacity))).max())
+
 
+@dataclass
+class _Step:
+    """Fillings around the largest piece left, tried one after the other, each as often as it goes and then less often."""
 
-def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
+    choices: Iterator[Filling]
+    now: Filling = ()
+    need: dict[int, int] = field(default_factory=dict)
+    times: int = 0
+
+
+class Packing:
+    """The search for `count` (pieces by length, 1..capacity). fillings: (filling, how often); bound: no packing has fewer sequences; proven: nor has any fewer than this one."""
+
+    def __init__(self, count: np.ndarray, capacity: int, effort: int | None = EFFORT):
+        self.capacity, self.effort = capacity, effort
+        self.count = count.astype(np.int64).copy()
+        self.volume = int((self.count * np.arange(capacity + 1)).sum())
+        self.bound = least_sequences(self.count, capacity)
+        self.fillings = best_fit(self.count, capacity)
+        self.sequences = sum(m for _, m in self.fillings)
+        self.proven = self.sequences <= self.bound or self._search()
+
+    def _step(self, used: int, after: Filling | None = None) -> _Step:
+        """The choices for the largest piece left; after: a filling around it that was given up, so that only later ones are left."""
+        largest = int(np.flatnonzero(self.count)[-1])
+        waste = (self.sequences - 1 - used) * self.capacity - self.volume
+        choices = fillings(largest, self.count, self.capacity, waste)
+        if after is not None and after[0] == largest:
+            key = (sum(after), after)
+            choices = (f for f in choices if (sum(f), f) < key)
+        return _Step(choices)
+
+    def _use(self, step: _Step, times: int) -> None:
+        for n, k in step.need.items():
+            self.count[n] -= times * k
+        self.volume -= times * sum(step.now)
+
+    def _search(self) -> bool:
+        """Depth first; whether it came to its end."""
+        stack, used, steps, lost, leaf = [self._step(0)], 0, 0, 0, False
+        while stack:
+            step = stack[-1]
+            if step.times > 1:  # once less often, then what comes after
+                self._use(step, -1)
+                step.times -= 1
+                used -= 1
+            else:
+                if step.times:
+                    self._use(step, -1)
+                    step.times = 0
+                    used -= 1
+                step.now = next(step.choices, ())
+                if not step.now:
+                    stack.pop()
+                    continue
+                step.need = Counter(step.now)
+                step.times = min(int(self.count[n]) // k for n, k in step.need.items())
+                self._use(step, step.times)
+                used += step.times
+            # down from here
+            while True:
+                steps += 1
+                lost += leaf
+                if self.volume == 0:
+                    leaf = True
+                    if used < self.sequences:
+                        self._take(stack, used, [])
+                    break
+                if used + least_sequences(self.count, self.capacity) >= self.sequences:
+                    leaf = True
+                    break
+                if steps % COMPLETE == 0:
+                    rest = best_fit(self.count, self.capacity)
+                    if used + sum(m for _, m in rest) < self.sequences:
+                        self._take(stack, used, rest)
+                        if self.sequences <= self.bound:
+                            return True
+                below = self._step(used, stack[-1].now)
+                below.now = next(below.choices, ())
+                if not below.now:
+                    leaf = True
+                    break
+                below.need = Counter(below.now)
+                below.times = min(int(self.count[n]) // k for n, k in below.need.items())
+                self._use(below, below.times)
+                used += below.times
+                stack.append(below)
+            if self.sequences <= self.bound:
+                return True
+            if self.effort is not None and lost >= self.effort:
+                return False
+        return True
+
+    def _take(self, stack: list[_Step], used: int, rest: list[tuple[Filling, int]]) -> None:
+        self.fillings = [(s.now, s.times) for s in stack] + rest
+        self.sequences = sum(m for _, m in self.fillings)
+
+
+def solve(count: np.ndarray, capacity: int, effort: int | None = EFFORT) -> list[tuple[Filling, int]]:
+    """(filling, how often) for all pieces; count[n]: pieces of length n, 1..capacity."""
+    return Packing(count, capacity, effort).fillings
+
+
+def places(fillings: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, from_rank, to_rank, first sequence, offset): the pieces of a length by rank, run by run."""
     used: dict[int, int] = {}
     rows, sequence = [], 0
@@ -98,45 +276,51 @@ def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: id, piece, start, length, ids_crc32 (and ids array<int>). Null and empty texts are the end id alone."""
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids array<int>). Null and empty texts are the end id alone; only texts of more than
+    capacity tokens, their end included, are cut. Null ids stay null, repeated rows give their pieces again; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(WordEncoder, shared.value), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), texts_of(b, text_col), strict=True):
-                ids = enc.encode(t) + end
-                for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[lo : lo + 4 * capacity]
-                    for col, v in zip(rows, (d, k, lo // 4, len(part) // 4, zlib.crc32(part)), strict=False):
-                        col.append(v)
-                    if with_ids:
-                        rows[5].append(np.frombuffer(part, "<u4").astype(np.int32))
-            kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            used = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in list(zip(rows, kinds, strict=True))[:used]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:used])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
-
-
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+            names = b.column(0).to_pylist()
+            for at, texts in text_runs(b, text_col):
+                rows: list[list] = [[], [], [], [], [], []]
+                for d, t in zip(names[at : at + len(texts)], texts, strict=True):
+                    ids = enc.encode(t) + end
+                    for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[lo : lo + 4 * capacity]
+                        for col, v in zip(rows, (d, k, lo // 4, len(part) // 4, zlib.crc32(part)), strict=False):
+                            col.append(v)
+                        if with_ids:
+                            rows[5].append(np.frombuffer(part, "<u4").astype(np.int32))
+                kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                used = 6 if with_ids else 5
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in list(zip(rows, kinds, strict=True))[:used]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:used])
+        forget()
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, effort: int | None = EFFORT) -> DataFrame:
     """pieces (with a length column, 1..capacity) with sequence_id and offset. No sequence holds more than capacity, none has a gap.
 
-    Rows are ranked within their length by counts per (length, part of the table), so that no length, however common, is sorted in one task.
-    An empty table gives no rows.
+    Rows are ranked within their length by counts per (length, part of the table), so that no length, however common, is sorted in one task. Ranks follow
+    the rows' values, so a task that is run again gives the same ones. Null ids are ids like others; rows that repeat are pieces of their own, each with
+    its place. An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    tagged = cut(pieces.withColumn("_part", F.spark_partition_id()), "pieces")
+    tagged = cut(pieces.withColumn("_part", F.spark_partition_id()), "pieces", scan=True)
+    by = [c for c, kind in pieces.dtypes if not kind.startswith(("array", "map", "struct")) and c != "length"] or ["length"]
     # files keep a part's rows together; a part is ranked by itself, then moved by what earlier parts have of the same length
-    local = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "length").orderBy(F.monotonically_increasing_id())) - 1)
+    local = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "length").orderBy(*by)) - 1)
     per_part = tagged.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = per_part.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
     table = np.zeros(capacity + 1, np.int64)
     for n, k in per_part.groupBy("length").agg(F.sum("_n")).collect():  # at most `capacity` rows
         table[n] = k
-    runs = spark.createDataFrame(places(solve(table, capacity)), "_len long, _from long, _to long, _seq long, offset long")
+    runs = spark.createDataFrame(places(solve(table, capacity, effort)), "_len long, _from long, _to long, _seq long, offset long")
     ranked = local.join(before, ["length", "_part"]).withColumn("_r", F.col("_before") + F.col("_rank"))
     # runs: a table over lengths, its size bounded by the capacity and the search, not by the data
     met = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_len")) & (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_to")))
