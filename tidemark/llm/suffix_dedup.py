@@ -9,8 +9,9 @@ Comparing all suffixes of a corpus is out of reach; comparing those at anchors i
    then blind tries for the groups whose common prefix is longer. With both orders and their common prefix lengths, a string that starts o bytes before an anchor
    equals another exactly where both agree on at least o bytes to the left and length - o to the right; the first one in corpus order stays.
 4. Each document's spans are merged, cut out and counted.
-An anchor that occurs MANY times or more (a frequent passage) would gather too many contexts in one task: its strings are sent one by one by a 128-bit
-hash instead, with combining in each batch, so that equal strings meet and all others spread.
+An anchor that occurs MANY times or more (a frequent passage) would gather too many contexts in one task. Such contexts are told apart by more bytes: for every
+RANGE offsets o, all strings that start o bytes before the anchor share all but RANGE - 1 of their bytes. The context, cut to what these strings need, is sent by the
+hash of those shared bytes, so that equal strings still meet, all others spread, and the same sorting decides.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, packed, ragged, random_table, shuffles, texts_of
+from .common import lean, mix64, packed, ragged, random_table, shuffles, texts_of
 
 GRAM = 32
 MANY = 4096
+#: Offsets that travel together where an anchor is frequent.
+RANGE = 8
 #: Suffixes are sorted on this many 8-byte words before blind tries take over.
 SHALLOW = 4
 #: Bytes of text whose records travel together.
-BATCH = 24 << 20
-_T1, _T2 = random_table(7), random_table(8)
+BATCH = 16 << 20
+_T1 = random_table(7)
 
 
 # ---------------------------------------------------------------------------------------------------------------- anchors
@@ -208,7 +211,6 @@ def first_and_last(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 #: Anchors travel by columns (48 bits of hash, document, place), compressed; false matches of the shorter hash only cost a context.
 _ANCHOR = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 _PART = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("nl", "u1"), ("nr", "u1")])
-_STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
 _FOUND = np.dtype([("pos", "<u4"), ("many", "u1")])
 _SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 _NULL = -(1 << 63)
@@ -244,7 +246,7 @@ def _docs_blob(keys: list[tuple[int, int]], used: np.ndarray) -> tuple[bytes, np
     """The documents that records refer to, as (id, text hash) pairs, and the records' numbers among them."""
     own, number = np.unique(used, return_inverse=True)
     table = np.array([keys[i] for i in own.tolist()], np.int64).reshape(-1, 2)
-    return _squeeze(table[:, 0].tobytes() + table[:, 1].astype("<i4").tobytes()), number.astype(np.uint32)
+    return _squeeze(table[:, 0].tobytes() + table[:, 1].tobytes()), number.astype(np.uint32)
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -278,8 +280,7 @@ def _gather(rows: list[tuple[bytes, bytes]], kind: np.dtype) -> tuple[np.ndarray
     tables = []
     for d, _ in rows:
         raw = _spread(d)
-        n = len(raw) // 12
-        tables.append(np.stack([np.frombuffer(raw, np.int64, n), np.frombuffer(raw, "<i4", n, 8 * n).astype(np.int64)], 1))
+        tables.append(np.ascontiguousarray(np.frombuffer(raw, np.int64).reshape(2, -1).T))
     table, number = np.unique(np.concatenate(tables), axis=0, return_inverse=True) if tables else (np.empty((0, 2), np.int64), np.empty(0, int))
     number = number.reshape(-1)
     parts, base = [], 0
@@ -315,7 +316,7 @@ def _merge_spans(spans: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, carry: list[str] | None = None) -> DataFrame:
     """docs' id, th (text hash), text, spans (packed (lo, hi) byte ranges to remove, unmerged; null if none) and rest (struct of the columns in carry)."""
     w, n_buckets = length - GRAM + 1, 2 * max(1, shuffles(docs.sparkSession))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("th"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     more_cols = ["rest"] if carry else []
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +342,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_batches([_emit(tab, rec["doc"].astype(np.int64), out)])
 
     packed_schema = "id long, th long, v binary"
-    sent = base.select("id", "th", "text").mapInArrow(send_anchors, "bucket int, docs binary, recs binary")
+    sent = base.select("id", "th", "text").mapInArrow(lean(send_anchors), "bucket int, docs binary, recs binary")
     again = sent.groupBy("bucket").applyInArrow(find_again, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("found"))
     texts = base  # both joins below ask for the same exchange of it, which runs once
     joined = texts.join(again, ["id", "th"], "left").select("id", "th", "text", "found", *more_cols)  # both branches read the same columns, so that the texts are shuffled once
@@ -387,13 +388,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 h = gram_hashes_at(view, p[s][stay], w)
                 rec["h"], rec["pos"], rec["nl"], rec["nr"] = h, q[stay], nl[s][stay], nr[s][stay]
                 d, body, hot = d[stay], body[stay], flag[s][stay]
-                for k, pick in _by_bucket(np.where(hot, n_buckets, (h % np.uint64(n_buckets)).astype(np.int64)), n_buckets):
-                    blob, number = _docs_blob(keys, d[pick])
-                    part = rec[pick]
-                    part["doc"] = number
-                    yield _row(k, 0, blob, _squeeze(part.tobytes() + body[pick].tobytes()))
+                yield from _send(keys, d[~hot], rec[~hot], body[~hot], (h[~hot] % np.uint64(n_buckets)).astype(np.int64))
                 if hot.any():
-                    yield from _send_strings(keys, ids, d[hot], rec[hot], body[hot], spans)
+                    yield from _send_ranges(keys, ids, d[hot], rec[hot], body[hot], spans)
             if spans:
                 d = np.concatenate([x[0] for x in spans])
                 if d.size:
@@ -406,50 +403,47 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     def _row(bucket: int, kind: int, blob: bytes, recs: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary()), pa.array([recs], pa.binary())], names=["bucket", "kind", "docs", "recs"])
 
-    def _send_strings(keys, ids, d, rec, body, spans):
+    def _send(keys, d, rec, body, bucket):
+        for k, pick in _by_bucket(bucket, n_buckets):
+            blob, number = _docs_blob(keys, d[pick])
+            part = rec[pick]
+            part["doc"] = number
+            yield _row(k, 0, blob, _squeeze(part.tobytes() + body[pick].tobytes()))
+
+    def _send_ranges(keys, ids, d, rec, body, spans):
+        """Contexts of frequent anchors, cut for RANGE offsets at a time; d is in corpus order, so the first of equal ones is the earliest."""
         power = np.array([pow(0xB5297A4D2F8C1E63, i, 1 << 64) for i in range(length)], np.uint64)
-        h1, h2, docs_, pos_ = [], [], [], []
-        for o in range(w):
-            ok = np.flatnonzero((rec["nl"] >= o) & (rec["nr"] >= length - o))
-            if ok.size:
-                part = body[ok, w - 1 - o : w - 1 - o + length]
-                h1.append(mix64((_T1[part] * power).sum(1)))
-                h2.append(mix64((_T2[part] * power).sum(1)))
-                docs_.append(d[ok])
-                pos_.append(rec["pos"][ok].astype(np.int64) - o)
-        if not h1:
-            return
-        a, b, dd, pp = map(np.concatenate, (h1, h2, docs_, pos_))
-        order = np.lexsort((pp, ids[dd], b, a))
-        a, b, dd, pp = a[order], b[order], dd[order], pp[order]
-        head = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        first = np.maximum.accumulate(np.where(head, np.arange(a.size), 0))
-        later = (ids[dd] != ids[dd[first]]) | (pp != pp[first])
-        spans.append((dd[later], pp[later], pp[later] + length))
-        a, b, dd, pp = a[~later], b[~later], dd[~later], pp[~later]
-        for k, pick in _by_bucket((a % np.uint64(n_buckets)).astype(np.int64), n_buckets):
-            blob, number = _docs_blob(keys, dd[pick])
-            part = np.empty(pick.size, _STRING)
-            part["h1"], part["h2"], part["doc"], part["pos"] = a[pick], b[pick], number, pp[pick]
-            yield _row(k, 1, blob, _squeeze(part.tobytes()))
+        nl, nr, pos = (rec[c].astype(np.int64) for c in ("nl", "nr", "pos"))
+        for lo in range(0, w, RANGE):
+            hi = min(lo + RANGE, w) - 1
+            # offsets lo..hi that the text has bytes for
+            most, least = np.minimum(nl, hi), np.maximum(lo, length - nr)
+            ok = np.flatnonzero(least <= most)
+            if not ok.size:
+                continue
+            most, least = most[ok], least[ok]
+            part = np.zeros((ok.size, w - 1 + length), np.uint8)
+            part[:, w - 1 - hi : w - 1 + length - lo] = body[ok, w - 1 - hi : w - 1 + length - lo]
+            left, right = most, np.minimum(nr[ok], length - lo)
+            tag = np.concatenate([part, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1)
+            seen: dict[bytes, int] = {}
+            first = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(np.ascontiguousarray(tag).view(f"V{tag.shape[1]}")[:, 0].tolist())), np.int64, ok.size)
+            own, at = d[ok], pos[ok]
+            copy = (ids[own[first]] < ids[own]) | (ids[own[first]] == ids[own]) & (at[first] < at)
+            spans.append((own[copy], (at - most)[copy], (at - least + length)[copy]))
+            new = first == np.arange(ok.size)
+            stay = np.flatnonzero(new | ~copy)
+            out = rec[ok[stay]]
+            out["nl"], out["nr"] = left[stay], right[stay]
+            shared = part[stay, w - 1 - lo : w - 1 + length - hi]
+            h = mix64((_T1[shared] * power[: shared.shape[1]]).sum(1) + np.uint64(lo))
+            yield from _send(keys, own[stay], out, part[stay], (h % np.uint64(n_buckets)).astype(np.int64))
 
     def resolve(table: pa.Table) -> pa.Table:
         kinds, docs_, recs = (table.column(c).to_pylist() for c in ("kind", "docs", "recs"))
         out = []
         for d, r in ((d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 2):
             out.append(_emit(np.frombuffer(d, np.int64).reshape(1, 2), np.zeros(len(r) // _SPAN.itemsize, np.int64), np.frombuffer(r, _SPAN)))
-        rows = [(d, _spread(r)) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 1]
-        if rows:
-            tab, rec = _gather(rows, _STRING)
-            place = tab[rec["doc"].astype(np.int64), 0]
-            rec = rec[np.lexsort((rec["pos"], place, rec["h2"], rec["h1"]))]
-            place = tab[rec["doc"].astype(np.int64), 0]
-            head = np.append(True, (rec["h1"][1:] != rec["h1"][:-1]) | (rec["h2"][1:] != rec["h2"][:-1]))
-            first = np.maximum.accumulate(np.where(head, np.arange(rec.size), 0))
-            later = (place != place[first]) | (rec["pos"] != rec["pos"][first])
-            v = np.empty(int(later.sum()), _SPAN)
-            v["lo"], v["hi"] = rec["pos"][later], rec["pos"][later] + length
-            out.append(_emit(tab, rec["doc"][later].astype(np.int64), v))
         width = w - 1 + length
         rows = []
         bodies = []
@@ -474,7 +468,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         out = [b for b in out if b.num_rows]
         return pa.Table.from_batches(out or [_emit(np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty(0, _SPAN))])
 
-    spans = joined.mapInArrow(send_contexts, "bucket int, kind int, docs binary, recs binary").groupBy("bucket").applyInArrow(resolve, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("spans"))
+    spans = joined.mapInArrow(lean(send_contexts), "bucket int, kind int, docs binary, recs binary").groupBy("bucket").applyInArrow(resolve, packed_schema).groupBy("id", "th").agg(F.collect_list("v").alias("spans"))
     return texts.join(spans, ["id", "th"], "left").select("id", "th", "text", "spans", *more_cols)
 
 
@@ -511,7 +505,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 size.append(len(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(size, pa.int64())], names=[id_col, "kept", "spans", "n_bytes"])
 
-    return repeated_spans(docs, length, id_col, text_col, many).select(F.when(F.col("id") != _NULL, F.col("id")).cast(kind).alias("id"), "text", "spans").mapInArrow(finish, f"`{id_col}` {kind}, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
+    return repeated_spans(docs, length, id_col, text_col, many).select(F.when(F.col("id") != _NULL, F.col("id")).cast(kind).alias("id"), "text", "spans").mapInArrow(lean(finish), f"`{id_col}` {kind}, kept binary, spans array<struct<lo:long,hi:long>>, n_bytes long")
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
@@ -538,7 +532,7 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([cols[c] for c in docs_columns], names=docs_columns)
 
     docs_columns = docs.columns
-    return repeated_spans(docs, length, id_col, text_col, many, [c for c in docs_columns if c != text_col]).mapInArrow(run, docs.schema)
+    return repeated_spans(docs, length, id_col, text_col, many, [c for c in docs_columns if c != text_col]).mapInArrow(lean(run), docs.schema)
 
 
 def removal_digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
