@@ -196,7 +196,8 @@ def fea_rolling_correlation(spark, d):
     p = src.panel(spark, d)
     j = p.select("dt", F.col("asset").alias("a"), F.col("er").alias("x")).join(p.select("dt", F.col("asset").alias("b"), F.col("er").alias("y")), "dt").where("a < b")
     w = Window.partitionBy("a", "b").orderBy("dt").rowsBetween(-251, 0)
-    return j.select("a", "b", "dt", F.when(F.count(F.lit(1)).over(w) >= 126, r(F.corr("x", "y").over(w), 6)).alias("rho"))
+    rho = F.try_divide(F.covar_samp("x", "y").over(w), F.stddev_samp("x").over(w) * F.stddev_samp("y").over(w))  # null where either side does not move
+    return j.select("a", "b", "dt", F.when(F.count(F.lit(1)).over(w) >= 126, r(rho, 6)).alias("rho"))
 
 
 _ROLL = "(PARTITION BY asset ORDER BY t ROWS 62 PRECEDING)"
