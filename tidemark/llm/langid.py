@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, texts_of
+from .common import ASCII_LOWER, lean, text_runs
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
-#: Labelled texts to learn from, at most, and windows of each.
+#: Labelled texts to learn from, dealt evenly over the labels, and windows of each.
 SAMPLE, SLICES = 2000, 2
 
 
@@ -130,21 +130,28 @@ def is_held_out(ids: list) -> list[bool]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 0) -> ByteConvNet:
-    """A network from at most `sample` labelled texts that are not held out (crc32 of the id modulo 4 is 2), those of smallest id hash.
+    """A network from about `sample` labelled texts that are not held out (crc32 of the id modulo 4 is 2): as many of each label, one at least, or all that a label has.
 
-    From each, SLICES windows at places drawn by hash. Null and empty texts and null labels teach nothing; without any label the network has no classes.
+    Texts are chosen by a hash of their id. From each, SLICES windows at places drawn by hash. Null and empty texts and null labels teach nothing;
+    every label that has a text is learned; without any label the network has no classes. What labels there are is gathered, one row a label.
     """
     text = F.col(text_col)
     rows = docs.where(text.isNotNull() & (text != "") & F.col(lang_col).isNotNull() & (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 != 2))
     place = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
-    seen = rows.select(F.xxhash64(id_col).alias("o"), F.col(lang_col).alias("lang"), F.array(*[F.substring(text, place(k), F.lit(WINDOW)) for k in range(SLICES)]).alias("x"))
-    share = 4 * sample / max(docs.count(), 1)  # of the hashes: what tasks send for the final choice does not grow with their number
-    while True:
-        got = seen.where(F.col("o") <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy("o", "lang").limit(sample).collect()
-        if len(got) == sample or share >= 1:
-            break
-        share *= 8  # few labels: look further
-    classes = sorted({r.lang for r in got})
+    seen = rows.select(F.xxhash64(id_col).alias("o"), F.col(lang_col).cast("string").alias("lang"), F.array(*[F.substring(text, place(k), F.lit(WINDOW)) for k in range(SLICES)]).alias("x"))
+    labels = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    got, short, quota, share = [], dict(labels), max(1, -(-sample // max(1, len(labels)))), 1.5 * sample / max(1, len(labels))
+    while short:
+        # hashes below a bound a label: what tasks send does not grow with their number
+        bounds = [(lang, min(2**63 - 1, int(min(1.0, share / n) * 2**64) - 2**63)) for lang, n in short.items()]
+        limits = docs.sparkSession.createDataFrame(bounds, "lang string, most long")
+        more = seen.join(F.broadcast(limits), "lang").where("o <= most").select("o", "lang", "x").collect()
+        found = {lang: sorted((r for r in more if r.lang == lang), key=lambda r: (r.o, r.x))[:quota] for lang in short}
+        done = {lang: own for lang, own in found.items() if len(own) >= min(quota, labels[lang])}
+        got += [r for lang in sorted(done) for r in done[lang]]
+        short = {lang: n for lang, n in short.items() if lang not in done}  # few by chance: look further
+        share *= 8
+    classes = sorted(labels)
     x = np.zeros((len(got) * SLICES, WINDOW), np.uint8)
     y = np.zeros(len(x), np.int64)
     for i, r in enumerate(got):
@@ -167,10 +174,11 @@ def identify(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = shared.value.predict(texts_of(b, text_col))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(is_held_out(b.column(0).to_pylist()), pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+            for at, texts in text_runs(b, text_col):
+                got, ids = shared.value.predict(texts), b.column(0).slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(is_held_out(ids.to_pylist()), pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", least: float = 0.4) -> DataFrame:
@@ -179,6 +187,7 @@ def keep_identified(docs: DataFrame, net: ByteConvNet, text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([g[0] != "und" and g[1] >= least for g in shared.value.predict(texts_of(b, text_col))], pa.bool_()))
+            for at, texts in text_runs(b, text_col):
+                yield b.slice(at, len(texts)).filter(pa.array([g[0] != "und" and g[1] >= least for g in shared.value.predict(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
