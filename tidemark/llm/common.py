@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
@@ -17,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import delete, fresh_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table: A-Z to a-z, all else as it is.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -24,33 +23,6 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HOT_KEYS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, one of this machine's own serves a local master; elsewhere that is an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}-{name}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone already
-        return
-
-
 def cut(df: DataFrame, name: str = "cut", scan: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: ends the lineage and survives lost executors.
 
@@ -69,7 +41,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that cut() wrote and no later job reads."""
     for table in tables:
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            _delete(table.sparkSession, folder)
+            delete(table.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
