@@ -11,13 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import lean, text_runs
 from .tokenization import ByteEncoder, encoder, id_bytes, tokenizer_json_from_ranks
 
-#: Bytes of text that one output batch may stem from.
-BATCH_BYTES = 8 << 20
-
-
 def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids (array of int), byte_starts (first byte of every token in the UTF-8 text).
 
@@ -29,13 +25,13 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, size = encoder(ByteEncoder, shared.value), np.array([len(b) for b in id_bytes(shared.value)])
         for b in batches:
-            for lo, texts in _parts(texts_of(b, text_col)):
+            for lo, texts in text_runs(b, text_col):
                 ids = [np.frombuffer(enc.encode(t), "<u4") for t in texts]
                 starts = [np.cumsum(size[i]) - size[i] for i in ids]
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array([i.astype(np.int32) for i in ids], kind), pa.array([s.astype(np.int32) for s in starts], kind)], names=[id_col, "ids", "byte_starts"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -64,34 +60,33 @@ def split_pieces(tokens: list[bytes]) -> list[str]:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text: id, n_tokens, ids_sha256, decoded_sha256, n_bytes, same (the decoded bytes are the text's)."""
+    """Encode and decode every text: id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_split, same.
+
+    n_split: tokens that begin inside a character, by their byte offsets. same: the decoded bytes are the text's, the offsets end where the text ends, and the
+    pieces of the decoder that joins split characters give the text again (that is tried where a character is split; without one, a token's piece is its bytes).
+    Null and empty texts have no tokens. Repeated rows get equal answers; null ids stay null; other columns are not read; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json_from_ranks(ranks_path, pattern))
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, same boolean"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_split long, same boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, table = encoder(ByteEncoder, shared.value), id_bytes(shared.value)
+        size = np.array([len(x) for x in table])
         for b in batches:
-            for lo, texts in _parts(texts_of(b, text_col)):
-                n, sha, back, same = [], [], [], []
+            for lo, texts in text_runs(b, text_col):
+                n, sha, back, split, same = [], [], [], [], []
                 for t in texts:
                     ids = enc.encode(t)
-                    decoded = b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                    n.append(len(ids) // 4)
+                    own = np.frombuffer(ids, "<u4")
+                    tokens = [table[i] for i in own.tolist()]
+                    decoded = b"".join(tokens)
+                    ends = np.cumsum(size[own])
+                    inside = np.frombuffer(t, np.uint8)[ends[:-1]] & 0xC0 == 0x80 if len(own) > 1 and ends[-1] == len(t) else np.zeros(0, bool)
+                    n.append(len(own))
                     sha.append(hashlib.sha256(ids).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
-                    same.append(decoded == t)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array([len(t) for t in texts], pa.int64()), pa.array(same)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "same"])
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
-
-
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """The rows in runs of bounded size, each with its first row's place."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > BATCH_BYTES:
-            yield lo, texts[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, texts[lo:]
+                    split.append(int(inside.sum()))
+                    same.append(decoded == t and (ends[-1] if len(own) else 0) == len(t) and (not split[-1] or "".join(split_pieces(tokens)) == t.decode()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array([len(t) for t in texts], pa.int64()), pa.array(split, pa.int64()), pa.array(same)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_split", "same"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
