@@ -12,7 +12,9 @@ from .common import fresh_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A whole table; one of fewer parts than there are cores, which is a small one, is dealt out anew."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _word_bpe() -> str:
@@ -82,10 +84,10 @@ reach AS (SELECT r, sum(least(3, coalesce(nxt - p, 3)))::BIGINT AS n FROM (SELEC
 base AS (SELECT ids.r, doc_id, host, t, ls, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM ids LEFT JOIN reach USING (r)),
-ln AS (SELECT r, host, t, unnest(ls) AS l FROM base),
-norm AS (SELECT r, host, t, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k,
+ln AS (SELECT r, doc_id, host, t, unnest(ls) AS l FROM base),
+norm AS (SELECT r, doc_id, host, t, trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k,
   len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln),
-often AS (SELECT host, k FROM norm GROUP BY host, k HAVING count(DISTINCT t) > 20),
+often AS (SELECT host, k FROM norm GROUP BY host, k HAVING count(DISTINCT (doc_id, t)) > 20),
 lost AS (SELECT r, sum(n)::BIGINT AS removed_words FROM norm JOIN often USING (host, k) GROUP BY r),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(removed_words, 0) AS removed_words,
@@ -109,7 +111,7 @@ def _op10_sql() -> str:
 WITH a AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://((?s).*)$', 1), '') AS rest FROM pages),
 b AS (SELECT page_id, {SQL_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_replace(rest, '^[^/?#]*', '') AS tail FROM a),
 c AS (SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path, regexp_extract(tail, '^[^#]*') AS tail FROM b),
-d AS (SELECT *, lower(host || tail) AS canon, CASE {rule} END AS rule FROM c),
+d AS (SELECT *, {SQL_LOWER.format("host || tail")} AS canon, CASE {rule} END AS rule FROM c),
 e AS (SELECT *, CASE WHEN host = '' AND path = '' THEN NULL {globs} END AS glob_hit FROM d)
 SELECT page_id, host, path, rule, glob_hit, CASE {kind} WHEN glob_hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM e
 """

@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ASCII_LOWER
+
 #: (kind, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Globs over the canonical url (host + path + query, lower case): `*` any run, `?` one character, else itself.
+#: Globs over the canonical url (host + path + query, A-Z lower-cased): `*` any run, `?` one character, else itself.
 GLOBS = ("ads.*", "*.ads.*", "*ads-track.*", "*/ads/*", "*doubleclick*", "*/track?r/*", "*utm_source=*&utm_campaign=*", "*/wp-login.php*", "*.exe", "*.zip", "*casino*", "*/cart/*", "*sessionid=*", "*popunder*")
 
 
 class GlobAutomaton:
-    """Shift-And over several words. Characters are bytes; `?` and `*` take any byte."""
+    """Shift-And over several words, byte by byte of UTF-8. `*` takes any run; `?` one character: its first byte enters the place, its others stay there."""
 
     def __init__(self, globs: Sequence[str]):
         places: list[tuple[int, bool]] = []  # byte or -1 for any; True: loops on itself
@@ -39,11 +41,14 @@ class GlobAutomaton:
         self.n_words = max(1, -(-len(places) // 64))
         self.masks = np.zeros((256, self.n_words), np.uint64)
         self.loops = np.zeros(self.n_words, np.uint64)
+        self.stays = np.zeros((256, self.n_words), np.uint64)  # places where a byte that continues a character changes nothing
         self.first = np.zeros(self.n_words, np.uint64)
         for i, (c, loop) in enumerate(places):
             bit, w = np.uint64(1 << (i % 64)), i // 64
             if c == -1:
-                self.masks[:, w] |= bit
+                self.masks[:0x80, w] |= bit
+                self.masks[0xC0:, w] |= bit
+                self.stays[0x80:0xC0, w] |= bit
             elif c >= 0:
                 self.masks[c, w] |= bit
             if loop:
@@ -67,7 +72,8 @@ class GlobAutomaton:
                 old = state[:alive]
                 moved = old << np.uint64(1)
                 moved[:, 1:] |= old[:, :-1] >> np.uint64(63)
-                state[:alive] = (moved & self.masks[raw[at[:alive] + step]]) | (old & self.loops)
+                byte = raw[at[:alive] + step]
+                state[:alive] = (moved & self.masks[byte]) | (old & (self.loops | self.stays[byte]))
             found = np.full(len(part), -1, np.int64)
             for g in range(len(self.accepts) - 1, -1, -1):
                 a = self.accepts[g]
@@ -86,10 +92,7 @@ def split_url(url: str | None) -> tuple[str, str, str]:
     host, rest = rest[:end], rest[end:]
     rest = rest.split("#", 1)[0]
     path, mark, query = rest.partition("?")
-    return host.encode().translate(_LOWER).decode(), path, mark + query
-
-
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    return host.encode().translate(ASCII_LOWER).decode(), path, mark + query
 
 
 class HostRules:
@@ -114,7 +117,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per page: id, host, path, rule (null if none fits), glob_hit (the pattern that fits, else null), verdict.
 
     The longest rule decides; where none fits, a url that a glob fits is blocked and any other allowed. A null url, or one without `://`,
-    has empty host and path, no rule, and no glob is tried: it is allowed. Only the two columns are read; repeated rows get equal answers.
+    has empty host and path, no rule, and no glob is tried: it is allowed. Of several globs that fit, the first listed is named. Only the two columns are
+    read, whatever the others are called; null ids stay null, repeated rows get equal answers, an empty table gives no rows.
     """
     rules, globs = tuple(rules), tuple(globs)
     schema = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, host string, path string, rule string, glob_hit string, verdict string"
@@ -125,7 +129,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             urls = b.column(1).to_pylist()
             parts = [split_url(u) for u in urls]
             hits = [table.find(h, p) for h, p, _ in parts]
-            canon = [(h + p + q).lower().encode() if h or p else b"" for h, p, q in parts]
+            canon = [(h + p + q).encode().translate(ASCII_LOWER) if h or p else b"" for h, p, q in parts]
             found = automaton.match(canon) if canon else np.empty(0, np.int64)
             seen = [int(g) if c else -1 for g, c in zip(found, canon, strict=True)]
             yield pa.RecordBatch.from_arrays(
