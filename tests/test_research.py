@@ -243,6 +243,10 @@ def test_sweep(spark, tmp_path):
     assert np.allclose(got[got.config == "grisk_5"].state_accuracy.to_numpy(), got[got.config == "grisk_20"].state_accuracy.to_numpy()) and (twice["grisk_5"] != twice["grisk_20"]).all()
     done = spark.createDataFrame(got[got.seed == 0][["asset", "config", "seed"]])
     assert sweep.run(f, truth, configs, seeds=2, done=done, start="2011-03-01").select("seed").distinct().collect() == [(1,)]
+    events = spark.createDataFrame([("a0", g.dt[i]) for i in first] + [("a1", g.dt[300])], "asset string, dt date")
+    own = sweep.run(f, truth, configs.where("name = 'tree_d3'"), seeds=2, start="2011-03-01", own_blocks=sweep.blocks_of_events(events, str(g.dt[519]))).toPandas()
+    same = own[(own.asset == "a0") & (own.seed == 1)].iloc[0]
+    assert len(own) == 4 and same.terminal_wealth == pytest.approx(one.terminal_wealth) and same["add"] == one["add"]
     wrote = sweep.study(f, truth, str(tmp_path), ["A3"], seeds=1, start="2011-03-01")
     before = wrote["A3"].count()
     assert before == 2 * 3 and sweep.study(f, truth, str(tmp_path), ["A3"])["A3"].count() == before  # read, not run again

@@ -111,11 +111,18 @@ def _fit_key(c: DataFrame) -> DataFrame:
     return c.withColumns({"feature_set": F.when(F.col("feature_set") == "minimal", "minimal").otherwise("standard"), "max_depth": F.when(f.isin("decision_tree", "xgboost"), F.col("max_depth")).otherwise(0), "n_estimators": F.when(f.isin("random_forest", "xgboost"), F.col("n_estimators")).otherwise(0)})
 
 
-def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "asset", day: str = "dt", value: str = "er", least_train: int = 252, least_rows: int = 100) -> DataFrame:
+def blocks_of_events(events: DataFrame, last, key: str = "asset", day: str = "dt") -> DataFrame:
+    """(key, test_start, test_end): from every accepted refit to the day before the key's next one, or to `last`."""
+    after = F.lead(day).over(Window.partitionBy(key).orderBy(day))
+    return events.select(key, F.col(day).alias("test_start"), F.coalesce(F.date_sub(after, 1), F.to_date(F.lit(last))).alias("test_end"))
+
+
+def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "asset", day: str = "dt", value: str = "er", least_train: int = 252, least_rows: int = 100, own_blocks: DataFrame | None = None) -> DataFrame:
     """(key, FIT columns, seed, day, pred): for every distinct fit, the forecasts of its refit blocks from `start` on; 0 bull, 1 bear.
 
     features: (key, day, value, the columns of clustering_features() but vol, and a column vol_<estimator> each); fits: FIT columns and seed, a row a fit.
-    Each block trains on all days before it. Days with a null feature before the first known one have no forecast.
+    Each block trains on all days before it. Days with a null feature before the first known one have no forecast. own_blocks: (key, test_start, test_end), blocks of
+    each key in place of those of the fit's frequency.
     """
     spark = features.sparkSession
     every = [c for c in features.columns if c not in (key, day, value)]
@@ -129,14 +136,14 @@ def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "as
     shared = spark.sparkContext.broadcast(blocks)
     rows = features.join(F.broadcast(fits), how="cross")  # fits: a sweep's own size
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, own: list | None = None) -> pd.DataFrame:
         pdf, c = pdf.sort_values(day), pdf.iloc[0]
         at = pdf[day].to_numpy()
         names = [x for x in clustering_features(c["feature_set"], pdf["log_dd_hl5"].notna().any()) if x != "vol"]
         x = pdf[names].assign(vol=pdf["vol_" + c["vol_estimator"]]) if c["feature_set"] != "minimal" else pdf[names]
         x, r, out = x.to_numpy(float), pdf[value].to_numpy(float), []
         whole = np.isfinite(x).all(1)
-        for _, lo, hi in shared.value[c["recal_frequency"]]:
+        for lo, hi in [x[1:] for x in shared.value[c["recal_frequency"]]] if own is None else own:
             train, test = np.flatnonzero((at < lo) & whole), np.flatnonzero((at >= lo) & (at <= hi) & whole)
             if (at < lo).sum() < least_train or len(train) < least_rows or not len(test):
                 continue
@@ -152,7 +159,18 @@ def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "as
         return got.assign(**{k: c[k] for k in [key, *FIT, "seed"]})[[key, *FIT, "seed", day, "pred"]]
 
     schema = f"{key} {kinds[key]}, " + ", ".join(f"{c} {fits.schema[c].dataType.simpleString()}" for c in [*FIT, "seed"]) + f", {day} {kinds[day]}, pred int"
-    return rows.groupBy(key, *FIT, "seed").applyInPandas(one, schema)
+    by_fit = rows.groupBy(key, *FIT, "seed")
+    if own_blocks is None:
+        return by_fit.applyInPandas(lambda pdf: one(pdf), schema)
+
+    def with_own(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({x: pd.Series(dtype="object") for x in [key, *FIT, "seed", day, "pred"]})
+        return one(left, sorted(zip(right["test_start"], right["test_end"], strict=True)))
+
+    given = own_blocks.select(key, "test_start", "test_end").join(F.broadcast(fits), how="cross")  # fits: a sweep's own size
+    given = given.toDF(*given.columns)  # columns of its own
+    return by_fit.cogroup(given.groupBy(key, *FIT, "seed")).applyInPandas(with_own, schema)
 
 
 #: Metrics of a run, in the order of the results table.
@@ -198,17 +216,18 @@ def run_metrics(days: DataFrame, keys: list[str], rate: float = 0.0, day: str =
     return d.groupBy(*keys).agg(*[columns[m].alias(m) for m in METRICS])
 
 
-def run(features: DataFrame, truth: DataFrame, configs: DataFrame, seeds: int = SEEDS, done: DataFrame | None = None, rate: float = 0.0, start=None, key: str = "asset", day: str = "dt", value: str = "er") -> DataFrame:
+def run(features: DataFrame, truth: DataFrame, configs: DataFrame, seeds: int = SEEDS, done: DataFrame | None = None, rate: float = 0.0, start=None, key: str = "asset", day: str = "dt", value: str = "er", own_blocks: DataFrame | None = None) -> DataFrame:
     """(ablation_id, key, config, seed, METRICS), one row for every run that has a forecast: assets x configurations x seeds, less those in done (key, config, seed).
 
-    truth: (key, day, regime), the labels that predictions are judged by; filled forward, 0 before the first. configs: rows of config_table().
+    truth: (key, day, regime), the labels that predictions are judged by; filled forward, 0 before the first. configs: rows of config_table(). own_blocks: as in predictions(); with
+    blocks_of_events(), runs refit when events say so.
     """
     c = _fit_key(configs).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     runs = features.select(key).distinct().crossJoin(F.broadcast(c)).withColumnRenamed("name", "config")  # assets x a sweep's own size
     if done is not None:
         runs = runs.join(done.select(key, "config", "seed").distinct(), [key, "config", "seed"], "left_anti")
     fits = runs.select(*FIT, "seed").distinct()
-    pred = predictions(features, fits, start, key, day, value)
+    pred = predictions(features, fits, start, key, day, value, own_blocks=own_blocks)
     w = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     known = features.select(key, day, value).join(truth.select(key, day, F.col("regime").alias("_t")), [key, day], "left").withColumn("true", F.coalesce(F.last("_t", ignorenulls=True).over(w), F.lit(0)))
     days = pred.join(known.select(key, day, F.coalesce(value, F.lit(0.0)).alias(value), "true"), [key, day])
