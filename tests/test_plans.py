@@ -53,4 +53,7 @@ def test_programme():
 def test_tails():
     assert abs(inference.chi2_tail(3.841458820694124, 1) - 0.05) < 1e-9
     assert abs(inference.normal_two_sided(1.959963984540054) - 0.05) < 1e-9
+    assert abs(inference.t_two_sided(2.228138851964939, 10) - 0.05) < 1e-9 and abs(inference.t_two_sided(12.706204736432095, 1) - 0.05) < 1e-9
+    assert abs(inference.f_tail(4.964602743730711, 1, 10) - 0.05) < 1e-9 and abs(inference.f_tail(3.3258345304130117, 5, 10) - 0.05) < 1e-7
+    assert abs(inference.mann_whitney_p(23, 10, 10) - 0.0451) < 5e-4 and inference.mann_whitney_p(50, 10, 10) == 1.0
     assert inference.holm([0.01, 0.04, 0.03]) == [(0.01, 0.03, True), (0.03, 0.06, False), (0.04, 0.04, False)]

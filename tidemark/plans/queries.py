@@ -146,10 +146,10 @@ def agg_quantiles_argmax(spark, d):
     return src.fact(spark, d).groupBy("asset").agg(r(F.percentile("metric", 0.05), 6).alias("p05"), r(F.median("metric"), 6).alias("p50"), r(F.percentile("metric", 0.95), 6).alias("p95"), F.max_by("config", "metric").alias("best"))
 
 
-@query(f"WITH {PANEL}, n AS (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM panel), s AS (SELECT *, greatest(1, least(n - 1, round(0.6 * n))) AS k FROM n) SELECT asset, round(product(1 + er), 8) AS wealth, round(product(CASE WHEN t <= k THEN 1 + er ELSE 1 END), 8) AS wealth_val, round(product(CASE WHEN t > k THEN 1 + er ELSE 1 END), 8) AS wealth_oos FROM s GROUP BY 1")
+@query(f"WITH {PANEL}, n AS (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM panel), s AS (SELECT *, greatest(1, least(n - 1, round_even(0.6 * n, 0))) AS k FROM n) SELECT asset, round(product(1 + er), 8) AS wealth, round(product(CASE WHEN t <= k THEN 1 + er ELSE 1 END), 8) AS wealth_val, round(product(CASE WHEN t > k THEN 1 + er ELSE 1 END), 8) AS wealth_oos FROM s GROUP BY 1")
 def agg_terminal_wealth(spark, d):
     n = F.count(F.lit(1)).over(Window.partitionBy("asset"))
-    p = src.panel(spark, d).withColumn("n", n).withColumn("k", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.round(0.6 * F.col("n")))))
+    p = src.panel(spark, d).withColumn("n", n).withColumn("k", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(0.6 * F.col("n")))))
     g = 1 + F.col("er")
     return p.groupBy("asset").agg(r(F.product(g)).alias("wealth"), r(F.product(F.when(F.col("t") <= F.col("k"), g).otherwise(1.0))).alias("wealth_val"), r(F.product(F.when(F.col("t") > F.col("k"), g).otherwise(1.0))).alias("wealth_oos"))
 

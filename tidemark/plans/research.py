@@ -312,6 +312,24 @@ def src_outer_series(spark, d):
     return src.outer_aligned({"y2": y, "n": n, "v": v})
 
 
+@query("SELECT 'nation' AS source, count(*) AS n, count(n_name) AS nations, CAST(0 AS BIGINT) AS regions FROM nation UNION ALL SELECT 'region', count(*), 0, count(r_name) FROM region")
+def src_stems(spark, d):
+    """Several files read as one table, each row with its file's name."""
+    return sinks.stems(spark, f"{d}/{{nation,region}}.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("n_name").alias("nations"), F.count("r_name").alias("regions"))
+
+
+@query()
+def sta_two_sample_tails(spark, d):
+    """p-values of the returns in bull against bear states: Mann-Whitney's U and Welch's t, one row an asset."""
+    from .studies import sta_two_samples
+
+    def tails(batches):
+        for b in batches:
+            yield b[["asset"]].assign(p_u=[inference.mann_whitney_p(u, int(n), int(m)) for u, n, m in zip(b.u, b.n0, b.n1, strict=True)], p_t=[inference.t_two_sided(t, f) for t, f in zip(b.welch_t, b.df, strict=True)])
+
+    return sta_two_samples(spark, d).mapInPandas(tails, "asset string, p_u double, p_t double")
+
+
 @query(f"WITH {FACT} SELECT asset, config, round(max(metric), 8) AS result_metric_top, round(min(metric), 8) AS result_metric_bottom, count(*) AS result_n FROM fact GROUP BY 1, 2")
 def src_flattened(spark, d):
     """Nested results as flat columns."""
