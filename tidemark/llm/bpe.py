@@ -59,11 +59,20 @@ def split_pieces(tokens: list[bytes]) -> list[str]:
     return [reader.decode(t, i == len(tokens) - 1) for i, t in enumerate(tokens)]
 
 
+def _split_runs(inside: np.ndarray, ends: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first token, last + 1, first byte, last + 1) of every run of tokens that share characters; inside: whether each token but the last ends inside one."""
+    at = np.flatnonzero(inside)
+    if at.size:
+        head = np.flatnonzero(np.append(True, np.diff(at) > 1))
+        for a, b in zip(at[head].tolist(), at[np.append(head[1:], at.size) - 1].tolist(), strict=True):
+            yield a, b + 2, int(ends[a] - size[a]), int(ends[b + 1])
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text: id, n_tokens, ids_sha256, decoded_sha256, n_bytes, n_split, same.
 
-    n_split: tokens that begin inside a character, by their byte offsets. same: the decoded bytes are the text's, the offsets end where the text ends, and the
-    pieces of the decoder that joins split characters give the text again (that is tried where a character is split; without one, a token's piece is its bytes).
+    n_split: tokens that begin inside a character, by their byte offsets. same: the decoded bytes are the text's, the offsets end where the text ends, and where
+    tokens share a character, the decoder that joins split characters gives the text at these offsets (elsewhere a token's piece is its bytes).
     Null and empty texts have no tokens. Repeated rows get equal answers; null ids stay null; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json_from_ranks(ranks_path, pattern))
@@ -86,7 +95,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     sha.append(hashlib.sha256(ids).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                     split.append(int(inside.sum()))
-                    same.append(decoded == t and (ends[-1] if len(own) else 0) == len(t) and (not split[-1] or "".join(split_pieces(tokens)) == t.decode()))
+                    same.append(decoded == t and (ends[-1] if len(own) else 0) == len(t) and all("".join(split_pieces(tokens[a:b])) == t[lo_:hi].decode() for a, b, lo_, hi in _split_runs(inside, ends, size[own])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(sha), pa.array(back), pa.array([len(t) for t in texts], pa.int64()), pa.array(split, pa.int64()), pa.array(same)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_split", "same"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
