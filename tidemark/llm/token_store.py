@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_path, lean, shuffles, skew_join, text_runs
+from ..sources.sinks import delete
+from .common import cut, fresh_path, lean, release, shuffles, skew_join, text_runs
 from .tokenization import WordEncoder, encoder, forget
 
 #: Ids that the rolling hash sees, average and largest chunk; the first two are powers of two.
@@ -141,17 +142,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
                         hashes.append(h)
                         chunks[h] = (h, e - last, part)
                         last = e
-                    own.append((int(first[k + 1] - first[k]), hashes))
-                yield _rows(b.schema.field(0).type, names[lo : lo + len(texts)], own, list(chunks.values()))
+                    own.append((int(first[k + 1] - first[k]), merkle_root(hashes), hashes))
+                yield from _rows(b.schema.field(0).type, names[lo : lo + len(texts)], own, list(chunks.values()))
 
-    both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, hashes array<binary>, hash binary, n int, ids binary")
+    both = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, root binary, hashes array<binary>, hash binary, n int, ids binary")
     staged = fresh_path(spark, "chunks")
     both.withColumn("part", F.when(F.col("hash").isNull(), "recipe").otherwise("chunk")).write.partitionBy("part").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(staged)
     schema = T.StructType([*both.schema.fields, T.StructField("part", T.StringType())])
     back = spark.read.schema(schema).parquet(staged)
     found = back.where("part = 'chunk'").select("hash", "n", "ids")
     found.distinct().write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = back.where("part = 'recipe'").select("doc_id", "n_tokens", "hashes").repartitionByRange(max(1, shuffles(spark)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    recipes = back.where("part = 'recipe'").select("doc_id", "n_tokens", "root", "hashes").repartitionByRange(max(1, shuffles(spark)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -159,12 +160,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int, id
         forget()
         shard, at, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            n, hashes = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist()
+            n = b.column(1).to_numpy(zero_copy_only=False)
             starts = start + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int32()), pa.array(np.arange(at, at + len(n))), b.column(0), pa.array(starts, pa.int64()), b.column(1), pa.array([merkle_root(h) for h in hashes], pa.binary()), b.column(2)], names=["shard", "place", "doc_id", "start_in_shard", "n_tokens", "root", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard), pa.int32()), pa.array(np.arange(at, at + len(n))), b.column(0), pa.array(starts, pa.int64()), b.column(1), b.column(2), b.column(3)], names=["shard", "place", "doc_id", "start_in_shard", "n_tokens", "root", "hashes"])
             at, start = at + len(n), start + int(n.sum())
 
     recipes.mapInArrow(place, f"shard int, place long, doc_id {kind}, start_in_shard long, n_tokens long, root binary, hashes array<binary>").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    delete(spark, staged)
+    release(spark)
     _sealed(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
@@ -192,15 +195,20 @@ def _sealed(recipes: DataFrame) -> DataFrame:
     return shards.select("shard", F.lit(0).cast("long").alias("block"), "documents", "tokens", "r").mapInArrow(roots(lambda x: x["root"]), schema).drop("block")
 
 
-def _rows(kind: pa.DataType, ids: list, own: list, chunks: list) -> pa.RecordBatch:
-    none = [None] * len(chunks)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*ids, *none], kind), pa.array([*(n for n, _ in own), *none], pa.int64()), pa.array([*(h for _, h in own), *none], pa.list_(pa.binary())),
-            pa.array([*([None] * len(own)), *(c[0] for c in chunks)], pa.binary()), pa.array([*([None] * len(own)), *(c[1] for c in chunks)], pa.int32()), pa.array([*([None] * len(own)), *(c[2] for c in chunks)], pa.binary()),
-        ],
-        names=["doc_id", "n_tokens", "hashes", "hash", "n", "ids"],
-    )
+def _binary(parts: list[bytes]) -> pa.Array:
+    edge = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=edge[1:])
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(edge), pa.py_buffer(b"".join(parts))])
+
+
+def _rows(kind: pa.DataType, ids: list, own: list, chunks: list) -> Iterator[pa.RecordBatch]:
+    """The recipes of documents (tokens, root, hashes), then the chunks (hash, n, ids): each has null in the other's columns."""
+    names, lists = ["doc_id", "n_tokens", "root", "hashes", "hash", "n", "ids"], pa.list_(pa.binary())
+    edge = np.cumsum([0, *(len(h) for _, _, h in own)]).astype(np.int32)
+    hashes = pa.ListArray.from_arrays(edge, _binary([x for _, _, h in own for x in h]))
+    n, m = len(own), len(chunks)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([x for x, _, _ in own], pa.int64()), _binary([x for _, x, _ in own]), hashes, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, lists), _binary([c[0] for c in chunks]), pa.array([c[1] for c in chunks], pa.int32()), _binary([c[2] for c in chunks])], names=names)
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:

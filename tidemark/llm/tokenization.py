@@ -129,7 +129,12 @@ class WordEncoder(ChunkEncoder):
         if stem.isalpha():  # two pieces, which the table may have
             return self[stem] + self[word[len(stem) :]]
         text = word.decode()
-        return self.pieces(self.PIECE.findall(text.lower())) if _PLAIN.match(text) else self.whole(text)
+        if not _PLAIN.match(text):
+            return self.whole(text)
+        pieces = self.PIECE.findall(text.lower())
+        if len(pieces) > 1 and text.isascii():  # a piece is a word of its own, which the table may have
+            return b"".join([self[p.encode()] for p in pieces])
+        return self.pieces(pieces)
 
     def encode(self, text: bytes) -> bytes:
         words = text.translate(ASCII_LOWER).split()
