@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, langid, line_rules, near_dedup, ngram_lm, packing, suffix_dedup, token_store, url_filter
+from . import bpe, decontaminate, exact_dedup, langid, line_rules, merkle, near_dedup, ngram_lm, packing, suffix_dedup, token_store, url_filter, whitening
 from .common import fresh_path
 
 
@@ -65,6 +65,18 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10, gram=5)
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), scale=256, components=4)
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=merkle.lowered())
+
+
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -117,9 +129,57 @@ SELECT page_id, host, path, rule, glob_hit, CASE {kind} WHEN glob_hit IS NOT NUL
 """
 
 
+OP11_SQL = rf"""
+WITH items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+dw AS (SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS win FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM iw))),
+hit AS (SELECT r, size, i, item FROM dw JOIN iw USING (size, win)),
+reach AS (SELECT r, i, i + size AS e, max(i + size) OVER (PARTITION BY r ORDER BY i, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT r, size, i FROM hit)),
+n AS (SELECT r, sum(greatest(0, e - greatest(i, coalesce(before, 0))))::BIGINT AS n_hit FROM reach GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN n USING (r) LEFT JOIN its USING (r)
+"""
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """The hash tree level by level, for 16**levels rows a source and as many sources."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    crc = "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT), lambda a, b: xor(tbl[xor(a, b) % 256 + 1], a // 256), 4294967295::BIGINT), 4294967295::BIGINT)"
+    sql = [
+        "tbl AS (SELECT list(c ORDER BY b) AS tbl FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b::BIGINT) AS c FROM range(256) t(b)))",
+        f"d AS (SELECT documents.*, CASE WHEN {crc} % 5 = 0 THEN {SQL_LOWER.format('text')} ELSE text END AS changed FROM documents, tbl)",
+        f"leaf AS (SELECT doc_id, source, {leaf('text')} AS node, {leaf('changed')} AS now FROM d)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf)",
+        "a0 AS (SELECT source AS g, pos, node, n FROM placed)",
+    ]
+
+    def tree(x: str) -> None:
+        side = lambda lo, hi: f"coalesce(string_agg(node, '') OVER (PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN {lo} AND {hi}), '')"
+        for k in range(levels):
+            sql.append(f"{x}s{k} AS (SELECT g, pos, {side('UNBOUNDED PRECEDING', '1 PRECEDING')} AS l, {side('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS r FROM {x}{k} WHERE n > 1)")
+            sql.append(f"{x}{k + 1} AS (SELECT g, pos // 16 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node, (max(n) + 15) // 16 AS n FROM {x}{k} GROUP BY g, pos // 16)")
+
+    def climb(x: str, start: str, group: str, place: str) -> str:
+        for k in range(levels):
+            sql.append(f"{x}p{k} AS (SELECT p.* REPLACE (CASE WHEN s.l IS NULL THEN p.now ELSE sha256(s.l || p.now || s.r) END AS now, p.proof || coalesce(s.l || s.r, '') AS proof) FROM {start} p LEFT JOIN {x}s{k} s ON s.g IS NOT DISTINCT FROM p.{group} AND s.pos = p.{place} // {16**k})")
+            start = f"{x}p{k}"
+        return start
+
+    tree("a")
+    sql.append(f"subs AS (SELECT g AS source, node AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS place, 0 AS everything FROM a{levels})")
+    sql.append("b0 AS (SELECT 0 AS g, place AS pos, subroot AS node, count(*) OVER () AS n FROM subs)")
+    tree("b")
+    sql.append("start AS (SELECT placed.*, placed.node AS leaf, subroot, place, everything, '' AS proof FROM placed JOIN subs ON subs.source IS NOT DISTINCT FROM placed.source)")
+    last = climb("b", climb("a", "start", "source", "pos"), "everything", "place")
+    return "WITH " + ",\n".join(sql) + f"\nSELECT doc_id, leaf, subroot, b{levels}.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = b{levels}.node AS verified FROM {last}, b{levels}"
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_line_rules": OP4_SQL, "op10_url_filter": _op10_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op4_line_rules": OP4_SQL, "op10_url_filter": _op10_sql(), "op11_decontaminate": OP11_SQL, "op13_merkle": _op13_sql()}
