@@ -18,6 +18,12 @@ def write_results(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def upsert(df: DataFrame, path: str, by: list[str]) -> None:
+    """Replace the folders of the values of `by` that df has (the last columns), and no others, in a Parquet table: writing the same rows again changes nothing."""
+    rest = [c for c in df.columns if c not in by]
+    df.select(*rest, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header; nulls are empty."""
     df.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
