@@ -4,7 +4,8 @@ How many pieces have each length is all that packing depends on, and there are a
 not grow with the data, and gives fillings (a multiset of lengths) with multiplicities. It is a branch and bound over sequences: at each step the fillings around
 the largest piece left are enumerated, least waste first, without those that another one dominates; a step is left where what is wasted so far and a lower bound
 for the rest can't beat the incumbent. Incumbents are best-fit packings of the rest. The search ends when the bound is met, which proves the number of
-sequences the least, or after `effort` steps that led nowhere. Pieces then take places by their rank among the pieces of their length.
+sequences the least, or when `effort` units of work are spent: every length prepared and every filling or branch looked at counts, dominated ones too, so that the
+search ends in a bounded time. Pieces then take places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import cut, lean, text_runs
 from .tokenization import WordEncoder, encoder, forget
 
-#: Steps of the search, beyond those of its first descent, after which the incumbent is taken; None: it goes on until it is proven the best.
-EFFORT = 1000
+#: Units of work (see _Work), beyond those of the search's first descent, after which the incumbent is taken; None: it goes on until it is proven the best.
+EFFORT = 500_000
+#: Units of a filling or branch that is looked at, and how many dominated ones are passed over running.
+UNITS, PATIENCE = 10, 500
 #: Steps from one best-fit completion to the next.
 COMPLETE = 64
 Filling = tuple[int, ...]
@@ -44,8 +47,11 @@ def reachable(lengths: list[int], count: np.ndarray, room: int) -> list[int]:
     return sums
 
 
-def _exact(lengths: list[int], count: np.ndarray, sums: list[int], goal: int) -> Iterator[Filling]:
-    """All multisets of pieces that sum to goal, those of the longest pieces first. No branch is entered that doesn't reach it."""
+def _exact(lengths: list[int], count: np.ndarray, sums: list[int], goal: int, largest: int, work: _Work) -> Iterator[Filling]:
+    """Multisets of pieces that sum to goal, those of the longest pieces first. No branch is entered that doesn't reach it, nor one in which two or more
+    of the pieces are as long together as one that is left over: that one is longer than all that may still come, so every filling of the branch is dominated."""
+    mask = (1 << (largest + 1)) - 1
+    every = sum(1 << n for n in np.flatnonzero(count[: largest + 1]).tolist())
 
     def branches(k: int, left: int) -> Iterator[tuple[int, int, int]]:
         for j in range(k, len(lengths)):
@@ -59,53 +65,79 @@ def _exact(lengths: list[int], count: np.ndarray, sums: list[int], goal: int) ->
     if goal == 0:
         yield ()
         return
-    stack, chosen = [branches(0, goal)], []
+    # of each prefix: its branches, sums of any and of several of its pieces, and lengths left over
+    stack, chosen = [(branches(0, goal), 0, 0, every)], []
     while stack:
-        step = next(stack[-1], None)
+        ways, some, several, spare = stack[-1]
+        step = next(ways, None)
         if step is None:
             stack.pop()
             if chosen:
                 chosen.pop()
             continue
         j, m, left = step
+        n = lengths[j]
+        for _ in range(m):
+            several = (several | some << n | several << n) & mask
+            some = (some | 1 << n | some << n) & mask
+        if m == count[n]:
+            spare &= ~(1 << n)
+        if work.skips(several & spare):
+            continue
         if left == 0:
-            yield tuple(n for k, times in [*chosen, (j, m)] for n in [lengths[k]] * times)
+            slack = work.capacity - largest - goal
+            if not work.skips(slack > 0 and _smeared(some, min(slack, largest)) & spare):
+                yield tuple(n for k, times in [*chosen, (j, m)] for n in [lengths[k]] * times)
             continue
         chosen.append((j, m))
-        stack.append(branches(j + 1, left))
+        stack.append((branches(j + 1, left), some, several, spare))
 
 
-def dominated(filling: Filling, count: np.ndarray, capacity: int) -> bool:
-    """Whether one piece that is left over could take the place of some others in the filling (all but its largest), being as long as they are or longer, and still fit.
+def _smeared(bits: int, most: int) -> int:
+    """Every bit moved up by 1, 2, ..., most."""
+    out, have = bits << 1, 1
+    while have < most:
+        step = min(have, most - have)
+        out, have = out | out << step, have + step
+    return out
 
-    A packing with the filling then becomes one with the other by an exchange of those pieces, so this one need not be tried.
-    """
-    own, slack = Counter(filling[1:]), capacity - sum(filling)
-    used = own + Counter(filling[:1])
-    left_over = sum(1 << n for n in np.flatnonzero(count).tolist() if n <= filling[0] and count[n] > used[n])
-    sums = several = 0  # of any, and of two or more
-    for n in filling[1:]:
-        several |= (sums << n) | (several << n)
-        sums |= 1 << n | sums << n
-    if several & left_over:
-        return True
-    return any(sums << d & left_over for d in range(1, min(slack, filling[0]) + 1))
 
+@dataclass
+class _Work:
+    """What a search has looked at: a unit for every length that a step prepares, UNITS for every filling or branch. left: units that remain, or None."""
+
+    capacity: int
+    left: int | None = None
+    skipped: int = 0
+
+    def skips(self, dominated: int | bool) -> bool:
+        """Whether to pass over a filling or branch: where it is dominated, but not more than PATIENCE times running. (Taking a dominated one costs quality alone.)"""
+        self.spend(UNITS)
+        self.skipped = self.skipped + 1 if dominated and self.skipped < PATIENCE else 0
+        return self.skipped > 0
+
+    def spend(self, units: int) -> None:
+        if self.left is not None:
+            self.left -= units
 
-def fillings(largest: int, count: np.ndarray, capacity: int, most_waste: int | None = None) -> Iterator[Filling]:
-    """Undominated fillings of a sequence that holds a piece of the largest length, by waste; none that wastes more than most_waste."""
+
+def fillings(largest: int, count: np.ndarray, capacity: int, most_waste: int | None = None, work: _Work | None = None) -> Iterator[Filling]:
+    """Fillings of a sequence that holds a piece of the largest length, by waste, without dominated ones; none that wastes more than most_waste.
+
+    One is dominated where a piece that is left over could take the place of some others in it (all but its largest), being as long as they are or longer, and still
+    fit: a packing with it becomes one with the other by an exchange of those pieces, so it need not be tried.
+    """
+    work = work or _Work(capacity)
     own = count.copy()
     own[largest] -= 1
     room = capacity - largest
     lengths = np.flatnonzero(own[: room + 1])[::-1].tolist()
+    work.spend(len(lengths))
     sums = reachable(lengths, own, room)
     least = 0 if most_waste is None else max(0, room - most_waste)
     for goal in range(sums[0].bit_length() - 1, least - 1, -1):
         if sums[0] >> goal & 1:
-            for rest in _exact(lengths, own, sums, goal):
-                filling = (largest, *rest)
-                if not dominated(filling, count, capacity):
-                    yield filling
+            yield from ((largest, *rest) for rest in _exact(lengths, own, sums, goal, largest, work))
 
 
 def fillings_around(largest: int, count: np.ndarray, capacity: int) -> Filling:
@@ -157,6 +189,23 @@ def least_sequences(count: np.ndarray, capacity: int) -> int:
     return int((alone + large + np.maximum(0, -((free - small) // capacity))).max())
 
 
+def least_by_shares(count: np.ndarray, capacity: int, most: int = 24) -> int:
+    """No packing has fewer sequences: a bound by dual feasible functions.
+
+    A piece takes floor((k + 1) x) / k of a sequence (x: its share of the capacity; x itself where (k + 1) x is whole), as no sequence holds more than k such
+    parts. Before that, for every a, pieces over capacity - a count as a whole sequence and those under a as nothing.
+    """
+    n, best = np.arange(capacity + 1), 0
+    pieces = np.cumsum(count)
+    for k in range(1, most + 1):
+        share = np.where((k + 1) * n % capacity == 0, n * k, capacity * ((k + 1) * n // capacity))  # in units of 1 / (k * capacity)
+        total = np.cumsum(count * share)
+        a = np.arange(capacity // 2 + 1)
+        parts = (pieces[capacity] - pieces[capacity - a]) * (k * capacity) + total[capacity - a] - np.where(a > 0, total[np.maximum(a - 1, 0)], 0)
+        best = max(best, int(-(-parts.max() // (k * capacity))))
+    return best
+
+
 @dataclass
 class _Step:
     """Fillings around the largest piece left, tried one after the other, each as often as it goes and then less often."""
@@ -171,10 +220,10 @@ class Packing:
     """The search for `count` (pieces by length, 1..capacity). fillings: (filling, how often); bound: no packing has fewer sequences; proven: nor has any fewer than this one."""
 
     def __init__(self, count: np.ndarray, capacity: int, effort: int | None = EFFORT):
-        self.capacity, self.effort = capacity, effort
+        self.capacity, self.effort, self.work = capacity, effort, _Work(capacity)
         self.count = count.astype(np.int64).copy()
         self.volume = int((self.count * np.arange(capacity + 1)).sum())
-        self.bound = least_sequences(self.count, capacity)
+        self.bound = max(least_sequences(self.count, capacity), least_by_shares(self.count, capacity))
         self.fillings = best_fit(self.count, capacity)
         self.sequences = sum(m for _, m in self.fillings)
         self.proven = self.sequences <= self.bound or self._search()
@@ -183,7 +232,7 @@ class Packing:
         """The choices for the largest piece left; after: a filling around it that was given up, so that only later ones are left."""
         largest = int(np.flatnonzero(self.count)[-1])
         waste = (self.sequences - 1 - used) * self.capacity - self.volume
-        choices = fillings(largest, self.count, self.capacity, waste)
+        choices = fillings(largest, self.count, self.capacity, waste, self.work)
         if after is not None and after[0] == largest:
             key = (sum(after), after)
             choices = (f for f in choices if (sum(f), f) < key)
@@ -196,7 +245,7 @@ class Packing:
 
     def _search(self) -> bool:
         """Depth first; whether it came to its end."""
-        stack, used, steps, lost, leaf = [self._step(0)], 0, 0, 0, False
+        stack, used, steps = [self._step(0)], 0, 0
         while stack:
             step = stack[-1]
             if step.times > 1:  # once less often, then what comes after
@@ -219,14 +268,11 @@ class Packing:
             # down from here
             while True:
                 steps += 1
-                lost += leaf
                 if self.volume == 0:
-                    leaf = True
                     if used < self.sequences:
                         self._take(stack, used, [])
                     break
                 if used + least_sequences(self.count, self.capacity) >= self.sequences:
-                    leaf = True
                     break
                 if steps % COMPLETE == 0:
                     rest = best_fit(self.count, self.capacity)
@@ -237,7 +283,6 @@ class Packing:
                 below = self._step(used, stack[-1].now)
                 below.now = next(below.choices, ())
                 if not below.now:
-                    leaf = True
                     break
                 below.need = Counter(below.now)
                 below.times = min(int(self.count[n]) // k for n, k in below.need.items())
@@ -246,8 +291,11 @@ class Packing:
                 stack.append(below)
             if self.sequences <= self.bound:
                 return True
-            if self.effort is not None and lost >= self.effort:
-                return False
+            if self.effort is not None:
+                if self.work.left is None:  # the first descent is over
+                    self.work.left = self.effort
+                if self.work.left <= 0:
+                    return False
         return True
 
     def _take(self, stack: list[_Step], used: int, rest: list[tuple[Filling, int]]) -> None:
