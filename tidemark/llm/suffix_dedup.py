@@ -210,12 +210,24 @@ def first_and_last(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_ri
 
 #: Anchors travel by columns (48 bits of hash, document, place), compressed; false matches of the shorter hash only cost a context.
 _ANCHOR = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4")])
-_PART = np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("nl", "u1"), ("nr", "u1")])
 _FOUND = np.dtype([("pos", "<u4"), ("many", "u1")])
 _SPAN = np.dtype([("lo", "<u4"), ("hi", "<u4")])
 _NULL = -(1 << 63)
 
 
+def _part(length: int) -> np.dtype:
+    """A context's record; nl and nr, the bytes that its text has to the left and right, are at most length."""
+    side = "u1" if length < 1 << 8 else "<u2" if length < 1 << 16 else "<u4"
+    return np.dtype([("h", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("nl", side), ("nr", side)])
+
+
+def _tagged(body: np.ndarray, nl: np.ndarray, nr: np.ndarray) -> list[bytes]:
+    """Each row's bytes with its nl and nr behind them."""
+    sides = np.ascontiguousarray(np.stack([nl, nr], 1), "<u4").view(np.uint8)
+    rows = np.concatenate([body, sides], 1)
+    return rows.view(f"V{rows.shape[1]}")[:, 0].tolist()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], most: int, text_col: str = "text"):
     """(keys, texts, other columns) of batches gathered to about `most` bytes."""
     keys, texts, more, size = [], [], [], 0
@@ -373,18 +385,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 body = view[p[s]].copy()
                 col = np.arange(w - 1 + length)
                 body[(col < (w - 1 - nl[s])[:, None]) | (col >= (w - 1 + nr[s])[:, None])] = 0
-                tag = np.empty((len(body), body.shape[1] + 2), np.uint8)
-                tag[:, :-2], tag[:, -2], tag[:, -1] = body, nl[s], nr[s]
-                one = np.ascontiguousarray(tag).view(f"V{tag.shape[1]}")[:, 0]
                 seen: dict[bytes, int] = {}
-                first = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(one.tolist())), np.int64, len(one))
+                first = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(_tagged(body, nl[s], nr[s]))), np.int64, len(body))
                 d, q = doc[s], pos[s]
-                copy = (first != np.arange(len(one))) & ((ids[d[first]] < ids[d]) | (ids[d[first]] == ids[d]) & (q[first] < q))
+                copy = (first != np.arange(len(body))) & ((ids[d[first]] < ids[d]) | (ids[d[first]] == ids[d]) & (q[first] < q))
                 least, most = np.maximum(0, length - nr[s]), nl[s]
                 use = copy & (least <= most)
                 spans.append((d[use], (q - most)[use], (q - least + length)[use]))
                 stay = ~copy & (least <= most)
-                rec = np.empty(int(stay.sum()), _PART)
+                rec = np.empty(int(stay.sum()), _part(length))
                 h = gram_hashes_at(view, p[s][stay], w)
                 rec["h"], rec["pos"], rec["nl"], rec["nr"] = h, q[stay], nl[s][stay], nr[s][stay]
                 d, body, hot = d[stay], body[stay], flag[s][stay]
@@ -425,9 +434,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             part = np.zeros((ok.size, w - 1 + length), np.uint8)
             part[:, w - 1 - hi : w - 1 + length - lo] = body[ok, w - 1 - hi : w - 1 + length - lo]
             left, right = most, np.minimum(nr[ok], length - lo)
-            tag = np.concatenate([part, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], 1)
             seen: dict[bytes, int] = {}
-            first = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(np.ascontiguousarray(tag).view(f"V{tag.shape[1]}")[:, 0].tolist())), np.int64, ok.size)
+            first = np.fromiter((seen.setdefault(x, i) for i, x in enumerate(_tagged(part, left, right))), np.int64, ok.size)
             own, at = d[ok], pos[ok]
             copy = (ids[own[first]] < ids[own]) | (ids[own[first]] == ids[own]) & (at[first] < at)
             spans.append((own[copy], (at - most)[copy], (at - least + length)[copy]))
@@ -444,16 +452,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         out = []
         for d, r in ((d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 2):
             out.append(_emit(np.frombuffer(d, np.int64).reshape(1, 2), np.zeros(len(r) // _SPAN.itemsize, np.int64), np.frombuffer(r, _SPAN)))
-        width = w - 1 + length
+        width, kind_of = w - 1 + length, _part(length)
         rows = []
         bodies = []
         for d, r in ((d, r) for k, d, r in zip(kinds, docs_, recs, strict=True) if k == 0):
             r = _spread(r)
-            n = len(r) // (_PART.itemsize + width)
-            rows.append((d, r[: n * _PART.itemsize]))
-            bodies.append(np.frombuffer(r, np.uint8, offset=n * _PART.itemsize).reshape(n, width))
+            n = len(r) // (kind_of.itemsize + width)
+            rows.append((d, r[: n * kind_of.itemsize]))
+            bodies.append(np.frombuffer(r, np.uint8, offset=n * kind_of.itemsize).reshape(n, width))
         if rows:
-            tab, rec = _gather(rows, _PART)
+            tab, rec = _gather(rows, kind_of)
             body = np.concatenate(bodies)
             ids, pos = tab[rec["doc"].astype(np.int64), 0], rec["pos"].astype(np.int64)
             order = np.lexsort((pos, ids))
