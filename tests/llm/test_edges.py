@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -251,3 +252,61 @@ def test_suffix_long_texts(spark):
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removal_digest(suffix_dedup.remove_repeats(t, 100, many=many)).collect())
         assert got == Counter({(1, 300_000, 0, 0): 1, (2, 300_002, 300_000, 1): 1, (3, 5000, 4999, 1): 2, (4, 0, 0, 0): 1, (5, 0, 0, 0): 1})
     assert suffix_dedup.cut_repeats(t).columns == t.columns
+
+
+@pytest.mark.parametrize("pieces", [2000, 3000, 20_000])
+def test_packing_of_middling_lengths_ends(pieces):
+    """Lengths of which thousands of fillings waste nothing: the search ends soon, and beats best-fit."""
+    count = np.bincount(np.random.default_rng(1).integers(250, 520, pieces), minlength=2049)
+    began = time.time()
+    p = packing.Packing(count, 2048)
+    assert time.time() - began < 20  # a second or two on a machine with nothing else to do
+    assert p.bound <= p.sequences <= 1.01 * p.bound and p.sequences < sum(m for _, m in packing.best_fit(count, 2048))
+    assert all(sum(f) <= 2048 for f, _ in p.fillings) and sum((Counter({n: k * m for n, k in Counter(f).items()}) for f, m in p.fillings), Counter()) == Counter({n: int(c) for n, c in enumerate(count) if c})
+
+
+def test_packing_bounds_are_bounds():
+    r = random.Random(4)
+    for _ in range(150):
+        capacity = r.choice([20, 30, 41])
+        items = [r.randint(1, capacity) if r.random() < 0.4 else r.randint(capacity // 6, capacity // 2) for _ in range(r.randint(2, 10))]
+        count = np.bincount(items, minlength=capacity + 1)
+        assert max(packing.least_by_shares(count, capacity), packing.least_sequences(count, capacity)) <= least_by_brute_force(items, capacity)
+
+
+@pytest.mark.parametrize("length", [99, 255, 256, 300])
+def test_repeats_of_other_lengths(spark, length):
+    r = random.Random(length)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [say(length - 1), say(length), say(length + 1), say(3 * length)]
+    rows = [(i, say(r.randint(0, 40)) + "".join(r.choice(shared) + say(r.randint(0, 5)) for _ in range(r.randint(0, 3)))) for i in range(40)] + [(50, "x" * (2 * length)), (51, None), (52, "")]
+    seen: set[bytes] = set()
+    want = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                gone[i : i + length] = True
+            seen.add(b[i : i + length])
+        want[d] = bytes(np.frombuffer(b, np.uint8)[~gone])
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for many in (suffix_dedup.MANY, 2):
+        got = {x.doc_id: bytes(x.kept) for x in suffix_dedup.remove_repeats(t, length, many=many).collect()}
+        assert got == want and any(len(want[d]) < len((x or "").encode()) for d, x in rows)
+
+
+def test_training_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """Rows of null or equal ids, repeated rows, more labels than the sample has texts: at most a quota of each label is learned from, all windows of each text."""
+    taught, free = [], next(i for i in range(20, 99) if zlib.crc32(str(i).encode()) % 4 != 2)
+    monkeypatch.setattr(langid.ByteConvNet, "fit", lambda net, x, y, **_: taught.append((net.classes, x, y)))
+    rows = [(None, f"the and {i}", "en") for i in range(600)] + [(free, f"der und {i}", "de") for i in range(600)] + [(None, "same text", "fr")] * 500 + [(None, "one", "xx"), (9, None, "yy"), (10, "", "zz"), (11, "no label", None)]
+    t = spark.createDataFrame([(*r, 1, 2, "l") for r in rows], "doc_id long, text string, lang string, o int, k int, x string").repartition(4)
+    net = langid.train(t, sample=100)
+    classes, x, y = taught[0]
+    assert net.classes == classes == ["de", "en", "fr", "xx"] and np.bincount(y).tolist() == [25, 25, 1, 1] and len(x) == 52
+    long = spark.createDataFrame([(free, "word " * 500, "en")], "doc_id long, text string, lang string")
+    langid.train(long)
+    assert taught[1][1].shape == (10, langid.WINDOW) and bytes(taught[1][1].reshape(-1)[:2500]) == b"word " * 500
+    many = spark.createDataFrame([(None, f"text {i}", f"l{i:03}") for i in range(80) for _ in range(1 + (i == 70))], "doc_id long, text string, lang string")
+    assert len(langid.train(many, sample=10).classes) == 10 and langid.train(many.limit(0)).classes == []

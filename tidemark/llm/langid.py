@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, lean, text_runs
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
-#: Labelled texts to learn from, dealt evenly over the labels, and windows of each.
-SAMPLE, SLICES = 2000, 2
+#: Labelled texts to learn from, dealt evenly over the labels.
+SAMPLE = 2000
 
 
 class ByteConvNet:
@@ -129,39 +129,43 @@ def is_held_out(ids: list) -> list[bool]:
     return [zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2 for d in ids]
 
 
+def _windows(text: bytes) -> np.ndarray:
+    """All windows of a text, A-Z lower-cased, the last one filled with zeros."""
+    out = np.zeros((max(1, -(-len(text) // WINDOW)), WINDOW), np.uint8)
+    out.reshape(-1)[: len(text)] = np.frombuffer(text.translate(ASCII_LOWER), np.uint8)
+    return out
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, seed: int = 0) -> ByteConvNet:
-    """A network from about `sample` labelled texts that are not held out (crc32 of the id modulo 4 is 2): as many of each label, one at least, or all that a label has.
+    """A network from at most about `sample` labelled texts that are not held out (crc32 of the id modulo 4 is 2): as many of each label, one at least, or all that a label has.
 
-    Texts are chosen by a hash of their id. From each, SLICES windows at places drawn by hash. Null and empty texts and null labels teach nothing;
-    every label that has a text is learned; without any label the network has no classes. What labels there are is gathered, one row a label.
+    Texts are chosen by a hash of id and text, so that rows of one id, or without ids, are as good as others; rows that repeat both count once. All windows of a chosen
+    text are learned from. Null and empty texts and null labels teach nothing. Every label that has a text is learned, up to `sample` labels: beyond that the
+    most frequent ones (of equally frequent ones the first by name). Without any label the network has no classes. The driver gets the labels and the chosen texts.
     """
-    text = F.col(text_col)
-    rows = docs.where(text.isNotNull() & (text != "") & F.col(lang_col).isNotNull() & (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 != 2))
-    place = lambda k: F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.length(text) - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
-    seen = rows.select(F.xxhash64(id_col).alias("o"), F.col(lang_col).cast("string").alias("lang"), F.array(*[F.substring(text, place(k), F.lit(WINDOW)) for k in range(SLICES)]).alias("x"))
-    labels = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    got, short, quota, share = [], dict(labels), max(1, -(-sample // max(1, len(labels)))), 1.5 * sample / max(1, len(labels))
+    text, label = F.col(text_col), F.col(lang_col).cast("string")
+    rows = docs.where(text.isNotNull() & (text != "") & label.isNotNull() & (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 != 2))
+    seen = rows.select(F.xxhash64(F.col(id_col), text).alias("o"), label.alias("lang"), text.alias("x"))
+    labels = {r[0]: r[1] for r in rows.groupBy(label.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
+    quota, share = max(1, -(-sample // max(1, len(labels)))), 1.5 * sample / max(1, len(labels))
+    got, short = [], dict(labels)
+    first = Window.partitionBy("lang").orderBy("o", "x")
     while short:
         # hashes below a bound a label: what tasks send does not grow with their number
         bounds = [(lang, min(2**63 - 1, int(min(1.0, share / n) * 2**64) - 2**63)) for lang, n in short.items()]
         limits = docs.sparkSession.createDataFrame(bounds, "lang string, most long")
-        more = seen.join(F.broadcast(limits), "lang").where("o <= most").select("o", "lang", "x").collect()
-        found = {lang: sorted((r for r in more if r.lang == lang), key=lambda r: (r.o, r.x))[:quota] for lang in short}
-        done = {lang: own for lang, own in found.items() if len(own) >= min(quota, labels[lang])}
-        got += [r for lang in sorted(done) for r in done[lang]]
-        short = {lang: n for lang, n in short.items() if lang not in done}  # few by chance: look further
+        some = seen.join(F.broadcast(limits), "lang").where("o <= most").dropDuplicates(["lang", "o"])
+        more = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= quota).select("o", "lang", "x").collect()
+        found = {lang: sorted((r for r in more if r.lang == lang), key=lambda r: r.o) for lang in short}
+        done = [lang for lang, most in bounds if len(found[lang]) >= quota or most == 2**63 - 1]
+        got += [r for lang in sorted(done) for r in found[lang]]
+        short = {lang: n for lang, n in short.items() if lang not in done}  # few by chance, or by repeated rows: look further
         share *= 8
     classes = sorted(labels)
-    x = np.zeros((len(got) * SLICES, WINDOW), np.uint8)
-    y = np.zeros(len(x), np.int64)
-    for i, r in enumerate(got):
-        for k, s in enumerate(r.x):
-            b = s.encode().translate(ASCII_LOWER)[:WINDOW]
-            x[i * SLICES + k, : len(b)] = np.frombuffer(b, np.uint8)
-            y[i * SLICES + k] = classes.index(r.lang)
+    parts = [_windows(r.x.encode()) for r in got]
     net = ByteConvNet(classes, seed)
     if classes:
-        net.fit(x, y, seed=seed)
+        net.fit(np.concatenate(parts), np.repeat([classes.index(r.lang) for r in got], [len(p) for p in parts]), seed=seed)
     return net
 
 
