@@ -77,6 +77,24 @@ def hp_trend(x: np.ndarray, penalty: float = 1.6e6) -> np.ndarray:
     return y
 
 
+def trend_so_far(x: np.ndarray, penalty: float = 1.6e6) -> np.ndarray:
+    """For every row, what hp_trend of the rows so far gives for it: the filtered level of a local linear trend whose slope moves with variance 1 / penalty.
+
+    One pass: the state is the trend at the last two rows. After two rows nothing is smoothed yet (the prior is diffuse), so it starts there, exactly.
+    """
+    x = np.asarray(x, float)
+    out = x.copy()
+    if len(x) < 3:
+        return out
+    a1, a2, p11, p12, p22, q = x[1], x[0], 1.0, 0.0, 1.0, 1.0 / penalty
+    for t, y in enumerate(x[2:].tolist(), 2):
+        ahead, v11, v12 = 2 * a1 - a2, 4 * p11 - 4 * p12 + p22 + q, 2 * p11 - p12
+        k1, k2 = v11 / (v11 + 1), v12 / (v11 + 1)
+        a1, a2, p11, p12, p22 = ahead + k1 * (y - ahead), a1 + k2 * (y - ahead), k1, k2, p11 - k2 * v12
+        out[t] = a1
+    return out
+
+
 def hac_ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (constant first) and Newey-West standard errors with max(2, ceil(n ** 1/4)) lags."""
     a = np.column_stack([np.ones(len(y)), x])

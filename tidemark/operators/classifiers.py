@@ -42,50 +42,78 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], 1) if len(cuts) else np.zeros((len(x), 0), np.int64)
 
 
+def bins_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each row's cells in a table of features and bins."""
+    return codes + np.arange(codes.shape[1]) * (int(sizes.max(initial=0)) + 1)
+
+
 class Tree:
     """A regression tree on gradients g and curvatures h: a leaf's value is sum g / (sum h + ridge)."""
 
-    def __init__(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: np.ndarray, depth: int | None, ridge: float = 0.0, least: float = 0.0, pick: Callable[[int], np.ndarray] | None = None):
-        """codes: binned features; sizes: cuts of each; least: curvature that either side of a split has at least; pick(n): for n nodes, which features each may split on."""
-        width = int(sizes.max(initial=0)) + 1
-        n_features = codes.shape[1]
-        offset = np.arange(n_features) * width
-        self.feature, self.cut, self.left, self.value = [], [], [], []
+    def __init__(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: np.ndarray, depth: int | None, ridge: float = 0.0, least: float = 0.0, pick: Callable[[int], np.ndarray] | None = None, bins: np.ndarray | None = None):
+        """codes: binned features; sizes: cuts of each; least: curvature that either side of a split has at least; pick(n): for n nodes, which features each may split on;
+        bins: bins_of(codes, sizes), for those who grow many trees on the same codes. leaf: the node that each row ends in."""
+        n_features, width = codes.shape[1], int(sizes.max(initial=0)) + 1
+        bins = bins_of(codes, sizes) if bins is None else bins
+        cells, least = n_features * width, max(least, 1e-12)
+        parts, self.leaf = [], np.zeros(len(g), np.int64)
         node, rows, level = np.zeros(len(g), np.int64), np.arange(len(g)), 0
         first, n_nodes = 0, 1
         no_cut = np.arange(width)[None] >= sizes[:, None]  # the last bin has no cut above it
+        wide_g, wide_h = (np.repeat(x, n_features).reshape(-1, n_features) for x in (g, h))
         while n_nodes:
             gs, hs = np.bincount(node, g[rows], n_nodes), np.bincount(node, h[rows], n_nodes)
-            self.value += (gs / np.maximum(hs + ridge, 1e-300)).tolist()
-            self.feature += [-1] * n_nodes
-            self.cut += [0] * n_nodes
-            self.left += [0] * n_nodes
+            feature, cut, left = np.full(n_nodes, -1), np.zeros(n_nodes, np.int64), np.zeros(n_nodes, np.int64)
+            parts.append((feature, cut, left, gs / np.maximum(hs + ridge, 1e-300)))
+            self.leaf[rows] = first + node
             if not rows.size or n_features == 0 or depth is not None and level >= depth:
                 break
-            at = ((node * (n_features * width))[:, None] + offset + codes[rows]).ravel()
-            shape = (n_nodes, n_features, width)
-            gl = np.bincount(at, np.repeat(g[rows], n_features), n_nodes * n_features * width).reshape(shape).cumsum(2)
-            hl = np.bincount(at, np.repeat(h[rows], n_features), n_nodes * n_features * width).reshape(shape).cumsum(2)
+            chosen = None if pick is None else pick(n_nodes)
+            # a node whose curvature can't make two sides is a leaf, whatever the histograms say
+            able = np.flatnonzero(hs >= 2 * least * (1 - 1e-9))
+            if able.size < n_nodes:
+                place = np.full(n_nodes, -1)
+                place[able] = np.arange(able.size)
+                keep = place[node] >= 0
+                rows, node, gs, hs = rows[keep], place[node[keep]], gs[able], hs[able]
+                if not rows.size:
+                    break
+            all_rows = rows.size == len(g)
+            at = bins if all_rows else bins[rows]
+            at = (at if able.size == 1 else at + (node * cells)[:, None]).ravel()
+            shape = (able.size, n_features, width)
+            gl = np.bincount(at, (wide_g if all_rows else wide_g[rows]).ravel(), able.size * cells).reshape(shape).cumsum(2)
+            hl = np.bincount(at, (wide_h if all_rows else wide_h[rows]).ravel(), able.size * cells).reshape(shape).cumsum(2)
             gr, hr = gs[:, None, None] - gl, hs[:, None, None] - hl
+            bad = hl < least
+            bad |= hr < least
+            bad |= no_cut
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - (gs**2 / (hs + ridge))[:, None, None]
-            bad = no_cut[None] | (hl < max(least, 1e-12)) | (hr < max(least, 1e-12)) | ~np.isfinite(gain)
-            if pick is not None:
-                bad |= ~pick(n_nodes)[:, :, None]
-            gain[bad] = -np.inf
-            flat = gain.reshape(n_nodes, -1)
+                np.square(gl, out=gl)
+                np.square(gr, out=gr)
+                hl += ridge
+                hr += ridge
+                gl /= hl
+                gr /= hr
+                gl += gr
+                gl -= (gs**2 / (hs + ridge))[:, None, None]
+            if ridge == 0:
+                bad |= ~np.isfinite(gl)
+            if chosen is not None:
+                bad |= ~chosen[able][:, :, None]
+            gl[bad] = -np.inf
+            flat = gl.reshape(able.size, -1)
             best = flat.argmax(1)
-            good = flat[np.arange(n_nodes), best] > 1e-9
-            feature, cut = best // width, best % width
+            good = flat[np.arange(able.size), best] > 1e-9
+            at_feature, at_cut = best // width, best % width
             number = np.cumsum(good) - 1
             below = first + n_nodes
-            for k in np.flatnonzero(good).tolist():
-                self.feature[first + k], self.cut[first + k], self.left[first + k] = int(feature[k]), int(cut[k]), below + 2 * int(number[k])
+            feature[able[good]], cut[able[good]], left[able[good]] = at_feature[good], at_cut[good], below + 2 * number[good]
             keep = good[node]
             rows, node = rows[keep], node[keep]
-            node = 2 * number[node] + (codes[rows, feature[node]] > cut[node])
+            node = 2 * number[node] + (codes[rows, at_feature[node]] > at_cut[node])
             first, n_nodes, level = below, 2 * int(good.sum()), level + 1
-        self.feature, self.cut, self.left, self.value = np.array(self.feature), np.array(self.cut), np.array(self.left), np.array(self.value)
+        self.feature, self.cut, self.left, self.value = (np.concatenate([p[k] for p in parts]) for k in range(4))
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         at = np.zeros(len(codes), np.int64)
@@ -102,13 +130,13 @@ def boosted(x: np.ndarray, y: np.ndarray, new: np.ndarray, rounds: int = 100, de
     """Probabilities of class 1 by trees boosted under log loss from a probability of one half."""
     cuts = cuts_of(x)
     codes, others, sizes = binned(x, cuts), binned(new, cuts), np.array([c.size for c in cuts])
-    f, out = np.zeros(len(y)), np.zeros(len(new))
+    f, out, bins = np.zeros(len(y)), np.zeros(len(new)), bins_of(codes, sizes)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-f))
-        tree = Tree(codes, y - p, p * (1 - p), sizes, depth, ridge, least)
+        tree = Tree(codes, y - p, p * (1 - p), sizes, depth, ridge, least, bins=bins)
         if len(tree.value) == 1 and abs(tree.value[0]) < 1e-6:
             break
-        f += rate * tree.predict(codes)
+        f += rate * tree.value[tree.leaf]
         out += rate * tree.predict(others)
     return 1 / (1 + np.exp(-out))
 

@@ -59,12 +59,16 @@ def start_days(days: DataFrame, walk: Walk, day: str = "dt") -> DataFrame:
 def block_forecasts(df: DataFrame, blocks: DataFrame, walk: Walk, penalties: Sequence[float] = PENALTIES, key: str = "asset", day: str = "dt", value: str = "er") -> DataFrame:
     """(key, start, rebal, day, i, label): forecasts of every block by every penalty (its place i), 0 bull, 1 bear.
 
-    A block without enough training rows has none. Penalties that give the same labels share a classifier.
+    A block without enough training rows has none. Fits of all penalties go on together for as long as they agree, and penalties that give the same labels share a classifier.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, day)}
     names = list(dict.fromkeys([*walk.cluster, *walk.classify]))
     window = (F.col(day) >= F.add_months("start", -12 * walk.train_years)) & (F.col("end").isNull() | (F.col(day) < F.col("end")))
-    rows = df.select(key, day, value, *[c for c in names if c != value]).join(F.broadcast(blocks), window)  # blocks: a few rows a year
+    calendar = df.select(day).distinct().join(F.broadcast(blocks), window)  # days against a few blocks a year; rows then meet their windows by day
+    rows = df.select(key, day, value, *[c for c in names if c != value]).join(calendar, day)
+    # a window is a task's work for seconds, whatever its bytes: more partitions than windows, so that few share one
+    windows = df.select(key).distinct().count() * blocks.count()
+    rows = rows.repartition(min(2000, max(1, 3 * windows)), key, "start", "rebal")
     columns = [key, "start", "rebal", day, "i", "label"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,8 +90,8 @@ def block_forecasts(df: DataFrame, blocks: DataFrame, walk: Walk, penalties: Seq
         start, rebal = pdf["start"].iloc[0], pdf["rebal"].iloc[0]
         rebal = None if pd.isna(rebal) else rebal
         half_life, done, out = walk.smoothing.get(str(pdf[key].iloc[0]), 0), {}, []
-        for i, penalty in enumerate(penalties):
-            labels = jump_model.bear_labels(jump_model.fit(x, 2, float(penalty), seed=walk.seed)[0], r)
+        for states in jump_model.fit_all(x, penalties, 2, seed=walk.seed):
+            labels = jump_model.bear_labels(states, r)
             name = labels.tobytes()
             if name not in done:
                 p = classifiers.probabilities(walk.method, z[known], np.append(labels[1:], 0)[known], np.nan_to_num(new), walk.depth, walk.trees)

@@ -6,6 +6,8 @@ of applyInPandas; groups run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -85,6 +87,87 @@ def fit(x: np.ndarray, states: int = 2, penalty: float = 50.0, max_iter: int = 3
     return labels, centres
 
 
+def _line(cost: np.ndarray, labels: np.ndarray) -> tuple[float, int]:
+    """What a path costs as a line over the penalty: its value at 0, and its changes of state."""
+    return float(cost[np.arange(len(cost)), labels].sum()), int(np.count_nonzero(np.diff(labels)))
+
+
+def best_paths(cost: np.ndarray, penalties: Sequence[float]) -> list[np.ndarray]:
+    """best_path for every penalty (ascending), by as few searches as there are different paths, about twice.
+
+    The least cost is concave and piecewise linear in the penalty, each piece a path. Of two paths on the lower envelope, the one where their lines cross tells: if
+    none is cheaper there, nothing lies between them, and the penalties on either side of the crossing take their own; else the new path parts the interval.
+    """
+    out: list[np.ndarray | None] = [None] * len(penalties)
+    if not len(penalties):
+        return []
+    ends = [(i, best_path(cost, penalties[i])) for i in dict.fromkeys((0, len(penalties) - 1))]
+    for i, path in ends:
+        out[i] = path
+    # (first, last, path before, path after): penalties first..last lie between those that have these paths
+    todo = [(1, len(penalties) - 2, ends[0][1], ends[-1][1])]
+    while todo:
+        lo, hi, before, after = todo.pop()
+        if lo > hi:
+            continue
+        (a, m), (b, n) = _line(cost, before), _line(cost, after)
+        if np.array_equal(before, after) or m == n and a == b:
+            for i in range(lo, hi + 1):
+                out[i] = before
+            continue
+        cross = (b - a) / (m - n) if m > n else penalties[lo]
+        close = 1e-9 * max(1.0, abs(cross))
+        for i in [i for i in range(lo, hi + 1) if abs(penalties[i] - cross) <= close]:  # ties are for the search itself
+            out[i] = best_path(cost, penalties[i])
+        path = best_path(cost, cross)
+        c, k = _line(cost, path)
+        closed = m > n and c + cross * k >= a + cross * m - 1e-9 * max(1.0, abs(a))
+        left = [i for i in range(lo, hi + 1) if out[i] is None and penalties[i] < cross]
+        right = [i for i in range(lo, hi + 1) if out[i] is None and penalties[i] >= cross]
+        if closed:
+            for i in left:
+                out[i] = before
+            for i in right:
+                out[i] = after
+            continue
+        if len(left) + len(right) == hi - lo + 1 and k in (m, n):  # no progress by rounding: look at each
+            for i in [*left, *right]:
+                out[i] = best_path(cost, penalties[i])
+            continue
+        if left:
+            todo.append((left[0], left[-1], before, path))
+        if right:
+            todo.append((right[0], right[-1], path, after))
+    return out
+
+
+def fit_all(x: np.ndarray, penalties: Sequence[float], states: int = 2, max_iter: int = 300, tol: float = 1e-6, seed: int = 0) -> list[np.ndarray]:
+    """The labels of fit for every penalty. All fits begin with the same centres, and go on together for as long as their paths, and so their centres, are the same."""
+    order = np.argsort(np.asarray(penalties, float), kind="stable").tolist()
+    labels: list[np.ndarray] = [np.zeros(len(x), np.int64)] * len(order)
+    last, rank = [np.inf] * len(order), np.argsort(order).tolist()
+    together = [(spread_centres(x, states, np.random.default_rng(seed)), order)]
+    for _ in range(max_iter):
+        after: dict[bytes, tuple[np.ndarray, list[int]]] = {}
+        for centres, members in together:
+            cost = distances(x, centres)
+            lines: dict[bytes, tuple[float, int]] = {}
+            for i, path in zip(members, best_paths(cost, [float(penalties[i]) for i in members]), strict=True):
+                labels[i], name = path, path.tobytes()
+                if name not in lines:
+                    lines[name] = _line(cost, path)
+                value = lines[name][0] + penalties[i] * lines[name][1]
+                if abs(last[i] - value) >= tol:
+                    if name not in after:
+                        after[name] = (np.stack([x[path == k].mean(0) if (path == k).any() else np.zeros(x.shape[1]) for k in range(states)]), [])
+                    after[name][1].append(i)
+                last[i] = value
+        together = [(c, sorted(m, key=rank.__getitem__)) for c, m in after.values()]
+        if not together:
+            break
+    return labels
+
+
 def regimes(df: DataFrame, features: list[str], key: str = "asset", order: str = "t", value: str = "er", states: int = 2, penalty: float = 50.0, seed: int = 0) -> DataFrame:
     """(key, order, regime): 0 for the state of the highest mean value, 1 for any other. Rows with a null feature are left out."""
 

@@ -134,18 +134,19 @@ def daily_targets(x: np.ndarray, ret: np.ndarray, rf: np.ndarray, regime: np.nda
     return out[begin:]
 
 
-def targets(panel: DataFrame, names: list[str] | None = None, extra: dict[str, Optimised] | None = None, start=None, end=None) -> DataFrame:
+def targets(panel: DataFrame, names: list[str] | None = None, extra: dict[str, Optimised | Callable[[DataFrame], DataFrame]] | None = None, start=None, end=None) -> DataFrame:
     """(strategy, asset, dt, er, rf, w) of each named strategy for panel (asset, dt, er, ret, rf, regime, mu); er is the total return that is earned.
 
-    Covariances and means read all days; targets are made from start to end, starting from equal weights. An unknown name is an error.
+    extra: more strategies by name, for this call alone, as add() takes them. Covariances and means read all days; targets are made from start to end, starting from equal weights. An unknown name is an error.
     """
-    optimised = OPTIMISED | (extra or {})
-    names = [*(NAMES if names is None else names), *(extra or {})]
-    if unknown := [x for x in names if x not in STRATEGIES and x not in optimised]:
-        raise ValueError(f"unknown strategies {unknown}; known: {[*STRATEGIES, *optimised]}")
+    optimised = OPTIMISED | {k: v for k, v in (extra or {}).items() if isinstance(v, Optimised)}
+    plain = {k: v for k, v in STRATEGIES.items() if k not in (extra or {})} | {k: v for k, v in (extra or {}).items() if k not in optimised}
+    names = list(dict.fromkeys([*(NAMES if names is None else names), *(extra or {})]))
+    if unknown := [x for x in names if x not in plain and x not in optimised]:
+        raise ValueError(f"unknown strategies {unknown}; known: {[*plain, *optimised]}")
     inside = (F.lit(True) if start is None else F.col("dt") >= F.lit(start)) & (F.lit(True) if end is None else F.col("dt") <= F.lit(end))
-    parts = [STRATEGIES[x](panel.where(inside)).select(F.lit(x).alias("strategy"), "asset", "dt", F.col("ret").alias("er"), "rf", "w") for x in names if x in STRATEGIES]
-    chosen = [x for x in names if x not in STRATEGIES]
+    parts = [plain[x](panel.where(inside)).select(F.lit(x).alias("strategy"), "asset", "dt", F.col("ret").alias("er"), "rf", "w") for x in names if x in plain]
+    chosen = [x for x in names if x not in plain]
     if chosen:
         rows = panel.withColumn("inside", inside).withColumn("strategy", F.explode(F.array(*map(F.lit, chosen))))
 
@@ -168,6 +169,6 @@ def targets(panel: DataFrame, names: list[str] | None = None, extra: dict[str, O
     return out
 
 
-def run(panel: DataFrame, names: list[str] | None = None, extra: dict[str, Optimised] | None = None, start=None, end=None, cost: float = 5e-4) -> DataFrame:
+def run(panel: DataFrame, names: list[str] | None = None, extra: dict[str, Optimised | Callable[[DataFrame], DataFrame]] | None = None, start=None, end=None, cost: float = 5e-4) -> DataFrame:
     """(strategy, dt, ret, turnover, leverage) of every strategy."""
     return backtest.run(targets(panel, names, extra, start, end), cost)

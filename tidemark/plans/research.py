@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar, inference
+from ..functions import calendar, inference, scan
 from ..functions.series import as_of, by, ewm_mean, forward_fill, upto
-from ..operators import backtest, diagnostics, forecast, framework, jump_model, preparation, stability, strategies, sweep, volatility
+from ..operators import backtest, diagnostics, forecast, framework, jump_model, main_run, preparation, stability, strategies, sweep, trend, volatility
 from ..sources import sinks
 from ..sources import tables as src
 from .queries import _LBL, BARS, FACT, MACRO, PANEL, UP, ewm_sql, labels, query, r
@@ -509,21 +509,44 @@ def sta_window_size_slopes(spark, d):
     return both.groupBy("asset").applyInPandas(one, "asset string, slope_expanding double, p_expanding double, slope_last double, p_last double")
 
 
-@query()
-def sta_trend_at_date(spark, d):
-    """Trend and cycle of the smoothed macro series at every rebalance day, from what was known by then: one task a day."""
-    import numpy as np
-    import pandas as pd
+_TREND = f"""RECURSIVE {MACRO}, {PANEL}, mn AS (SELECT dt, vix, row_number() OVER (ORDER BY dt) AS n FROM macro),
+k AS (SELECT n, dt, vix::DOUBLE AS y, vix::DOUBLE AS a1, (SELECT vix FROM mn WHERE n = 1)::DOUBLE AS a2, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1.0::DOUBLE AS p22 FROM mn WHERE n = 2 UNION ALL
+ SELECT n, dt, y, ahead + v11 / (v11 + 1) * (y - ahead), b1 + v12 / (v11 + 1) * (y - ahead), v11 / (v11 + 1), v12 / (v11 + 1), o11 - v12 / (v11 + 1) * v12 FROM
+ (SELECT mn.n, mn.dt, mn.vix::DOUBLE AS y, 2 * k.a1 - k.a2 AS ahead, k.a1 AS b1, k.p11 AS o11, 4 * k.p11 - 4 * k.p12 + k.p22 + 1 / 1.6e6 AS v11, 2 * k.p11 - k.p12 AS v12 FROM k JOIN mn ON mn.n = k.n + 1))"""
+
 
-    m = src.macro(spark, d).select("dt", "vix")
+@query(f"WITH {_TREND}, x AS (SELECT min(dt) AS rebal FROM panel WHERE month(dt) IN (1, 7) GROUP BY year(dt), month(dt)) SELECT rebal, n, CASE WHEN n >= 10 THEN round(a1, 6) END AS trend, CASE WHEN n >= 10 THEN round(y - a1, 6) END AS cycle FROM x ASOF JOIN k ON x.rebal >= k.dt")
+def sta_trend_at_date(spark, d):
+    """Trend and cycle of the smoothed macro series at every rebalance day, from what was known by then: one pass over the series gives all dates."""
+    m = trend.trend_so_far(src.macro(spark, d).select(F.lit("vix").alias("series"), "dt", F.col("vix").cast("double").alias("v")), ["series"], "dt", "v")
     days = calendar.rebalance_days(src.panel(spark, d).select("dt").distinct())
+    at = as_of(days.withColumnRenamed("rebal", "dt"), m, "dt", ["n", "trend", "cycle"]).where("n IS NOT NULL")
+    return at.select(F.col("dt").alias("rebal"), "n", *[F.when(F.col("n") >= 10, r(F.col(c), 6)).alias(c) for c in ("trend", "cycle")])
+
+
+@query(f"WITH {PANEL} SELECT asset, t, n, round(mean, 8) AS mean, round(sd, 8) AS sd, CASE WHEN n >= 20 THEN round((er - mean) / greatest(sd, 1e-8), 6) END AS z, round(w / max(w) OVER {UP} - 1, 8) AS drawdown, round(ewm, 8) AS ewm FROM (SELECT *, count(er) OVER {UP} AS n, avg(er) OVER {UP} AS mean, stddev_samp(er) OVER {UP} AS sd, product(1 + er) OVER {UP} AS w, {ewm_sql('er', 21)} AS ewm FROM panel)")
+def win_scans(spark, d):
+    """Expanding moments, drawdown and smoothed mean of every asset's returns by two-level scans: an asset's days are dealt over tasks."""
+    p = scan.in_parts(src.panel(spark, d).select("asset", "t", "er"), ["asset"], "t")
+    x = scan.moments_so_far(p, ["asset"], "t", "er")
+    x = scan.ewm_mean(scan.drawdown(x, ["asset"], "t", "er"), ["asset"], "t", "er", 21)
+    z = F.when(F.col("n") >= 20, r((F.col("er") - F.col("mean")) / F.greatest("sd", F.lit(1e-8)), 6))
+    return x.select("asset", "t", "n", *[r(F.col(c)).alias(c) for c in ("mean", "sd")], z.alias("z"), r(F.col("drawdown")).alias("drawdown"), r(F.col("ewm")).alias("ewm"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("dt")["vix"].to_numpy(float)
-        trend = inference.hp_trend(x) if len(x) >= 10 else np.full(len(x), np.nan)
-        return pd.DataFrame({"rebal": pdf["rebal"].iloc[:1], "n": [len(x)], "trend": trend[-1:], "cycle": (x - trend)[-1:]})
 
-    return m.join(F.broadcast(days), F.col("dt") <= F.col("rebal")).groupBy("rebal").applyInPandas(one, "rebal date, n long, trend double, cycle double")
+@query("WITH e AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts, event_id) AS t FROM events) SELECT event_id, t, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS peak, last_value(CASE WHEN value > 100 THEN event_id END IGNORE NULLS) OVER w AS last_large FROM e WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def win_one_long_series(spark, d):
+    """All events as one series: rows numbered, running sum, peak and the last large event, with no task that holds the whole series."""
+    e = src.table(spark, d, "events").select("event_id", "value", F.struct(F.col("ts"), F.col("event_id")).alias("at"))
+    x = scan.running(e, [], "at", t=("count", F.lit(1)), total=("sum", F.col("value")), peak=("max", F.col("value")), last_large=("last", F.when(F.col("value") > 100, F.col("event_id"))))
+    return x.select("event_id", "t", r(F.col("total"), 4).alias("total"), "peak", "last_large")
+
+
+@query("SELECT l_quantity AS quantity, count(*) AS n, (min(rk) + max(rk)) / 2 AS average_rank FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS rk FROM lineitem WHERE l_quantity IS NOT NULL) GROUP BY 1")
+def agg_tied_ranks(spark, d):
+    """Average ranks of a column of a few values, each in a large share of all rows."""
+    x = scan.average_rank(src.table(spark, d, "lineitem").select("l_quantity"), "l_quantity", "rk").where("rk IS NOT NULL")
+    return x.groupBy(F.col("l_quantity").alias("quantity")).agg(F.count(F.lit(1)).alias("n"), F.avg("rk").alias("average_rank"))
 
 
 # -------------------------------------------------------------------------------------------------------------------- statistics
@@ -706,8 +729,21 @@ def fct_dated_penalty_search(spark, d):
 
 @query()
 def fct_walk_forward(spark, d):
-    """The forecasts that chosen penalties make for the days up to the next choice, with every sixth penalty of the grid to choose from."""
-    return framework.search(walk_rows(spark, d), WALK, framework.PENALTIES[::6], start="1999-01-01")[0]
+    """The forecasts that chosen penalties make for the days up to the next choice, with all 31 penalties to choose from at every rebalance day; logistic regression."""
+    return framework.search(walk_rows(spark, d), WALK)[0]
+
+
+#: The panel's own assets in place of 60/40's.
+MIX = strategies.fixed_mix({"AF": 0.3, "NF": 0.3, "RF": 0.2, "AO": 0.1, "NO": 0.05, "RO": 0.05})
+
+
+@query()
+def bkt_main_run(spark, d):
+    """The main run: forecasts by boosted trees, of all 31 penalties at every rebalance day, into the seven strategies and their metrics."""
+    from dataclasses import replace
+
+    panel = preparation.prepare(prices(spark, d), src.macro(spark, d)).withColumn("ret", F.coalesce("ret", F.lit(0.0)))
+    return main_run.run(walk_rows(spark, d), panel, replace(WALK, method="xgboost"), extra={"60/40": MIX}).metrics
 
 
 def strategy_panel(spark, d) -> DataFrame:
@@ -721,16 +757,15 @@ def strategy_panel(spark, d) -> DataFrame:
 @query()
 def bkt_strategies(spark, d):
     """All seven strategies through the daily backtest, with their metrics."""
-    strategies.add("mix", strategies.fixed_mix({"AF": 0.3, "NF": 0.3, "RF": 0.2, "AO": 0.1, "NO": 0.05, "RO": 0.05}))  # the panel's own assets in place of 60/40's
     p = strategy_panel(spark, d)
-    return backtest.metrics(strategies.run(p, ["mix", *strategies.NAMES[1:]]).join(p.select("dt", "rf").distinct(), "dt"))
+    return backtest.metrics(strategies.run(p, strategies.NAMES[1:], {"mix": MIX}).join(p.select("dt", "rf").distinct(), "dt"))
 
 
 @query()
 def prt_sensitivity(spark, d):
     """The regime mean-variance strategy under every pair of risk and trade aversion."""
     p = strategy_panel(spark, d)
-    return backtest.metrics(strategies.run(p, [], strategies.sensitivity("MV(JM-XGB)"), start="1998-01-01").join(p.select("dt", "rf").distinct(), "dt"))
+    return backtest.metrics(strategies.run(p, [], strategies.sensitivity("MV(JM-XGB)")).join(p.select("dt", "rf").distinct(), "dt"))
 
 
 @query(f"WITH {_TARGETS}, s AS (SELECT strategy, dt, asset, round(w, 9) AS w FROM tg) SELECT strategy, count(*) AS n, round(sum(w), 6) AS invested, count(*) FILTER (w > 0) AS held FROM s GROUP BY 1")
