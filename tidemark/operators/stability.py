@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import by, last_rows
+from ..sources.sinks import kept
 
 
 def mean_silhouette(x: np.ndarray, labels: np.ndarray, block: int = 256) -> float:
@@ -43,6 +44,50 @@ def silhouette(df: DataFrame, features: list[str], label: str, key: str = "asset
     return df.select(key, label, *features).dropna().groupBy(key).applyInPandas(one, f"{key} {df.schema[key].dataType.simpleString()}, silhouette double")
 
 
+def silhouette_tiled(df: DataFrame, features: list[str], label: str, keys: list[str], block: int = 2048, wide: int = 8) -> DataFrame:
+    """(keys, silhouette, n) of groups of any size: mean_silhouette, its distances made tile by tile. Null with fewer than two clusters; rows with nulls are left out.
+
+    Rows are packed in blocks of `block`. A task holds one block and `wide` others, and gives each row's sums of distances to each cluster there; those sums are added up over tiles.
+    Work is quadratic in a group's rows, as the measure is, but is dealt over tasks; no pair of rows ever leaves one. Clusters are few: a sum each is kept for every row.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in keys}
+    x = df.select(*keys, F.col(label).cast("string").alias("_l"), F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).dropna(subset=["_l"]).where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
+    sizes = x.groupBy(*keys, "_l").agg(F.count(F.lit(1)).alias("_c"))
+    clusters = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_l", "_c"))).alias("_all"), F.sum("_c").alias("_n"))
+    # blocks are random shares of a group: about `block` rows each
+    x = x.withColumn("_i", F.monotonically_increasing_id()).join(clusters.select(*keys, F.ceil(F.col("_n") / block).alias("_b")), keys)
+    x = x.withColumn("_block", F.pmod(F.xxhash64("_i"), F.col("_b")))
+    blocks = kept(x.groupBy(*keys, "_block").agg(F.collect_list("_l").alias("_ls"), F.collect_list("_x").alias("_xs"), F.first("_b").alias("_b")), "blocks")
+    left = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_b") - 1) / wide))))
+    right = blocks.select(*keys, F.floor(F.col("_block") / wide).alias("_part"), F.col("_ls").alias("_rl"), F.col("_xs").alias("_rx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("_block"))
+    right = right.toDF(*right.columns)  # columns of its own
+    names = clusters.select(*keys, F.col("_all._l").alias("_names"))
+
+    def sums(one: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        row = one.iloc[0]
+        mine, names_ = np.array(row["_xs"].tolist(), float), list(row["_names"])
+        total = np.zeros((len(mine), len(names_)))
+        for xs, ls in zip(others["_rx"], others["_rl"], strict=True):
+            theirs, own = np.array(xs.tolist(), float), np.array([names_.index(v) for v in ls])
+            member = np.eye(len(names_))[own]
+            for lo in range(0, len(mine), 256):
+                total[lo : lo + 256] += np.sqrt(((mine[lo : lo + 256, None] - theirs[None]) ** 2).sum(2)) @ member
+        own = [names_.index(v) for v in row["_ls"]]
+        return pd.DataFrame({**{c: [row[c]] * len(mine) for c in keys}, "_block": row["_block"], "_row": np.arange(len(mine)), "_own": own, "_d": total.tolist()})
+
+    tile = [*keys, "_block", "_part"]
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", _block long, _row int, _own int, _d array<double>"
+    got = left.join(names, keys).groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(sums, schema)
+    whole = got.groupBy(*keys, "_block", "_row", "_own", F.size("_d").alias("_k")).agg(F.collect_list("_d").alias("_ds"))  # one list a tile
+    whole = whole.withColumn("_d", F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda c: F.aggregate("_ds", F.lit(0.0), lambda a, t: a + F.get(t, c)))).join(clusters, keys)
+    size = F.get(F.col("_all._c"), F.col("_own"))
+    a = F.get("_d", F.col("_own")) / F.greatest(size - 1, F.lit(1))
+    b = F.array_min(F.filter(F.transform("_d", lambda v, c: F.when(c != F.col("_own"), v / F.get(F.col("_all._c"), c))), lambda v: v.isNotNull()))
+    high = F.greatest(a, b)
+    s = F.when(b.isNull(), None).when((size > 1) & (high > 0), (b - a) / high).otherwise(0.0)
+    return whole.groupBy(*keys).agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
 def trailing_run_length(label: str, n: int = 252, least: int = 20, key: str = "asset", order: str = "t"):
     """Mean run length within the last n rows, the runs cut at the window's first row; null with fewer than `least` rows."""
     w = last_rows(n, key, order)

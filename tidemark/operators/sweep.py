@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inference
 from ..functions.calendar import months_of, refit_blocks
+from ..sources.sinks import delete, exists, upsert
 from . import classifiers, diagnostics, jump_model
 from .portfolio import COST
 from .preparation import clustering_features
@@ -118,7 +119,9 @@ def blocks_of_events(events: DataFrame, last, key: str = "asset", day: str = "dt
 
 
 def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "asset", day: str = "dt", value: str = "er", least_train: int = 252, least_rows: int = 100, own_blocks: DataFrame | None = None) -> DataFrame:
-    """(key, FIT columns, seed, day, pred): for every distinct fit, the forecasts of its refit blocks from `start` on; 0 bull, 1 bear.
+    """(key, FIT columns, seed, day, pred): for every distinct fit, the forecasts of its refit blocks from `start` on; 0 bull, 1 bear. fits with the key as a column are those of that key alone.
+
+    A key's features go to a few tasks (as many as the cluster can use, however long the list of fits), each of which loops over its share of the fits.
 
     features: (key, day, value, the columns of clustering_features() but vol, and a column vol_<estimator> each); fits: FIT columns and seed, a row a fit.
     Each block trains on all days before it. Days with a null feature before the first known one have no forecast. own_blocks: (key, test_start, test_end), blocks of
@@ -134,10 +137,16 @@ def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "as
     for q in [r[0] for r in fits.select("recal_frequency").distinct().collect()]:  # four at most
         blocks[q] = sorted(tuple(r) for r in refit_blocks(days, months_of(q), day).collect())  # a few rows a year
     shared = spark.sparkContext.broadcast(blocks)
-    rows = features.join(F.broadcast(fits), how="cross")  # fits: a sweep's own size
-
-    def one(pdf: pd.DataFrame, own: list | None = None) -> pd.DataFrame:
-        pdf, c = pdf.sort_values(day), pdf.iloc[0]
+    if key not in fits.columns:
+        fits = features.select(key).distinct().join(fits, how="cross")  # keys of a universe, fits of a sweep
+    keys_n, fits_n = max(1, features.select(key).distinct().count()), fits.count()
+    slots = max(1, min(-(-fits_n // keys_n), -(-4 * spark.sparkContext.defaultParallelism // keys_n)))
+    shares = fits.select(key, *FIT, "seed").withColumn("_slot", (F.row_number().over(Window.partitionBy(key).orderBy(*FIT, "seed")) % slots).cast("int"))  # a sweep's own size
+    rows = features.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    columns = [key, *FIT, "seed", day, "pred"]
+    empty = pd.DataFrame({x: pd.Series(dtype="object") for x in columns})
+
+    def one(pdf: pd.DataFrame, c: pd.Series, own: list | None = None) -> pd.DataFrame:
         at = pdf[day].to_numpy()
         names = [x for x in clustering_features(c["feature_set"], pdf["log_dd_hl5"].notna().any()) if x != "vol"]
         x = pdf[names].assign(vol=pdf["vol_" + c["vol_estimator"]]) if c["feature_set"] != "minimal" else pdf[names]
@@ -155,22 +164,28 @@ def predictions(features: DataFrame, fits: DataFrame, start=None, key: str = "as
                 target = np.append(y[1:], y[-1])
                 pred = (classifiers.probabilities(c["forecaster_type"], x[train], target, x[test], int(c["max_depth"]), int(c["n_estimators"])) >= 0.5).astype(int)
             out.append(pd.DataFrame({day: at[test], "pred": pred}))
-        got = pd.concat(out) if out else pd.DataFrame({day: pd.Series(dtype="object"), "pred": pd.Series(dtype="int64")})
-        return got.assign(**{k: c[k] for k in [key, *FIT, "seed"]})[[key, *FIT, "seed", day, "pred"]]
-
+        if not out:
+            return empty
+        return pd.concat(out).assign(**{k: c[k] for k in [key, *FIT, "seed"]})[columns]
+
+    def share(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return empty
+        left = left.sort_values(day)
+        own = None
+        if "_own" in right.columns:
+            own = sorted((x["test_start"], x["test_end"]) for x in (right["_own"].iloc[0] if right["_own"].iloc[0] is not None else []))
+        got = [one(left, c, own) for _, c in right.iterrows()]
+        got = [g for g in got if len(g)]
+        return pd.concat(got) if got else empty
+
+    if own_blocks is not None:
+        given = own_blocks.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("test_start", "test_end")).alias("_own"))  # a key's refits
+        shares = shares.join(given, F.col(key) == F.col("_key"), "left").drop("_key")
+    shares = shares.toDF(*shares.columns)  # columns of its own
     schema = f"{key} {kinds[key]}, " + ", ".join(f"{c} {fits.schema[c].dataType.simpleString()}" for c in [*FIT, "seed"]) + f", {day} {kinds[day]}, pred int"
-    by_fit = rows.groupBy(key, *FIT, "seed")
-    if own_blocks is None:
-        return by_fit.applyInPandas(lambda pdf: one(pdf), schema)
-
-    def with_own(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({x: pd.Series(dtype="object") for x in [key, *FIT, "seed", day, "pred"]})
-        return one(left, sorted(zip(right["test_start"], right["test_end"], strict=True)))
-
-    given = own_blocks.select(key, "test_start", "test_end").join(F.broadcast(fits), how="cross")  # fits: a sweep's own size
-    given = given.toDF(*given.columns)  # columns of its own
-    return by_fit.cogroup(given.groupBy(key, *FIT, "seed")).applyInPandas(with_own, schema)
+    dealt = lambda x: x.repartition(min(2000, 3 * slots * keys_n), key, "_slot")  # noqa: E731  a share is a task's work for seconds, whatever its bytes
+    return dealt(rows).groupBy(key, "_slot").cogroup(dealt(shares).groupBy(key, "_slot")).applyInPandas(share, schema)
 
 
 #: Metrics of a run, in the order of the results table.
@@ -217,7 +232,7 @@ def run_metrics(days: DataFrame, keys: list[str], rate: float = 0.0, day: str =
 
 
 def run(features: DataFrame, truth: DataFrame, configs: DataFrame, seeds: int = SEEDS, done: DataFrame | None = None, rate: float = 0.0, start=None, key: str = "asset", day: str = "dt", value: str = "er", own_blocks: DataFrame | None = None) -> DataFrame:
-    """(ablation_id, key, config, seed, METRICS), one row for every run that has a forecast: assets x configurations x seeds, less those in done (key, config, seed).
+    """(ablation_id, key, config, seed, METRICS), one row for every run that has a forecast: assets x configurations x seeds, less those in done (key, config, seed, and ablation_id if it has that).
 
     truth: (key, day, regime), the labels that predictions are judged by; filled forward, 0 before the first. configs: rows of config_table(). own_blocks: as in predictions(); with
     blocks_of_events(), runs refit when events say so.
@@ -225,8 +240,9 @@ def run(features: DataFrame, truth: DataFrame, configs: DataFrame, seeds: int =
     c = _fit_key(configs).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     runs = features.select(key).distinct().crossJoin(F.broadcast(c)).withColumnRenamed("name", "config")  # assets x a sweep's own size
     if done is not None:
-        runs = runs.join(done.select(key, "config", "seed").distinct(), [key, "config", "seed"], "left_anti")
-    fits = runs.select(*FIT, "seed").distinct()
+        same = [c for c in ("ablation_id", key, "config", "seed") if c in done.columns]
+        runs = runs.join(done.select(*same).distinct(), same, "left_anti")
+    fits = runs.select(key, *FIT, "seed").distinct()
     pred = predictions(features, fits, start, key, day, value, own_blocks=own_blocks)
     w = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     known = features.select(key, day, value).join(truth.select(key, day, F.col("regime").alias("_t")), [key, day], "left").withColumn("true", F.coalesce(F.last("_t", ignorenulls=True).over(w), F.lit(0)))
@@ -236,15 +252,43 @@ def run(features: DataFrame, truth: DataFrame, configs: DataFrame, seeds: int =
     return run_metrics(allocated(all_days, keys, day, value), keys, rate, day)
 
 
+def ledger(features: DataFrame, truth: DataFrame, configs: DataFrame, path: str, seeds: int = SEEDS, batch: int = 64, key: str = "asset", **settings) -> DataFrame:
+    """run(), committed batch by batch at path: results, one folder a configuration and seed, and the runs that are through. A sweep that is killed goes on with the runs that are left, and gives the same table.
+
+    A batch is `batch` (configuration, seed) pairs, in order. Its results are written first, replacing what a batch that broke off left there; then its runs are entered, with or without a
+    forecast. Batches whose runs are all entered are not run again.
+    """
+    spark, root = features.sparkSession, path.rstrip("/")
+    entered = "ablation_id string, config string, seed int"
+    pairs = configs.select("ablation_id", F.col("name").alias("config")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    if exists(spark, f"{root}/entered"):
+        pairs = pairs.join(spark.read.schema(entered).parquet(f"{root}/entered"), ["ablation_id", "config", "seed"], "left_anti")
+    left = sorted(tuple(r) for r in pairs.collect())  # a sweep's own size
+    for lo in range(0, len(left), batch):
+        now = spark.createDataFrame(left[lo : lo + batch], entered)
+        some = configs.join(now.select("ablation_id", F.col("config").alias("name")).distinct(), ["ablation_id", "name"], "left_semi").select(*configs.columns)
+        # of these configurations, the runs of other seeds count as done
+        every = some.select(F.col("name").alias("config"), "ablation_id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+        others = every.join(now, ["ablation_id", "config", "seed"], "left_anti").join(features.select(key).distinct(), how="cross")
+        got = run(features, truth, some, seeds, done=others.select("ablation_id", key, "config", "seed"), key=key, **settings)
+        upsert(got.select(key, *METRICS, "ablation_id", "config", "seed"), f"{root}/results", ["ablation_id", "config", "seed"])
+        now.coalesce(1).write.mode("append").parquet(f"{root}/entered")
+    schema = ", ".join([f"{key} {features.schema[key].dataType.simpleString()}", *[f"{m} double" for m in METRICS], entered])
+    found = spark.read.schema(schema).parquet(f"{root}/results") if exists(spark, f"{root}/results") else spark.createDataFrame([], schema)
+    return found.select("ablation_id", key, "config", "seed", *METRICS)
+
+
 def study(features: DataFrame, truth: DataFrame, folder: str, ablation_ids: list[str] | None = None, **settings) -> dict[str, DataFrame]:
-    """Every ablation's results, one Parquet table each in the folder; a table that is there already is read, not run again."""
-    from ..sources.sinks import exists, write_results
+    """Every ablation's results, one Parquet table each in the folder; a table that is there already is read, not run again, and one that broke off half-way goes on from its ledger."""
+    from ..sources.sinks import write_results
 
     spark, out = features.sparkSession, {}
     for a in ablation_ids or list(CONFIGS):
         path = f"{folder.rstrip('/')}/ablation_{a}.parquet"
         if not exists(spark, path):
-            write_results(run(features, truth, config_table(spark, [a]), **settings), path)
+            begun = f"{folder.rstrip('/')}/_begun_{a}"
+            write_results(ledger(features, truth, config_table(spark, [a]), begun, **settings), path)
+            delete(spark, begun)
         out[a] = spark.read.parquet(path)
     return out
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import inference
 from ..functions.series import as_of, by, ewm_mean, forward_fill, upto
-from ..operators import backtest, forecast, stability
+from ..operators import backtest, forecast, resampling, stability
 from ..sources import tables as src
-from .queries import _LBL, CONFIGS, FACT, MACRO, PANEL, UP, cal_rebalance_dates, ewm_sql, labels, query, r
+from .queries import _LBL, CONFIGS, FACT, MACRO, PANEL, SQL, UP, cal_rebalance_dates, ewm_sql, labels, query, r
 
 BY = "(PARTITION BY asset ORDER BY t)"
 
@@ -60,6 +60,12 @@ def aln_labels_default_bear(spark, d):
     return grid(spark, d).select("asset", "dt", F.coalesce(forward_fill(F.col("y"), upto(order="dt")), F.lit(1)).alias("y"))
 
 
+@query(f"WITH {PANEL}, {_LBL}, {_GRID} SELECT asset, dt, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING), 0) AS y FROM grid")
+def aln_labels_default_bull(spark, d):
+    """Labels on every day, filled forward, 0 before the first: what a sweep's forecasts are judged by."""
+    return grid(spark, d).select("asset", "dt", F.coalesce(forward_fill(F.col("y"), upto(order="dt")), F.lit(0)).alias("y"))
+
+
 @query(f"WITH {PANEL}, {MACRO}, x AS (SELECT min(dt) AS rebal FROM panel WHERE month(dt) IN (1, 7) GROUP BY year(dt), month(dt)) SELECT rebal, count(*) AS n, round(avg(y2), 8) AS mean, round(median(y2), 8) AS median FROM x JOIN macro ON dt >= rebal - INTERVAL 2 YEAR AND dt < rebal GROUP BY 1")
 def sta_macro_in_training_window(spark, d):
     x = F.broadcast(cal_rebalance_dates(spark, d).select(F.col("first_day").alias("rebal")))  # two days a year
@@ -183,6 +189,12 @@ def stb_silhouette(spark, d):
     return stability.silhouette(features(spark, d), ["f1", "f2"], "y").select("asset", r(F.col("silhouette"), 5).alias("silhouette"))
 
 
+@query(SQL["stb_silhouette"])
+def stb_silhouette_tiled(spark, d):
+    """The same, tile by tile: an asset's rows are dealt over tasks."""
+    return stability.silhouette_tiled(features(spark, d), ["f1", "f2"], "y", ["asset"], 512).select("asset", r(F.col("silhouette"), 5).alias("silhouette"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(x) AS m FROM e GROUP BY 1, 2),
  s AS (SELECT label, avg(dist) AS s FROM (SELECT vec_id, label, sqrt(sum(pow(x - m, 2))) AS dist FROM e JOIN c USING (label, k) GROUP BY 1, 2) GROUP BY 1),
  g AS (SELECT a.label, b.label AS other, sqrt(sum(pow(a.m - b.m, 2))) AS gap FROM c a JOIN c b ON a.k = b.k AND a.label <> b.label GROUP BY 1, 2)
@@ -342,6 +354,14 @@ def sta_bootstrap_sharpe(spark, d):
     return per_asset(src.panel(spark, d).select("asset", "t", "er"), "sharpe double, lo double, hi double, rho double, rho_lo double, rho_hi double", one)
 
 
+@query()
+def sta_block_bootstrap(spark, d):
+    """Sharpe ratio with intervals from 2,000 replicates of single days and of runs of 21 days, each replicate drawn by a generator of its own."""
+    p = src.panel(spark, d)
+    kinds = [resampling.intervals(resampling.replicates(p, ["er"], resampling.sharpe, 2000, block)).withColumn("block", F.lit(block)) for block in (1, 21)]
+    return kinds[0].unionByName(kinds[1])
+
+
 @query()
 def sta_deflated_sharpe(spark, d):
     """Probability that each asset's daily Sharpe ratio beats the best of as many unskilled trials as there are assets."""

@@ -10,9 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def series_csv(spark: SparkSession, path: str, date_col: str, value_col: str) -> DataFrame:
-    """One series from CSV: `.` and empty are null, rows without a date go, of equal dates the last row stays."""
-    raw = spark.read.option("header", True).option("nullValue", ".").csv(path).withColumn("_seq", F.monotonically_increasing_id())
+def series_csv(spark: SparkSession, path: str, date_col: str, value_col: str, order_col: str | None = None) -> DataFrame:
+    """One series from CSV: `.` and empty are null, rows without a date go, of equal dates the last row stays.
+
+    The last is the one of the highest order_col (a number; equal ones by the value), or, if not given, the last as one file has them: several files need the column.
+    """
+    raw = spark.read.option("header", True).option("nullValue", ".").csv(path)
+    raw = raw.withColumn("_seq", F.monotonically_increasing_id() if order_col is None else F.struct(F.expr(f"try_cast(`{order_col}` AS DOUBLE)").alias("o"), F.expr(f"try_cast(`{value_col}` AS DOUBLE)").alias("v")))
     rows = raw.select(F.expr(f"try_to_date(`{date_col}`)").alias("dt"), F.expr(f"try_cast(`{value_col}` AS DOUBLE)").alias("v"), "_seq").where("dt IS NOT NULL")
     return rows.groupBy("dt").agg(F.max_by("v", "_seq").alias("v"))
 
@@ -109,3 +113,71 @@ def from_pandas(spark: SparkSession, frame, index: str = "date") -> DataFrame:
     pdf.columns = [str(c) for c in pdf.columns]
     out = spark.createDataFrame(pdf)
     return out.select(*[F.nanvl(c, F.lit(None).cast(kind)).alias(c) if kind in ("double", "float") else F.col(f"`{c}`") for c, kind in out.dtypes])
+
+
+#: Kinds that widen into the next one.
+_WIDER = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def common_type(kinds: list[str]) -> str:
+    """The narrowest type that all of them go into: whole numbers and floats widen (a long with a float is a double), dates with timestamps are timestamps, anything else is text."""
+    seen = sorted(set(kinds) - {"void"})
+    if len(seen) <= 1:
+        return seen[0] if seen else "string"
+    if all(k in _WIDER for k in seen):
+        top = max(_WIDER.index(k) for k in seen)
+        # a float has 24 bits of a whole number
+        return "double" if "float" in seen and any(k in ("int", "bigint") for k in seen) else _WIDER[top]
+    if set(seen) <= {"date", "timestamp", "timestamp_ntz"}:
+        return "timestamp" if "timestamp" in seen else "timestamp_ntz"
+    return "string"
+
+
+def reconciled(frames: list[DataFrame]) -> DataFrame:
+    """One table of all: columns by name, in the order that they are first met, each of the common type; null where a table lacks it."""
+    columns: dict[str, list[str]] = {}
+    for df in frames:
+        for c, kind in df.dtypes:
+            columns.setdefault(c, []).append(kind)
+    wide = {c: common_type(kinds) for c, kinds in columns.items()}
+    parts = [df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wide.items()]) for df in frames]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def read_reconciled(spark: SparkSession, pattern: str) -> DataFrame:
+    """All Parquet files or tables that match a pattern as one table (see reconciled), whatever their columns and types. Those of one schema are read together; schemas come from footers alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(str(f.getPath()) for f in found or [])
+    if not names:
+        raise ValueError(f"nothing matches {pattern}")
+    groups: dict[str, list[str]] = {}
+    for name in names:
+        groups.setdefault(spark.read.parquet(name).schema.simpleString(), []).append(name)
+    return reconciled([spark.read.parquet(*group) for group in groups.values()])
+
+
+def one_or_parts(spark: SparkSession, path: str, parts: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The tables that a run left at path, by part: a folder with one Parquet table a part, or a single table with a column `part` that says which rows are whose.
+
+    A part that is not there is an error; columns that a part's rows of a single table have only nulls in go.
+    """
+    from .sinks import exists
+
+    root = path.rstrip("/")
+    have = [p for p in parts if exists(spark, f"{root}/{p}.parquet")]
+    if have:
+        if missing := [p for p in parts if p not in have]:
+            raise ValueError(f"{path} lacks {missing}")
+        return {p: spark.read.parquet(f"{root}/{p}.parquet") for p in parts}
+    whole = spark.read.parquet(root)
+    if "part" not in whole.columns:
+        raise ValueError(f"{path} is neither a folder of {list(parts)} nor a table with a column part")
+    rest = [c for c in whole.columns if c != "part"]
+    used = {r["part"]: r for r in whole.where(F.col("part").isin(*parts)).groupBy("part").agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in rest]).collect()}
+    if missing := [p for p in parts if p not in used]:
+        raise ValueError(f"{path} lacks {missing}")
+    return {p: whole.where(F.col("part") == p).select(*[f"`{c}`" for c in rest if used[p][c]]) for p in parts}
