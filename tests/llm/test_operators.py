@@ -148,8 +148,9 @@ def test_lm(docs):
     assert len(rows) == len(ROWS) and ngram_lm.score(empty(docs)).count() == 0
 
 
-def test_lm_keeps_what_is_seen_twice(spark):
-    """At the production settings, with so many tokens that a share of 2e-6 is more than three: scores by brute force."""
+@pytest.mark.parametrize("least", [ngram_lm.LEAST, 1, 3])
+def test_lm_keeps_what_is_seen_often(spark, least):
+    """At the production setting, with everything that is seen (least 1, where nothing is left out), and with less; with so many tokens that a share of 2e-6 is more than three: scores by brute force."""
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     learned, tested = [d for d in range(60) if not held(d)], [d for d in range(60) if held(d)]
     rows = [(d, "a b c d " * 25_000) for d in learned[:20]]
@@ -166,7 +167,7 @@ def test_lm_keeps_what_is_seen_twice(spark):
     for k in (1, 2):
         for g, c in grams[k].items():
             sums[k - 1][g[:-1]] += c
-            kept[k - 1][g[:-1]] += (c - 0.75) * (c > 1)
+            kept[k - 1][g[:-1]] += (c - 0.75) * (c >= least)
 
     def p(g):
         if len(g) == 1:
@@ -176,14 +177,14 @@ def test_lm_keeps_what_is_seen_twice(spark):
         if not sums[k][context]:
             return below
         c = grams[k + 1][g]
-        return (c - 0.75) * (c > 1) / sums[k][context] + max(1e-9, 1 - kept[k][context] / sums[k][context]) * below
+        return (c - 0.75) * (c >= least) / sums[k][context] + max(1e-9, 1 - kept[k][context] / sums[k][context]) * below
 
-    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()}
     for d in got:
         if d not in learned[:20]:
             w = toks[d]
             assert got[d].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w))), abs=5e-4 * len(w))
-    assert got[tested[0]].score > got[tested[0]].base_score + 2
+    assert least > 2 or got[tested[0]].score > got[tested[0]].base_score + 2
 
 
 def test_packing(docs):

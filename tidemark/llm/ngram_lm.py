@@ -319,12 +319,13 @@ def _settle(spark) -> None:
         time.sleep(0.4)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: float = 0, kept: float = 0) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: float = 0, kept: float = 0, least: int = LEAST) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score: add-one unigrams; score: the trie's log10 probability of the whole text, its end included. Null and empty texts are their end alone.
     Texts whose crc32 of the id is 2 modulo 7 are not learned from (a null id counts as an empty one). With no training text at all every token has
-    the same probability, 1. Repeated rows are scored alike. Other columns are not read. Where given, words (n-grams) with a share of all tokens below
+    the same probability, 1. Repeated rows are scored alike. Other columns are not read. least: how often a word or n-gram is seen before it has a place in
+    the trie; with 1 every one that was seen has. Where given, words (n-grams) with a share of all tokens below
     frequent (kept) take no part in n-grams, however often they are seen.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -365,18 +366,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     def first_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, ids, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield from _Batch(ids, _unpack_texts(texts), {}, n_buckets, LEAST, 0).asked.requests(name).to_batches()
+                yield from _Batch(ids, _unpack_texts(texts), {}, n_buckets, least, 0).asked.requests(name).to_batches()
 
-    replies.append(cut(own.mapInArrow(lean(first_requests), asks).groupBy("bucket").applyInArrow(_answers(1, n_buckets, LEAST), says), "words"))
+    replies.append(cut(own.mapInArrow(lean(first_requests), asks).groupBy("bucket").applyInArrow(_answers(1, n_buckets, least), says), "words"))
     total, distinct = (int(x or 0) for x in replies[0].agg(F.sum("total"), F.sum("distinct")).first())
-    least_word, least = max(LEAST, frequent * total), max(LEAST, kept * total)
+    least_word, least_gram = max(least, frequent * total), max(least, kept * total)
 
     def requests(done: int):
         return lambda table: batch_of(table, least_word, done)[1].asked.requests(table.column("batch")[0].as_py())
 
     for level in (2, 3):
         _settle(spark)
-        replies.append(cut(rows().applyInArrow(requests(level - 1), asks).groupBy("bucket").applyInArrow(_answers(level, n_buckets, least), says), f"order{level}"))
+        replies.append(cut(rows().applyInArrow(requests(level - 1), asks).groupBy("bucket").applyInArrow(_answers(level, n_buckets, least_gram), says), f"order{level}"))
     _settle(spark)
 
     def finish(table: pa.Table) -> pa.Table:
