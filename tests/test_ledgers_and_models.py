@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tidemark.operators import estimators, preparation, resampling, stability, sweep
+from tidemark.operators import covariance, estimators, preparation, resampling, stability, sweep
 from tidemark.sources import tables
 
 R = np.random.default_rng(31)
@@ -184,3 +184,28 @@ def test_series_of_several_files(spark, tmp_path):
     (tmp_path / "s/a.csv").write_text("DATE,VALUE,AT\n2020-01-01,9,1\n2020-01-02,.,3\n")
     got = tables.series_csv(spark, str(tmp_path / "s"), "DATE", "VALUE", "AT").orderBy("dt").collect()
     assert [r.v for r in got] == [1.0, None]
+
+
+def test_covariances_by_blocks(spark):
+    """A universe of seven keys in blocks of three, 40 days in spans of 16, with days that a key lacks: pandas' ewm covariance of the filled panel."""
+    days = pd.bdate_range("2020-01-01", periods=40)
+    x = pd.DataFrame(R.normal(size=(40, 7)), index=days, columns=[f"k{i}" for i in range(7)])
+    x["k1"] += x["k0"]
+    x = x.mask(R.random(x.shape) < 0.1)
+    rows = [(k, d.date(), None if np.isnan(v) else float(v)) for k in x for d, v in x[k].items()]
+    df = spark.createDataFrame(rows, "asset string, dt date, er double").repartition(3)
+    want = x.fillna(0).ewm(halflife=9).cov().iloc[-7:].to_numpy()
+    for block, span in ((3, 16), (256, 512), (1, 40)):
+        got = covariance.ewm_covariance(df, 9, block=block, span=span).collect()
+        assert len(got) == 28 and all(r.covariance == pytest.approx(want[int(r.a[1]), int(r.b[1])], abs=1e-10) for r in got)
+    assert covariance.ewm_covariance(df.where("dt = '2020-01-01'"), 9).where("covariance is not null").count() == 0
+
+
+def test_a_universe_of_two_thousand(spark):
+    """2,000 assets over 30 days: 36 tiles, no group over two blocks of 256; the diagonal against aggregates."""
+    u = spark.range(2000).select(F.col("id").alias("asset"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t")).select("asset", F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("t")).alias("dt"), (F.pmod(F.xxhash64("asset", "t"), F.lit(1000)) / 1000.0).alias("er"))
+    c = covariance.ewm_covariance(u, 1e9)
+    assert c.count() == 2000 * 2001 // 2
+    plain = u.groupBy("asset").agg(F.var_samp("er").alias("v"))
+    off = c.where("a = b").join(plain, F.col("a") == F.col("asset")).agg(F.max(F.abs(F.col("covariance") - F.col("v")))).first()[0]
+    assert off < 1e-6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, inference, scan
 from ..functions.series import as_of, by, ewm_mean, forward_fill, upto
-from ..operators import backtest, diagnostics, forecast, framework, jump_model, main_run, preparation, stability, strategies, sweep, trend, volatility
+from ..operators import backtest, covariance, diagnostics, forecast, framework, jump_model, main_run, preparation, stability, strategies, sweep, trend, volatility
 from ..sources import sinks
 from ..sources import tables as src
 from .queries import _LBL, BARS, FACT, MACRO, PANEL, UP, ewm_sql, labels, query, r
@@ -318,6 +318,19 @@ def src_stems(spark, d):
     return sinks.stems(spark, f"{d}/{{nation,region}}.parquet").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("n_name").alias("nations"), F.count("r_name").alias("regions"))
 
 
+_WIDE = "u AS (SELECT CAST(o_custkey % 60 AS INT) AS asset, CAST(o_orderdate AS DATE) AS dt, round(avg(o_totalprice) / 1e5 - 1.5, 8) AS er FROM orders GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_WIDE}, dy AS (SELECT dt, pow(0.5, (max(t) OVER () - t) / 252.0) AS w FROM (SELECT dt, row_number() OVER (ORDER BY dt) AS t FROM (SELECT DISTINCT dt FROM u))), m AS (SELECT asset, sum(er * w) / (SELECT sum(w) FROM dy) AS m FROM u JOIN dy USING (dt) GROUP BY 1),
+ s AS (SELECT p.asset AS a, q.asset AS b, sum(p.er * q.er * w) / (SELECT sum(w) FROM dy) AS s FROM u p JOIN u q ON p.dt = q.dt AND p.asset <= q.asset JOIN dy ON dy.dt = p.dt GROUP BY 1, 2), ks AS (SELECT x.asset AS a, y.asset AS b, x.m AS ma, y.m AS mb FROM m x JOIN m y ON x.asset <= y.asset)
+ SELECT a, b, round((coalesce(s, 0) - ma * mb) / (1 - (SELECT sum(w * w) / pow(sum(w), 2) FROM dy)), 9) AS covariance FROM ks LEFT JOIN s USING (a, b)""")
+def prt_wide_covariance(spark, d):
+    """Exponentially weighted covariances of a universe of customers' groups, made in blocks of 16."""
+    o, price = src.table(spark, d, "orders"), F.col("o_totalprice")
+    u = o.groupBy((F.col("o_custkey") % 60).cast("int").alias("asset"), F.to_date("o_orderdate").alias("dt")).agg(F.round(F.avg(price) / 1e5 - 1.5, 8).alias("er"))
+    return covariance.ewm_covariance(u, 252, block=16, span=256).select("a", "b", r(F.col("covariance"), 9).alias("covariance"))
+
+
 @query()
 def sta_two_sample_tails(spark, d):
     """p-values of the returns in bull against bear states: Mann-Whitney's U and Welch's t, one row an asset."""
