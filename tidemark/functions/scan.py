@@ -132,8 +132,8 @@ def hot_join(facts: DataFrame, groups: DataFrame, key: str, weight: str, share:
     rest = [c for c in groups.columns if c != key]
     side = lambda mark, few: groups.where((F.col(weight) * share >= total) == few).select(F.col(key).alias(f"_{mark}_{key}"), *[F.col(c).alias(f"_{mark}_{c}") for c in rest])
     met = facts.join(F.broadcast(side("h", True)), F.col(key) == F.col(f"_h_{key}"), "left")
-    cold = F.when(F.col(f"_h_{weight}").isNull(), F.col(key))  # rows that met a hot key have null, which meets nothing and is not shuffled to one task by an outer join's salt below
-    met = met.withColumn("_cold", cold).withColumn("_salt", F.when(F.col("_cold").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(997))).otherwise(F.lit(0)).cast("int"))
+    # rows that met a hot key go on without it, spread by a salt; so do rows without a key
+    met = met.withColumn("_cold", F.when(F.col(f"_h_{weight}").isNull(), F.col(key))).withColumn("_salt", F.when(F.col("_cold").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(997))).otherwise(F.lit(0)).cast("int"))
     out = met.join(side("c", False).withColumn("_csalt", F.lit(0)), (F.col("_cold") == F.col(f"_c_{key}")) & (F.col("_salt") == F.col("_csalt")), "left")
     return out.select(*facts.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in rest])
 

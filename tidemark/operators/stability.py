@@ -195,6 +195,7 @@ def occupancy(fits: DataFrame, key: str = "asset", rebal: str = "rebal", day: st
 
 def report(fits: DataFrame, features: list[str], key: str = "asset", rebal: str = "rebal", day: str = "dt", label: str = "regime", valid: DataFrame | None = None) -> DataFrame:
     """One row a key: mean agreement, index, drift, spread of occupancy, run length, Davies-Bouldin and Calinski-Harabasz per row over the refits (and silhouette where `valid` has it)."""
+    fits = kept(fits, "fits")  # read by every part
     valid = validity(fits, features, [key, rebal], label) if valid is None else valid
     mean = lambda df, cols: df.groupBy(key).agg(*[F.avg(c).alias(n) for c, n in cols.items()])
     geometry = {c: c for c in ("silhouette", "davies_bouldin", "calinski_harabasz_per_n") if c in valid.columns}
