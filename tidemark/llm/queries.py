@@ -50,7 +50,7 @@ def op6_token_store(spark, sf_dir):
 
 
 def op7_lm_score(spark, sf_dir):
-    return ngram_lm.score(read(spark, sf_dir, "documents"))
+    return ngram_lm.score(read(spark, sf_dir, "documents"), least=1)
 
 
 def op8_packing(spark, sf_dir):
