@@ -17,7 +17,8 @@ from .tokenization import ByteEncoder, encoder, id_bytes, tokenizer_json_from_ra
 def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids (array of int), byte_starts (first byte of every token in the UTF-8 text).
 
-    Null and empty texts have no ids. A token may begin or end inside a character; byte offsets say so exactly. Other columns are not read.
+    Null and empty texts have no ids. A token may begin or end inside a character; byte offsets say so exactly. Null ids stay null and repeated rows are encoded
+    again; other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: fixed size
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, byte_starts array<int>"
@@ -38,7 +39,7 @@ def decode(tokens: DataFrame, tokenizer_json: str, id_col: str = "doc_id", ids_c
     """One row per document: id, bytes, text, pieces (text that each token completes).
 
     A character split over tokens belongs to the token that ends it; bytes that never form a character become U+FFFD.
-    Null ids decode to nothing.
+    A null array of ids decodes to nothing. Repeated rows are decoded again; other columns are not read; an empty table gives no rows.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(tokenizer_json)
     schema = f"`{id_col}` {tokens.schema[id_col].dataType.simpleString()}, bytes binary, text string, pieces array<string>"

@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs without the rows whose text another row already has; columns as they were."""
+    """docs without the rows whose text another row already has; columns as they were. Nulls, repeated rows and ids: as in exact_groups; an empty table stays empty."""
     gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("_gone"), "text_sha256")
     key = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
     return docs.join(gone.distinct(), docs[id_col].eqNullSafe(gone["_gone"]) & (key == gone["text_sha256"]), "left_anti")

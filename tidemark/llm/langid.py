@@ -172,7 +172,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score. Reads the whole of every text, and nothing else.
 
-    A null text, or one without a letter, is `und` with score 0; so is every text where the network has no classes. Repeated rows get equal answers.
+    A null text, or one without a letter, is `und` with score 0; so is every text where the network has no classes. Repeated rows get equal answers. Of labels that are
+    equally probable the first by name is told.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # the weights: fixed size
 

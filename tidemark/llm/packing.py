@@ -325,7 +325,7 @@ def places(fillings: list[tuple[Filling, int]]) -> list[tuple[int, int, int, int
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids array<int>). Null and empty texts are the end id alone; only texts of more than
-    capacity tokens, their end included, are cut. Null ids stay null, repeated rows give their pieces again; other columns are not read."""
+    capacity tokens, their end included, are cut. Null ids stay null, repeated rows give their pieces again; other columns are not read; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
 

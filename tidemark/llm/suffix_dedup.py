@@ -495,7 +495,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """One row per document: id, kept (the remaining bytes), spans (removed runs as (lo, hi) structs), n_bytes.
 
     Corpus order is (id, start); rows with equal ids are one document in it, so that equal starts of theirs do not count as earlier. Null ids come first (as the smallest 64-bit integer).
-    Null texts are empty. length must be over GRAM. Other columns are not read. The remaining bytes may end inside a character.
+    Null texts are empty. length must be over GRAM; there is no upper limit. Other columns are not read. The remaining bytes may end inside a character.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

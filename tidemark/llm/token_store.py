@@ -271,7 +271,7 @@ def verify_store(spark: SparkSession, path: str, wide: bool = False) -> DataFram
 
 
 def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
-    """The documents' ids again: doc_id, ids array<int>."""
+    """The documents' ids again: doc_id, ids array<int>; a row for every row that was written, none for a store of an empty table."""
     chunks = spark.read.parquet(f"{path}/chunks").select("hash", F.col("ids").alias("part"))
     uses = spark.read.parquet(f"{path}/recipes").select("shard", "place", "doc_id", F.posexplode("hashes").alias("k", "hash"))
     docs = uses.join(chunks, "hash").groupBy("shard", "place", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("c"))
