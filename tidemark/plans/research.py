@@ -528,7 +528,7 @@ k AS (SELECT n, dt, vix::DOUBLE AS y, vix::DOUBLE AS a1, (SELECT vix FROM mn WHE
  (SELECT mn.n, mn.dt, mn.vix::DOUBLE AS y, 2 * k.a1 - k.a2 AS ahead, k.a1 AS b1, k.p11 AS o11, 4 * k.p11 - 4 * k.p12 + k.p22 + 1 / 1.6e6 AS v11, 2 * k.p11 - k.p12 AS v12 FROM k JOIN mn ON mn.n = k.n + 1))"""
 
 
-@query(f"WITH {_TREND}, x AS (SELECT min(dt) AS rebal FROM panel WHERE month(dt) IN (1, 7) GROUP BY year(dt), month(dt)) SELECT rebal, n, CASE WHEN n >= 10 THEN round(a1, 6) END AS trend, CASE WHEN n >= 10 THEN round(y - a1, 6) END AS cycle FROM x ASOF JOIN k ON x.rebal >= k.dt")
+@query(f"WITH {_TREND}, x AS (SELECT min(dt) AS rebal FROM panel WHERE month(dt) IN (1, 7) GROUP BY year(dt), month(dt)) SELECT rebal, mn.n, CASE WHEN mn.n >= 10 THEN round(a1, 6) END AS trend, CASE WHEN mn.n >= 10 THEN round(y - a1, 6) END AS cycle FROM x ASOF JOIN mn ON x.rebal >= mn.dt LEFT JOIN k ON k.n = mn.n")
 def sta_trend_at_date(spark, d):
     """Trend and cycle of the smoothed macro series at every rebalance day, from what was known by then: one pass over the series gives all dates."""
     m = trend.trend_so_far(src.macro(spark, d).select(F.lit("vix").alias("series"), "dt", F.col("vix").cast("double").alias("v")), ["series"], "dt", "v")
