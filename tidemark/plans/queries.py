@@ -266,10 +266,14 @@ def srt_argmax_tie_break(spark, d):
     return m.withColumn("k", k).where("k = 1").select("asset", "config", "m")
 
 
-@query("SELECT i, round(CASE WHEN i = 0 THEN 0 ELSE pow(10, -1 + 3 * (i - 1) / 29.0) END, 9) AS penalty FROM (SELECT unnest(range(31))::INT AS i)")
+@query(f"WITH {PANEL}, {_LBL}, c AS (SELECT asset, count(*) FILTER (y <> p) AS changes FROM (SELECT asset, y, lag(y) OVER (PARTITION BY asset ORDER BY t) AS p FROM lbl) GROUP BY 1), g AS (SELECT i, CASE WHEN i = 0 THEN 0 ELSE pow(10, -1 + 3 * (i - 1) / 29.0) END AS penalty FROM (SELECT unnest(range(31))::INT AS i)) SELECT asset, i, round(penalty, 9) AS penalty, round(penalty * changes, 6) AS cost FROM c CROSS JOIN g")
 def scl_penalty_grid(spark, d):
-    i = F.col("i")
-    return spark.range(31).select(F.col("id").cast("int").alias("i")).select("i", r(F.when(i == 0, 0.0).otherwise(F.pow(F.lit(10.0), -1 + 3 * (i - 1) / 29)), 9).alias("penalty"))
+    """The grid of penalties, and what the changes of each asset's slow rule would cost under each."""
+    before = F.lag("y").over(by())
+    changes = labels(spark, d).withColumn("p", before).groupBy("asset").agg(F.count(F.when(F.col("y") != F.col("p"), 1)).alias("changes"))
+    g = changes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(30))))
+    g = g.withColumn("penalty", F.when(F.col("i") == 0, 0.0).otherwise(F.pow(F.lit(10.0), -1 + 3 * (F.col("i") - 1) / 29)))
+    return g.select("asset", "i", r(F.col("penalty"), 9).alias("penalty"), r(F.col("penalty") * F.col("changes"), 6).alias("cost"))
 
 
 # --------------------------------------------------------------------------------------------------------------- metrics, diagnosis

@@ -617,10 +617,12 @@ def results(spark, d) -> DataFrame:
     return src.fact(spark, d).select("*", F.concat(F.lit("S"), (F.col("seed") % 2).cast("string")).alias("ablation_id"), F.col("low").alias("max_drawdown"))
 
 
-@query("SELECT * FROM (VALUES ('A1', 7), ('A2', 5), ('A3', 3), ('B1', 6), ('B2', 4), ('C1', 5), ('C2', 5), ('D1', 4), ('I1', 9), ('I2', 9), ('W1', 144)) v(ablation_id, n)")
+@query(f"WITH {FACT} SELECT ablation_id, n, n * (SELECT count(DISTINCT asset) * count(DISTINCT seed) FROM fact) AS runs FROM (VALUES ('A1', 7), ('A2', 5), ('A3', 3), ('B1', 6), ('B2', 4), ('C1', 5), ('C2', 5), ('D1', 4), ('I1', 9), ('I2', 9), ('W1', 144)) v(ablation_id, n)")
 def swp_config_counts(spark, d):
-    """Configurations of every ablation."""
-    return sweep.config_table(spark).groupBy("ablation_id").agg(F.countDistinct("name").cast("int").alias("n"))
+    """Configurations of every ablation, and its runs over the assets and seeds that have results."""
+    each = src.fact(spark, d).agg((F.countDistinct("asset") * F.countDistinct("seed")).alias("each"))
+    n = sweep.config_table(spark).groupBy("ablation_id").agg(F.countDistinct("name").cast("int").alias("n"))
+    return n.join(F.broadcast(each)).select("ablation_id", "n", (F.col("n") * F.col("each")).alias("runs"))  # one row
 
 
 @query(f"WITH {FACT}, {_RES} SELECT ablation_id, config, round(avg(metric), 8) AS metric, round(avg(max_drawdown), 8) AS max_drawdown, row_number() OVER (PARTITION BY ablation_id ORDER BY avg(metric) DESC, avg(max_drawdown) DESC, config) AS place FROM res GROUP BY 1, 2")

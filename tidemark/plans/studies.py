@@ -384,16 +384,16 @@ REFITS, FORECASTERS = ("mon", "qua", "sem", "ann"), ("log", "rf", "xgb")
 BUDGET = 150
 
 
-@query("SELECT 'w1_l' || l || '_' || v || '_k' || k || '_' || q || '_' || f AS config, l AS penalty, v AS estimator, k AS states, q AS refit, f AS forecaster FROM (SELECT unnest([25, 50, 100]) AS l) CROSS JOIN (SELECT unnest(['cc', 'yz']) AS v) CROSS JOIN (SELECT unnest([2, 3]) AS k) CROSS JOIN (SELECT unnest(['mon', 'qua', 'sem', 'ann']) AS q) CROSS JOIN (SELECT unnest(['log', 'rf', 'xgb']) AS f)")
+@query(f"WITH {FACT} SELECT asset, 'w1_l' || l || '_' || v || '_k' || k || '_' || q || '_' || f AS config, l AS penalty, v AS estimator, k AS states, q AS refit, f AS forecaster FROM (SELECT unnest([25, 50, 100]) AS l) CROSS JOIN (SELECT unnest(['cc', 'yz']) AS v) CROSS JOIN (SELECT unnest([2, 3]) AS k) CROSS JOIN (SELECT unnest(['mon', 'qua', 'sem', 'ann']) AS q) CROSS JOIN (SELECT unnest(['log', 'rf', 'xgb']) AS f) CROSS JOIN (SELECT DISTINCT asset FROM fact)")
 def swp_joint_grid(spark, d):
-    """The joint sweep's configs; more than BUDGET are an error."""
+    """The joint sweep's runs: every config for every asset that has results; more than BUDGET configs are an error."""
     sides = {"penalty": PENALTIES, "estimator": ESTIMATORS, "states": STATES, "refit": REFITS, "forecaster": FORECASTERS}
     if math.prod(map(len, sides.values())) > BUDGET:
         raise ValueError(f"more than {BUDGET} configs; shorten a dimension")
-    g = spark.range(1).select()
+    g = src.fact(spark, d).select("asset").distinct()
     for name, values in sides.items():
         g = g.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return g.select(F.concat(F.lit("w1_l"), "penalty", F.lit("_"), "estimator", F.lit("_k"), "states", F.lit("_"), "refit", F.lit("_"), "forecaster").alias("config"), *sides)
+    return g.select("asset", F.concat(F.lit("w1_l"), "penalty", F.lit("_"), "estimator", F.lit("_k"), "states", F.lit("_"), "refit", F.lit("_"), "forecaster").alias("config"), *sides)
 
 
 _SS = "ss AS (SELECT 'config' AS factor, sum(n * pow(m - g, 2)) AS ss FROM (SELECT count(*) AS n, avg(metric) AS m, (SELECT avg(metric) FROM fact) AS g FROM fact GROUP BY config) UNION ALL SELECT 'asset', sum(n * pow(m - g, 2)) FROM (SELECT count(*) AS n, avg(metric) AS m, (SELECT avg(metric) FROM fact) AS g FROM fact GROUP BY asset) UNION ALL SELECT 'seed', sum(n * pow(m - g, 2)) FROM (SELECT count(*) AS n, avg(metric) AS m, (SELECT avg(metric) FROM fact) AS g FROM fact GROUP BY seed))"
