@@ -407,7 +407,9 @@ def test_sources_and_reports(spark, tmp_path):
     nested = spark.sql("SELECT 1 AS a, named_struct('x', 2, 'y', named_struct('z', 3)) AS s")
     assert tables.flattened(nested).first().asDict() == {"a": 1, "s_x": 2, "s_y_z": 3}
     m = spark.createDataFrame([("s", 0.1234, None, 1.005)], "strategy string, ann_ret double, mdd double, sharpe double")
-    assert tuple(sinks.displayed(m).first()) == ("s", "12.3%", None, sinks.displayed(m).first().sharpe)
+    shown = spark.createDataFrame([("s", 0.1234, -0.0567, 1.2345), ("u", -0.05, None, -0.127), ("v", None, 0.0, None)], "strategy string, ann_ret double, mdd double, sharpe double")
+    assert [tuple(r) for r in sinks.displayed(shown).collect()] == [("s", "12.3%", "-5.7%", "1.23"), ("u", "-5.0%", None, "-0.13"), ("v", None, "0.0%", None)]
+    assert tuple(sinks.displayed(m).first())[:3] == ("s", "12.3%", None)
     sinks.write_text(spark, ["a = 1", "b = 2"], f"{tmp_path}/report")
     assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["a = 1", "b = 2"]
     sinks.write_nested({"EW": m.drop("strategy"), "MV": m.drop("strategy", "mdd")}, f"{tmp_path}/nested")
