@@ -173,7 +173,7 @@ def test_two_level_scans(spark):
     assert p.where("k = 'a'").select("_part").distinct().count() > 8 and p.groupBy("_part").count().agg(F.max("count")).first()[0] < 2000
     x = scan.running(p, ["k"], "t", s=("sum", F.col("v")), c=("count", F.col("v")), hi=("max", F.col("v")), lo=("min", F.col("v")), prod=("product", 1 + F.col("v")), last=("last", F.col("v")))
     x = scan.ewm_mean(scan.drawdown(scan.moments_so_far(x, ["k"], "t", "v"), ["k"], "t", "v"), ["k"], "t", "v", 3)
-    x = scan.expanding_z(x, ["k"], "t", "v")
+    x = scan.expanding_z(x, ["k"], "t", "v").cache()
     for k, g in pdf.groupby("k"):
         got, v = x.where(F.col("k") == k).orderBy("t").toPandas(), g.v.reset_index(drop=True)
         same = lambda a, b: np.allclose(a.astype(float), b.astype(float), rtol=1e-9, atol=1e-11, equal_nan=True)
