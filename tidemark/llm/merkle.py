@@ -20,6 +20,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 16
 #: Levels that one round collapses; a block has ARITY ** DEPTH nodes.
 DEPTH = 3
+#: Nodes that a range partition holds at most, about: their number grows with the table.
+NODES = 1 << 20
 _PATH = "array<struct<l:string,r:string>>"
 
 
@@ -37,7 +39,8 @@ def numbered(nodes: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """nodes with _pos, the place (from 0) by order among those of equal `by`, and _all, how many these are. nodes should be materialised; ties keep the order of its files."""
     spark = nodes.sparkSession
     tied = nodes.withColumn("_tie", F.monotonically_increasing_id())
-    parts = cut(tied.repartitionByRange(shuffles(spark), *[F.col(c).asc_nulls_first() for c in by], *order, F.col("_tie")).withColumn("_part", F.spark_partition_id()))
+    n = max(shuffles(spark), -(-nodes.count() // NODES))  # counted from the files' footers
+    parts = cut(tied.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in by], *order, F.col("_tie")).withColumn("_part", F.spark_partition_id()))
     key = [F.col(c) for c in by] or [F.lit(0)]
     counts = parts.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_part")
